@@ -36,9 +36,40 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licences
+
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    rows = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.format_chat(rows.withColumn("parts", chat.text_parts("text"))))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vectors
+
+    return vectors.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vectors
+
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import chat, licences, vectors
+
+    return {
+        "op5_license_digests": licences.scan_sql(),
+        "op7_chat_format": chat.DIGEST_SQL,
+        "op8_exact_top_k": vectors.TOP_K_SQL,
+    }
