@@ -35,6 +35,13 @@ def _latin(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
+def byte_signs() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if visible, else 256 and up."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in seen else next(rest)) for b in range(256)]
+
+
 class WordIds(dict):
     """The ids of a text as bytes (unsigned 32-bit, little-endian), word by word.
 
@@ -48,12 +55,15 @@ class WordIds(dict):
 
         super().__init__()
         self.tok = Tokenizer.from_file(path)
+        signs = byte_signs()
+        self.signs = {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0x250)}
         letter, digit = _latin("L"), _latin("N")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\\t-\\r {letter}{digit}]+").findall
-        self.plain = re.compile("[\t-\r -\x7e\xa1-ɏ]*").fullmatch
+        self.plain = re.compile("[\t-\r -\x7e\xa1-\u012f\u0131-\u024f]*").fullmatch
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        # the vocabulary's own model on the word's byte signs, without the steps for whole texts
+        ids = np.array([t.id for t in self.tok.model.tokenize(word.translate(self.signs))], "<u4").tobytes()
         if len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT_WORDS:
                 self.clear()
