@@ -93,9 +93,9 @@ def _settle(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
     return rows
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), most: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken."""
-    sizes = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "sizes")
+def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), most: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple = ()) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken, and columns to carry."""
+    sizes = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *carry), "sizes")
     targets = save(source_targets(sizes, weights, share, most), "targets")
     per = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     # sources are few beside documents; a hot one is split by AQE's skew join, or the small side is sent
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), most: int = 2, seed: i
     hashed = lambda level: F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed), F.lit(level))
     n = sizes.count()
     buckets, level, done = max(1, -(-n // BUCKET)), 0, []
-    fields = ["doc_id", "source", "size", "source_size", "target", "base", "mass"]
+    fields = ["doc_id", "source", "size", "source_size", "target", "base", "mass", *carry]
     open_rows = rows.select(*fields)
     while True:
         dealt = open_rows.withColumn("draw", F.shiftrightunsigned(hashed(level), 11) / F.lit(float(1 << 53)))
@@ -122,4 +122,4 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), most: int = 2, seed: i
     for x in done[1:]:
         out = out.unionByName(x)
     copies = F.when(F.col("size") > 0, F.col("base") + (F.col("mass") > 0).cast("long")).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)

@@ -218,11 +218,11 @@ class Tagger:
         np.add.at(g["emb"], w.T, dx)
         return g
 
-    def fit(self, w: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 2) -> "Tagger":
+    def fit(self, w: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 32, rate: float = 0.02, seed: int = 2) -> "Tagger":
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        step, steps = 0, max(1, epochs * -(-len(w) // batch))
-        for _ in range(epochs):
+        step = 0
+        while step < steps:
             order = r.permutation(len(w))
             for i in range(0, len(w), batch):
                 k = order[i : i + batch]
