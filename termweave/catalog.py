@@ -1,9 +1,16 @@
 """Registered queries of the library and the SQL they are held against."""
 
+from __future__ import annotations
+
+from termweave import catalogs
+from termweave.catalogs import graph
+
+flagship = graph.flagship
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalogs.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(catalogs.SQL)
