@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from termweave import catalogs
-from termweave.catalogs import graph
+from termweave.catalogs import graph, terms
 
 flagship = graph.flagship
+__all__ = ["flagship", "graph", "oracle_sql", "queries", "terms"]
 
 
 def queries() -> dict:
