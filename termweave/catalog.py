@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from termweave import catalogs
-from termweave.catalogs import graph, terms
+from termweave.catalogs import graph, ingest, lifecycle, reason, terms
 
 flagship = graph.flagship
-__all__ = ["flagship", "graph", "oracle_sql", "queries", "terms"]
+__all__ = ["flagship", "graph", "ingest", "lifecycle", "oracle_sql", "queries", "reason", "terms"]
 
 
 def queries() -> dict:
