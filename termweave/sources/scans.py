@@ -220,8 +220,8 @@ def assertions_from_triples(triples: DataFrame, entities: DataFrame) -> DataFram
 
 
 def rdf_lists(first: DataFrame, rest: DataFrame, heads: DataFrame) -> DataFrame:
-    """Head, pos, item: members of lists from first (node, item) and rest (node, next); a node met again ends it, unnamed members go."""
-    start = heads.select("head", F.col("head").alias("node"), F.lit(0).alias("pos"))
+    """Head, pos, item: members of lists from first (node, item), rest (node, next) and heads (head, and node where it differs); a node met again ends it, unnamed members go."""
+    start = heads.select("head", F.col("node" if "node" in heads.columns else "head").alias("node"), F.lit(0).alias("pos"))
     seen = fixpoint(start, lambda new, _: new.join(rest, "node").select("head", F.col("next").alias("node"), (F.col("pos") + 1).alias("pos")), ["head", "node"])
     return seen.join(first, "node").where(is_named(F.col("item"))).select("head", "pos", "item")
 
