@@ -208,28 +208,35 @@ def _search(k: int, pivots: np.ndarray):
         order = np.argsort(c_id, kind="stable")
         c_id, c = c_id[order], c[order]
         far = lambda m: np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] + (piv * piv).sum(1) - 2 * m @ piv.T)).T
-        to_c, to_q, c2, q2 = far(c), far(q), (c * c).sum(1), (q * q).sum(1)
-        safe = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1] < 2**53
-        ints = None if safe else c.astype(np.int64)
+        most = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1]
+        to_c, to_q, c2, q2 = far(c).astype(np.float32), far(q).astype(np.float32), (c * c).sum(1), (q * q).sum(1)
+        exact_kind = np.float32 if most < 2**24 else float if most < 2**53 else np.int64  # sums stay whole numbers
+        c, q = c.astype(exact_kind), q.astype(exact_kind)
         out: list[list] = [[], [], []]
         for n in range(len(q)):
             apart = np.abs(to_c[0] - to_q[0, n])
             for p in range(1, len(piv)):
                 np.maximum(apart, np.abs(to_c[p] - to_q[p, n]), out=apart)
-            bound = (c2 + q2[n] - apart * apart) / 2
-            bound += 1e-9 * (c2 + q2[n]) + 1e-6  # rounding of the distances
-            own = c_id == q_id[n]
-            bound[own] = -np.inf
-            turn = np.argsort(-bound, kind="stable")[: len(c) - int(own.sum())]
-            best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-            for lo in range(0, len(turn), STEP):
-                if len(best_s) >= k and bound[turn[lo]] < best_s[k - 1]:
-                    break
-                at = turn[lo : lo + STEP]
-                s = c[at] @ q[n] if safe else ints[at] @ q[n].astype(np.int64)
+            apart = np.maximum(0, apart - 1e-5 * (np.sqrt(c2) + np.sqrt(q2[n])) - 1e-5)  # rounding of the distances
+            bound = (c2 + q2[n] - apart.astype(float) ** 2) / 2 + 1e-9 * (c2 + q2[n]) + 1e-6
+            bound[c_id == q_id[n]] = -np.inf
+            best_s, best_i = np.zeros(0, exact_kind), np.zeros(0, np.int64)
+            size, todo = STEP, np.flatnonzero(bound > -np.inf)
+            while len(todo):
+                if len(todo) > size:  # the largest bounds come next
+                    cut = np.argpartition(-bound[todo], size)
+                    at, todo = todo[cut[:size]], todo[cut[size:]]
+                else:
+                    at, todo = todo, todo[:0]
+                s = c[at] @ q[n]
+                if len(best_s) >= k:
+                    at, s = at[s >= best_s[k - 1]], s[s >= best_s[k - 1]]
                 best_s, best_i = np.concatenate([best_s, s]), np.concatenate([best_i, c_id[at]])
                 top = np.lexsort((best_i, -best_s))[:k]
                 best_s, best_i = best_s[top], best_i[top]
+                if len(best_s) >= k:
+                    todo = todo[bound[todo] >= best_s[k - 1]]  # none of the others can be among the best
+                size *= 4
             out[0] += [q_id[n]] * len(best_i)
             out[1] += best_i.tolist()
             out[2] += [int(s) for s in best_s]
