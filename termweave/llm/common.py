@@ -78,3 +78,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         label = stepped.select("node", "component")
         if stepped.where("moved").isEmpty():
             return label
+
+
+def least_members(comp: DataFrame, classes: DataFrame, salts: int = 32) -> DataFrame:
+    """node, least: the least `first` among the classes (node, first) of each node's component.
+
+    A component may hold most nodes, so its name is sent to `salts` places and its nodes are dealt among them.
+    """
+    least = comp.join(classes, "node").groupBy("component").agg(F.min("first").alias("least"))
+    least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = comp.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    return dealt.join(least, ["component", "_salt"]).select("node", "least")

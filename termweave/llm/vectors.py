@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, save
+from .common import components, least_members, save
 
 #: Vectors of one bucket that are compared in one group at most; larger buckets are split into blocks.
 BLOCK = 1024
@@ -172,9 +172,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, seed: int = 23, id_
     found = save(found, "met")
     comp = components(found.select("node", "root"), "node", "root")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    low = comp.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("low"))
-    per = classes.select("node", "first", "mult").join(counts, "node", "left").join(comp, "node", "left").join(low, "component", "left")
-    per = save(per.select("node", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("low", "first").alias("low")), "named")
+    low = least_members(comp, classes.select("node", "first"))
+    per = classes.select("node", "first", "mult").join(counts, "node", "left").join(low, "node", "left")
+    per = save(per.select("node", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("least", "first").alias("low")), "named")
     out = rows.select("vec_id", "node").join(per, "node", "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("low")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
