@@ -111,11 +111,13 @@ class Vocabulary(Shards):
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         shard = (hashes >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
         for s, part in self.parts(np.arange(len(self.first)), shard):
+            if self.first[s] == self.first[s + 1]:  # no training token there, and no file
+                continue
             a = self.arrays(s)
             at = EliasFano(a, "hash").find(hashes[part])
             ok = at >= 0
             ids[part] = np.where(ok, at + self.first[s], -1)
-            counts[part] = np.where(ok, unpack(a["count"], int(a["width"][0]), np.maximum(at, 0)).astype(np.int64), 0) if len(a["count"]) > 8 else 0
+            counts[part] = np.where(ok, unpack(a["count"], int(a["width"][0]), np.maximum(at, 0)).astype(np.int64), 0)
         return ids, counts
 
     def counts(self, ids: np.ndarray) -> np.ndarray:

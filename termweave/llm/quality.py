@@ -178,19 +178,17 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
     return Network(x, np.array([r["_y"] for r in got], int))
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple = ()) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document, and the columns in keep."""
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; with keep, its columns too, in a struct `row`."""
     vectors = word_vectors(docs, text_col)
     net = fit(docs, labels, vectors, sample, id_col, text_col, label_col)
-    own = [f for f in docs.schema if f.name in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own] + [f"_doc {docs.schema[id_col].dataType.simpleString()}", "held_out boolean", "score double", "predicted int"])
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if keep else []))
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int" + (f", row {rows.schema['row'].dataType.simpleString()}" if keep else "")
 
     def judge(batches):
         for b in batches:
-            s = net.scores(_pooled(b.column("_text"), vectors)).astype(float)
-            cols = [b.column(f.name) for f in own] + [b.column("_doc"), b.column("_held"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, [f.name for f in own] + ["_doc", "held_out", "score", "predicted"])
+            s = net.scores(_pooled(b.column(2), vectors)).astype(float)
+            cols = [b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), *([b.column(3)] if keep else [])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "row"][: len(cols)])
 
-    rows = docs.select(*[F.col(f.name) for f in own], F.col(id_col).alias("_doc"), held_out(id_col).alias("_held"), F.col(text_col).alias("_text"))
-    out = rows.mapInArrow(judge, schema)
-    return out.withColumnRenamed("_doc", "doc_id") if id_col not in keep else out.drop("_doc")
+    return rows.mapInArrow(judge, schema)

@@ -12,8 +12,8 @@ from .queries import table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels, does not reject."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.score(docs, table(spark, sf_dir, "labels"), keep=True)
+    return scored.where("predicted = 1").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())  # of the table that is read
-    taken = mixing.mix(rows, carry=("_row",)).where("copies > 0").select("_row", "copies")
-    both = rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return both.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at"))  # of the table that is read
+    taken = mixing.mix(rows.select("at", "row.doc_id", "row.text", "row.source"), carry=("at",)).where("copies > 0").select("at", "copies")
+    both = rows.join(taken, "at").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return both.select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
