@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -28,10 +30,41 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables saved inside go when the block ends; what it returns must have been saved by keep()."""
+    path = shared_path(spark, "scratch")
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """save(), outside the scratch folder."""
+    token = _scratch.set(None)
+    try:
+        return save(df, name)
+    finally:
+        _scratch.reset(token)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    inside = _scratch.get()
+    path = f"{inside}/{name}-{uuid.uuid4().hex}" if inside else shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

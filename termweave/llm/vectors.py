@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, least_members, save
+from .common import components, keep, least_members, save, scratch
 
 #: Vectors of one bucket that are compared in one group at most; larger buckets are split into blocks.
 BLOCK = 1024
@@ -151,6 +151,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, seed: int = 23, id_
     vectors of different length neither; a null id keeps its row and counts as a partner, but is never
     a component's id unless alone (null then, kept); an empty table gives an empty result.
     """
+    with scratch(vectors.sparkSession):
+        return keep(_near_duplicates(vectors, least, seed, id_col, vec_col, label_col), "near-duplicates")
+
+
+def _near_duplicates(vectors: DataFrame, least: float, seed: int, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
     fine = usable("vec") & F.exists("vec", lambda x: x != 0) & F.col("label").isNotNull()
     node = F.when(fine, F.xxhash64(F.lit(seed), "label", F.transform("vec", lambda x: x.cast("double") + F.lit(0.0))))
