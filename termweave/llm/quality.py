@@ -3,7 +3,7 @@
 Word vectors cover the whole corpus: each run of letters, digits or signs falls into one of BUCKETS
 rows, and a row gathers the sparse random index vectors of its neighbours in every text (one pass, one
 partial matrix a task, added in Spark by block).  A document is the mean and root mean square of its
-runs' unit vectors.  The network is fitted on at most SAMPLE labelled rows, those with the least hash
+runs' unit vectors, with the shares of runs that come again a few runs later and their number.  The network is fitted on at most SAMPLE labelled rows, those with the least hash
 of their id; a fifth of them only sets the temperature of the probabilities.
 
 Cases: null and empty texts have a zero vector and get the network's score for it; null ids are kept
@@ -23,6 +23,9 @@ from .common import save
 from .kernels import class_runs, slices, text_bytes
 
 BUCKETS, DIM, NONZERO, WINDOW, BLOCKS = 1 << 14, 48, 4, 2, 16
+#: Distances at which a run is compared with a later one, and numbers that describe a document.
+LAGS = (1, 2, 3, 4, 6)
+WIDTH = 2 * DIM + len(LAGS) + 1
 #: Labelled rows that the network is fitted on, at most.
 SAMPLE = 12_000
 #: Classes of bytes: 0 separates, 1 capitals, 2 other letters, 3 digits, 4 other signs.
@@ -90,22 +93,27 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def _pooled(col, vectors: np.ndarray) -> np.ndarray:
-    """Mean and root mean square of the vectors of each text's runs."""
+    """Of each text's runs: mean and root mean square of the vectors, shares that come again at LAGS, log count."""
     out = []
     for bucket, at in _runs(col):
         n = np.diff(at)
-        sums = np.zeros((len(n), 2 * DIM), np.float32)
+        sums = np.zeros((len(n), WIDTH), np.float32)
         for i in range(0, len(bucket), 1 << 17):  # few vectors in memory at a time, whatever a text's length
             part = vectors[bucket[i : i + (1 << 17)]]
             cut = np.clip(at - i, 0, len(part))
             some = np.flatnonzero(np.diff(cut))
             if len(some):
                 sums[some, :DIM] += np.add.reduceat(part, cut[some], axis=0)
-                sums[some, DIM:] += np.add.reduceat(part * part, cut[some], axis=0)
+                sums[some, DIM : 2 * DIM] += np.add.reduceat(part * part, cut[some], axis=0)
+        for k, lag in enumerate(LAGS):  # runs that come again at a distance, inside the text
+            same = np.concatenate([[0], np.cumsum(bucket[lag:] == bucket[:-lag])])
+            last = np.minimum(np.maximum(at[1:] - lag, at[:-1]), len(same) - 1)
+            sums[:, 2 * DIM + k] = same[last] - same[np.minimum(at[:-1], last)]
         sums /= np.maximum(n, 1)[:, None]
-        sums[:, DIM:] = np.sqrt(sums[:, DIM:])
+        sums[:, DIM : 2 * DIM] = np.sqrt(sums[:, DIM : 2 * DIM])
+        sums[:, -1] = np.log1p(n)
         out.append(sums)
-    return np.concatenate(out) if out else np.zeros((0, 2 * DIM), np.float32)
+    return np.concatenate(out) if out else np.zeros((0, WIDTH), np.float32)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -117,7 +125,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(2 * DIM), np.ones(2 * DIM))
+        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(WIDTH), np.ones(WIDTH))
         self.fixed = (y.sum() + 1) / (len(y) + 2) if len(set(y.tolist())) < 2 else None
         self.temperature = 1.0
         if self.fixed is not None:
@@ -174,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
     got = rows.select("_id", "_y", "_text").mapInArrow(vector, f"_id {kind}, _y int, x binary")
     # repeated ids: one of equal vectors, else the least, so that reruns agree
     got = sorted(got.groupBy("_id", "_y").agg(F.min("x").alias("x")).collect(), key=lambda r: (hash(r["_id"]), r["_id"]))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float32).reshape(len(got), 2 * DIM)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float32).reshape(len(got), WIDTH)
     return Network(x, np.array([r["_y"] for r in got], int))
 
 
