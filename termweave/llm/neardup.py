@@ -9,7 +9,7 @@ edges of partitions are scanned again together with their neighbours.  Candidate
 full sets: first the three that most trees propose for each class, then all others whose ends are not
 yet in one component, since a confirmed link inside a component changes nothing.  Where a region is so
 crowded that its classes met only some of the others, those outside its main component are compared
-with all members of it, in blocks, until no link is new.
+with all members of it, in blocks, until no link is new, and then all of them with each other.
 
 Cases: null and empty texts have an empty set and link with nothing; a text of fewer words than a
 shingle is one shingle; texts of any length are taken whole; a null id keeps its row, with a null
@@ -209,20 +209,24 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(share), "a long, b long")
 
 
-def stragglers(reps: DataFrame, comp: DataFrame, least: int) -> DataFrame:
-    """node, component: classes in a crowded region whose largest component, itself over REGION, is not theirs.
+def crowds(reps: DataFrame, least: int) -> DataFrame:
+    """region, t, node: the classes of every region of the least depth that holds more than REGION of them.
 
-    There the neighbours seen are a part of the region, so a link may have been missed.
+    Only there can two classes that share a prefix not have met.
     """
     width = 4 * DEPTH
     rows = reps.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
-    rows = rows.select("node", F.xxhash64("t", F.expr(f"substring(sig, t * {width} + 1, {4 * least})")).alias("region"))
+    rows = rows.select("t", "node", F.xxhash64("t", F.expr(f"substring(sig, t * {width} + 1, {4 * least})")).alias("region"))
     crowded = save(rows.groupBy("region").count().where(F.col("count") > REGION).select("region"), "crowded")
-    own = rows.join(crowded, "region").join(comp, "node", "left").select("region", "node", F.coalesce("component", "node").alias("c"))
-    own = save(own, "own")
+    return save(rows.join(crowded, "region").select("region", "t", "node"), "crowds")
+
+
+def outside(crowd: DataFrame, comp: DataFrame) -> DataFrame:
+    """region, t, node, c, component: classes of a crowded region outside its largest component (null unless over REGION)."""
+    own = save(crowd.join(comp, "node", "left").select("region", "t", "node", F.coalesce("component", "node").alias("c")), "own")
     sizes = own.groupBy("region", "c").count().where(F.col("count") > REGION)
     top = sizes.groupBy("region").agg(F.max_by("c", F.struct("count", "c")).alias("component"))
-    return own.join(top, "region").where("c <> component").select("node", "component").distinct()
+    return own.join(top, "region", "left").where("component is null or c <> component")
 
 
 ASKED_BLOCK, MEMBER_BLOCK = 64, 256
@@ -266,6 +270,59 @@ def attach(asked: DataFrame, comp: DataFrame, sets: DataFrame, share: tuple[int,
     return rows.select(*key, "ask", "node", "shingles").groupBy(*key).applyInArrow(_against(share), "a long, b long")
 
 
+def _among(share: tuple[int, int]):
+    """A function over two blocks of one region (or one block twice): the links between classes of different components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        t, twice = group.column("t")[0].as_py(), group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+        node, c, n = (group.column(x).to_numpy() for x in ("node", "c", "n"))
+        own = group.column("own").to_numpy() == group.column("lo")[0].as_py()
+        order = np.argsort(n, kind="stable")
+        node, c, n, own = node[order], c[order], n[order], own[order]
+        regions = np.stack(group.column("regions").to_pylist())[order]
+        sets = group.column("shingles")
+        sets = [np.frombuffer(sets[int(i)].as_buffer(), "<u8") for i in order]
+        to = np.arange(len(node)) if twice else np.flatnonzero(~own)
+        ends = np.concatenate([[0], np.cumsum(n[to])])
+        whole = np.concatenate([sets[i] for i in to]) if len(to) else np.zeros(0, U64)
+        a, b = [], []
+        for i in np.flatnonzero(own):
+            # sizes that allow a link: n * share of the larger at most
+            first = np.searchsorted(n[to] * share[1], n[i] * share[0])
+            last = np.searchsorted(n[to] * share[0], n[i] * share[1], "right")
+            if twice:
+                first = max(first, i + 1)
+            if first >= last:
+                continue
+            some = to[first:last]
+            ask = (c[some] != c[i]) & ~(regions[some, :t] == regions[i, :t]).any(1)  # a pair counts in its first region
+            if not ask.any():
+                continue
+            x = sets[i]
+            part = whole[ends[first] : ends[last]]
+            hit = x[np.minimum(np.searchsorted(x, part), len(x) - 1)] == part
+            both = np.add.reduceat(hit.astype(np.int64), ends[first:last] - ends[first])
+            ok = ask & (share[1] * both >= share[0] * (len(x) + n[some] - both))
+            a += [node[i]] * int(ok.sum())
+            b += node[some[ok]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def among(rest: DataFrame, reps: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """a, b: all links between classes (region, t, node, c) of one region but different components, block by block."""
+    least, width = least_depth(share), 4 * DEPTH
+    per = rest.groupBy("region").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    per = save(per.select("region", F.ceil(F.col("m") / MEMBER_BLOCK).cast("int").alias("nb")), "blocks")
+    own = rest.join(per, "region").select("region", "t", "node", "c", "nb", F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int").alias("own"))
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "t", "node", "c", "own")
+    named = F.array(*[F.xxhash64(F.lit(t), F.expr(f"substring(sig, {t * width + 1}, {4 * least})")) for t in range(TREES)])
+    info = reps.select("node", "n", named.alias("regions")).join(rest.select("node").distinct(), "node", "left_semi").join(sets, "node")
+    return rows.join(info, "node").groupBy("region", "lo", "hi").applyInArrow(_among(share), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; a written table."""
     with scratch(docs.sparkSession):
@@ -281,7 +338,8 @@ def _near_duplicates(docs: DataFrame, size: int, share: tuple[int, int], seed: i
     reps = save(reps, "reps")
     pairs = save(candidates(reps, share), "candidates")
 
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    crowd = crowds(reps, least_depth(share))
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
     asked = save(asked.join(classes, "node").select("node", F.col("first").alias("_id")), "asked")
     ids = asked.select("_id").distinct()
     if asked.count() <= BROADCAST_ROWS:
@@ -307,15 +365,23 @@ def _near_duplicates(docs: DataFrame, size: int, share: tuple[int, int], seed: i
     more = save(confirm(rest, sets, share), "links")
     if not more.isEmpty():
         comp = components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    known = save(reps.join(asked.select("node"), "node", "left_semi"), "known")
-    while True:  # what a crowded region may have hidden; a class that joins can bring others
-        asks = save(stragglers(known, comp, least_depth(share)), "asks")
-        if asks.isEmpty():
+    joined = lambda more: components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    whole = False
+    while not crowd.isEmpty():  # what a crowded region may have hidden; a class that joins can bring others
+        rest = save(outside(crowd, comp), "outside")
+        asks = save(rest.where("component is not null").select("node", "component").distinct(), "asks")
+        if not asks.isEmpty():
+            more = save(attach(asks, comp, sets, share), "links")
+            if not more.isEmpty():
+                comp = joined(more)
+                continue
+        if whole:
             break
-        more = save(attach(asks, comp, sets, share), "links")
+        # all classes outside have met the main component; now they meet each other, once
+        more, whole = save(among(rest, reps, sets, share), "links"), True
         if more.isEmpty():
             break
-        comp = components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        comp = joined(more)
     named = save(classes.join(least_members(comp, classes), "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "named")
     out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
