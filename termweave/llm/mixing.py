@@ -4,8 +4,9 @@ Every document has an expected number of copies, its source's target over its so
 whole part is kept; the fraction, as a mass of words, is settled in duels: two documents of a source
 pass words to and fro at random, without changing either's expectation or their sum, until one is
 taken wholly or not at all.  Duels run inside hash buckets of bounded size; each bucket leaves at most
-one open document per source, and those meet in ever fewer buckets until one per source is left, which
-goes to the nearer side.  A source therefore misses its target by less than half a document.
+one open document per source.  A source with one open document left is settled: it goes to the nearer
+side.  Those of other sources meet in ever fewer buckets, a source's only as many as its own documents
+ask for.  A source therefore misses its target by less than half a document.
 
 Cases: null text has size 0; null source is a source of its own, ranked last; documents of size 0 are
 never taken; repeated rows count each; a null id is an id like any other; an empty table gives an empty
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import global_rank, save
 
-#: Documents settled in one bucket, and open buckets that meet in one.
-BUCKET, FAN_IN = 4096, 16
+#: Documents settled in one bucket.
+BUCKET = 4096
 
 
 def word_count(text: str) -> F.Column:
@@ -57,12 +58,12 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share=(3, 2), most: int
     return ranked.select("source", "source_size", F.least(cap.cast("double"), F.col("w") * level).alias("target"))
 
 
-def settler(last: bool):
-    """A function of one bucket's rows; last: what stays open goes to the nearer side."""
-    return lambda rows: _settle(rows, last)
+def settler():
+    """A function of one bucket's rows."""
+    return _settle
 
 
-def _settle(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
     """Duels among the open documents of one bucket, large ones first, so that what stays open is small."""
     rows = rows.sort_values(["source", "size", "draw", "doc_id"], ascending=[True, False, True, True], kind="stable", na_position="last").reset_index(drop=True)
     mass, size, draw = rows["mass"].tolist(), rows["size"].tolist(), rows["draw"].tolist()
@@ -87,8 +88,6 @@ def _settle(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
             mass[j] = float(size[j]) if full else mass[j] + down
         if not 0 < mass[held] < size[held]:
             held = j if 0 < mass[j] < size[j] else -1
-    if last:
-        mass = [0.0 if 2 * m < s else float(s) for m, s in zip(mass, size)]
     rows["mass"] = mass
     return rows
 
@@ -106,18 +105,30 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), most: int = 2, seed: i
     n = sizes.count()
     buckets, level, done = max(1, -(-n // BUCKET)), 0, []
     fields = ["doc_id", "source", "size", "source_size", "target", "base", "mass", *carry]
-    open_rows = rows.select(*fields)
+    dealt = rows.select(*fields).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(buckets)))
+    closed = (F.col("mass") <= 0) | (F.col("mass") >= F.col("size"))
+    nearer = F.when(2 * F.col("mass") < F.col("size"), 0.0).otherwise(F.col("size").cast("double"))
     while True:
-        dealt = open_rows.withColumn("draw", F.shiftrightunsigned(hashed(level), 11) / F.lit(float(1 << 53)))
-        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(buckets)))
-        last = buckets == 1
-        settled = dealt.groupBy("bucket").applyInPandas(settler(last), dealt.schema)
+        dealt = dealt.withColumn("draw", F.shiftrightunsigned(hashed(level), 11) / F.lit(float(1 << 53)))
+        settled = dealt.groupBy("bucket").applyInPandas(settler(), dealt.schema)
         settled = save(settled.select(*fields), "settled")
-        closed = (F.col("mass") <= 0) | (F.col("mass") >= F.col("size"))
         done.append(settled.where(closed))
-        if last:
+        left = settled.where(~closed)
+        per = left.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_n"))
+        left = save(left.join(per, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "open")
+        done.append(left.where("_n = 1").select(*fields).withColumn("mass", nearer))
+        left = left.where("_n > 1")
+        n = left.count()
+        if not n:
             break
-        open_rows, buckets, level = settled.where(~closed), -(-buckets // FAN_IN), level + 1
+        # a source's documents in as many parts as they fill buckets; parts of several sources share a bucket
+        level += 1
+        part = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed), F.lit(level)), F.ceil(F.col("_n") / BUCKET))
+        dealt = left.withColumn("bucket", F.pmod(F.xxhash64("source", part, F.lit(seed)), F.lit(-(-n // BUCKET)))).drop("_n")
+    return _copies(done, carry)
+
+
+def _copies(done: list[DataFrame], carry: tuple) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

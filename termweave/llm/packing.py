@@ -4,8 +4,9 @@ Documents become token ids and an end id; only those above the capacity are cut.
 random into groups of bounded size and packed there, largest first: among the open bins that can take
 a piece under every capacity (tokens, documents, attention cost) the one whose weighted residual norm
 after it is least, or whose weighted dot product with it is largest, is chosen.  Pieces of bins that
-stay open meet those of other groups in the next round, with fewer groups, until one group is left, so
-the number of half-filled bins does not grow with the groups.
+stay open meet those of other groups in the next round, in as many groups as their number asks for,
+until one group is left or a round saves less than one open bin in SAVED.  A bin whose rest is
+shorter than every piece of an open bin is closed, so pieces that leave no usable rest do not go on.
 
 Cases: null text is empty and gives a piece of the end id alone; texts of any length are tokenised
 whole; repeated rows are packed each; a null id is kept; an empty table gives an empty result; ties go
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import save
 
-GROUP, FAN_IN = 8192, 16
+#: Pieces of a group, and the least share of open bins that a round must save for another to follow.
+GROUP, SAVED = 8192, 100
 #: Words whose ids a task keeps at most, and the longest word kept.
 KEPT_WORDS, KEPT_LENGTH = 200_000, 40
 
@@ -150,8 +152,9 @@ def packer(caps: np.ndarray, weights: np.ndarray, rule: str, slack: float, level
         first = np.searchsorted(bins[order], bins[order])
         offset = np.empty(len(size), np.int64)
         offset[order] = ends - size[order] - np.where(first > 0, ends[first - 1], 0)
-        rows["sequence_id"] = (level << 56) + rows["g"] * (1 << 20) + bins
+        rows["sequence_id"] = (level << 50) + rows["g"] * (1 << 20) + bins
         rows["offset"] = offset
+        rows["rest"] = rest[bins, 0].astype(np.int64)
         rows["closed"] = True if last else (rest[bins, 0] <= slack * caps[0])
         return rows
 
@@ -164,18 +167,34 @@ def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int = 4096, max_atte
     w = np.array(weights)
     fields = list(pieces.columns)
     pieces = save(pieces, "pieces")
-    groups, level, done = max(1, -(-pieces.count() // GROUP)), 0, []
-    todo = pieces
+    n, level, done, kept = pieces.count(), 0, [], [*fields, "sequence_id", "offset"]
+    todo, before, held = pieces, None, None
     while True:
+        groups = max(1, -(-n // GROUP))
         last = groups == 1
-        dealt = todo.withColumn("g", F.least(F.floor(F.rand(seed) * groups), F.lit(groups - 1)).cast("long"))
+        dealt = todo.withColumn("g", F.least(F.floor(F.rand(seed + level) * groups), F.lit(groups - 1)).cast("long"))
 
-        out = dealt.groupBy("g").applyInPandas(packer(caps, w, rule, slack, level, last), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence_id long, offset long, closed boolean")
+        out = dealt.groupBy("g").applyInPandas(packer(caps, w, rule, slack, level, last), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence_id long, offset long, rest long, closed boolean")
         out = save(out, "packed")
-        done.append(out.where("closed").select(*fields, "sequence_id", "offset"))
+        bins = out.where("offset = 0").count()  # a bin's first piece
+        if before is not None and bins > before:  # worse than what it was dealt from
+            done.append(held.select(*kept))
+            break
+        done.append(out.where("closed").select(*kept))
         if last:
             break
-        todo, groups, level = out.where("not closed").select(*fields), -(-groups // FAN_IN), level + 1
+        held = out.where("not closed")
+        least = held.agg(F.min("length")).first()[0]
+        if least is not None:
+            done.append(held.where(F.col("rest") < least).select(*kept))
+            held = held.where(F.col("rest") >= least)
+        n, left = held.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
+        if not n:
+            break
+        if before is not None and (before - bins) * SAVED < before:
+            done.append(held.select(*kept))
+            break
+        todo, before, level = held.select(*fields), left, level + 1
     whole = done[0]
     for x in done[1:]:
         whole = whole.unionByName(x)
