@@ -38,7 +38,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at"))  # of the table that is read
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
+    rows = neardup.save(rows, "numbered")  # once: the ids depend on how the scan is cut
     taken = mixing.mix(rows.select("at", "row.doc_id", "row.text", "row.source"), carry=("at",)).where("copies > 0").select("at", "copies")
     both = rows.join(taken, "at").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return both.select("row.*")
