@@ -1,13 +1,15 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions in numpy.
 
 The base patterns find e-mail and IP addresses, card and phone numbers in whole texts, in linear time.
-They also label the spans that the tagger is trained on: windows of at most SAMPLE documents that hold
-a digit or an at sign, those with the least hash of their id.  The tagger reads overlapping windows of
-every text (any span it is trained on has a digit or an at sign, so windows without one are passed
-over), decodes each with the CRF, and the spans of all windows of a text are reconciled: strongest
-first, never over a base span or a stronger one, never cut by a window's edge, and only if the span,
-freed of its separators, is valid for its kind (digits, Luhn sum, parts).  So the tagger adds spans in
-forms that the patterns miss and leaves numbers that are no personal data alone.
+The tagger finds what they miss: spans that run into other numbers, so that a pattern's longest match
+fails, and disguised forms (see disguised).  It is trained on labelled spans of at most SAMPLE documents,
+those with the least hash of their id: their base spans, digit groups of a card's length whatever their
+check sum, and ROUNDS copies of each text with its spans disguised or set beside other numbers; half of at
+most WINDOWS windows hold spans, half none.  It reads overlapping windows of every text that hold a digit
+or an at sign, written or spelt (no span is without), decodes each with the CRF, and the spans of all
+windows of a text are reconciled: strongest first, never over a base span or a stronger one, never cut
+by a window's edge or out of a longer word or number, and only if the span, freed of its disguise, is
+valid for its kind (digits, Luhn sum, parts).
 
 Cases: null and empty texts have no spans; texts of any length are searched whole; a null id keeps its
 row; repeated rows are searched each; without labelled spans no tagger is fitted and the base spans
@@ -17,6 +19,7 @@ stand alone; an empty table gives an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import save
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents and windows that the tagger is fitted on, at most.
-SAMPLE, WINDOWS = 3000, 4000
+#: Documents and windows that the tagger is fitted on, at most, and disguised copies of each document.
+SAMPLE, WINDOWS, ROUNDS = 3000, 4000, 2
 SPAN, STRIDE, EDGE = 128, 80, 2
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -74,17 +77,86 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+_AT = r"[(\[{]\s*at\s*[)\]}]"
+_SPELT = re.compile(rf"(?i){_AT}|\sat\s+[a-z0-9-]+\s+dot\s")
+_PLAIN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+
+
+def plain_email(text: str) -> str:
+    """An e-mail address freed of spaces, brackets and spelt signs."""
+    text = re.sub(rf"(?i)\s*(?:{_AT}|\sat\s)\s*", "@", text)
+    text = re.sub(r"(?i)\s*(?:[(\[{]\s*dot\s*[)\]}]|\sdot\s)\s*", ".", text)
+    return re.sub(r"\s*([@.])\s*", r"\1", text)
+
+
 def valid(kind: int, text: str) -> bool:
-    """Whether a tagged text, freed of separators, is of its kind."""
-    bare = re.sub(r"[\s()\[\]]", "", text)
+    """Whether a tagged text, freed of its disguise, is of its kind."""
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", bare))
+        return bool(_PLAIN_EMAIL.fullmatch(plain_email(text)))
     if kind == 1:
+        bare = re.sub(r"[\s()\[\]]", "", text)
         return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", bare)) and ip_parts(bare)
     digits = re.sub(r"[ ().\-/_]", "", text)
     if kind == 2:
         return bool(re.fullmatch("[0-9]{12,19}", digits)) and luhn(digits)
-    return bool(re.fullmatch(r"(\+|00|\()[0-9 ().\-/]+", text)) and 9 <= len(re.sub("[^0-9]", "", text)) <= 15
+    apart = bool(re.search(r"[0-9)][ .\-/]+[0-9(]", text))  # a number in one piece may count anything
+    return bool(re.fullmatch(r"(\(?\+|00)[0-9 ().\-/]*[0-9]", text)) and (apart or "+" in text) and 9 <= len(re.sub("[^0-9]", "", text)) <= 15
+
+
+def whole(kind: int, text: str, start: int, end: int) -> bool:
+    """Whether a span is no part of a longer word or number."""
+    before, after = text[start - 1 : start], text[end : end + 1]
+    part = "[A-Za-z0-9_%+-]" if kind == 0 else "[0-9]"
+    return not (before and re.match(part, before)) and not (after and re.match("[A-Za-z0-9_]" if kind == 0 else "[0-9]", after))
+
+
+# ------------------------------------------------------------------ labelled spans
+
+_LIKE_A_CARD = re.compile(r"(?<![0-9+.-])[0-9]{12,19}(?![0-9])")
+
+
+def formed_spans(text: str) -> list[tuple[int, int, int]]:
+    """Base spans, and digit groups of a card's length: a tagger of characters can't tell their check sums."""
+    base = base_spans(text)
+    more = [(m.start(), m.end(), 2) for m in _LIKE_A_CARD.finditer(text) if all(m.end() <= s or e <= m.start() for s, e, _ in base)]
+    return sorted([*base, *more], key=lambda s: (s[0], s[2]))
+
+
+def disguised(kind: int, text: str, r: np.random.Generator) -> list[tuple[str, int | None]]:
+    """Parts (text, kind or None) that a span is replaced by: a disguise, or the span beside other numbers."""
+    number = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    if r.random() < 0.4:
+        other = [(number(int(r.integers(1, 9))), None), (number(16), 2), (".".join(str(x) for x in r.integers(0, 256, 4)), 1)][int(r.integers(0, 3))]
+        return [(text, kind), (" ", None), other] if kind == 3 or r.random() < 0.5 else [other, (" ", None), (text, kind)]
+    pick = lambda *forms: forms[int(r.integers(0, len(forms)))]
+    if kind == 0:
+        at, dot = pick((" @ ", " . "), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" at ", " dot "), (" (at) ", "."))
+        local, _, domain = text.partition("@")
+        return [(local + at + domain.replace(".", dot), 0)]
+    if kind == 1:
+        return [(text.replace(".", pick("[.]", " . ", "(.)", ". ")), 1)]
+    if kind == 2:
+        digits = re.sub("[ -]", "", text)
+        return [(pick(".", "/", "_", "  ", " - ").join(digits[i : i + 4] for i in range(0, len(digits), 4)), 2)]
+    digits = re.sub("[^0-9]", "", text)
+    cut = len(digits) - 10 if len(digits) > 10 else 1
+    groups = [digits[:cut], digits[cut : cut + 3], digits[cut + 3 : cut + 6], digits[cut + 6 :]]
+    return [(pick("00", "+", "(+") + pick(" ", "/", "-", ".").join(g for g in groups if g), 3)] if r.random() < 0.7 else [("00" + text[1:], 3)]
+
+
+def disguised_text(text: str, r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text with its spans disguised, and where they are then."""
+    out, spans, done, n = [], [], 0, 0
+    for s, e, k in formed_spans(text):
+        if s < done:
+            continue
+        for part, kind in [(text[done:s], None), *disguised(k, text[s:e], r)]:
+            if kind is not None:
+                spans.append((n, n + len(part), kind))
+            out.append(part)
+            n += len(part)
+        done = e
+    return "".join([*out, text[done:]]), spans
 
 
 # ------------------------------------------------------------------ the tagger
@@ -105,9 +177,12 @@ def classes(text: str) -> np.ndarray:
     return _TABLE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
 
-def cut_windows(cls: np.ndarray) -> list[int]:
-    """Starts of the windows that hold a digit or an at sign."""
+def cut_windows(cls: np.ndarray, text: str) -> list[int]:
+    """Starts of the windows that hold a digit or an at sign, written or spelt."""
+    spelt = [m.start() for m in _SPELT.finditer(text)]
     marks = np.flatnonzero((cls == 15) | (cls == 0))
+    if spelt:
+        marks = np.unique(np.concatenate([marks, spelt]))
     if not len(marks):
         return []
     last = marks // STRIDE
@@ -224,7 +299,7 @@ class Tagger:
         step = 0
         while step < steps:
             order = r.permutation(len(w))
-            for i in range(0, len(w), batch):
+            for i in range(0, min(len(w), batch * (steps - step)), batch):
                 k = order[i : i + batch]
                 g = self.gradients(w[k], y[k])
                 norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
@@ -270,7 +345,7 @@ def reconcile(text: str, base: list, found: list) -> list:
     for _, s, e, k in sorted(set(found), key=lambda x: (-x[0], x[1:])):
         while s < e and text[e - 1].isspace():
             e -= 1
-        if all(e <= a or b <= s for a, b in taken) and valid(k, text[s:e]):
+        if all(e <= a or b <= s for a, b in taken) and whole(k, text, s, e) and valid(k, text[s:e]):
             taken.append((s, e))
             more.append((s, e, k))
     return more
@@ -279,25 +354,29 @@ def reconcile(text: str, base: list, found: list) -> list:
 def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
     """A tagger of the base spans in a bounded sample of windows; None if there are none."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull())
-    marked = rows.where(F.col("_text").rlike("[0-9@]")).select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    marked = rows.where(F.col("_text").rlike("[0-9]{3}|@")).select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     marked = F.broadcast(save(marked.distinct(), "sample"))  # at most `sample` ids
 
     def label(batches):
         for b in batches:
             w, y = [], []
             for text in b.column(0).to_pylist():
-                cls = classes(text or "")
-                tags = tags_of(len(cls), base_spans(text or ""))
-                starts = cut_windows(cls)
-                w += [r.tobytes() for r in windowed(cls, starts)]
-                y += [np.pad(tags[s : s + SPAN], (0, max(0, SPAN - len(tags[s : s + SPAN])))).tobytes() for s in starts]
+                r = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+                for t, spans in [(text, formed_spans(text)), *(disguised_text(text, r) for _ in range(ROUNDS))]:
+                    cls = classes(t)
+                    tags = tags_of(len(cls), spans)
+                    starts = cut_windows(cls, t)
+                    w += [x.tobytes() for x in windowed(cls, starts)]
+                    y += [np.pad(tags[s : s + SPAN], (0, max(0, SPAN - len(tags[s : s + SPAN])))).tobytes() for s in starts]
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(y, pa.binary())], ["w", "y"])
 
-    got = rows.join(marked, "_id").select("_text").mapInArrow(label, "w binary, y binary").distinct()
+    got = rows.where("_text is not null").join(marked, "_id").select("_text").mapInArrow(label, "w binary, y binary").distinct()
     held = F.length(F.replace(F.hex("y"), F.lit("00"), F.lit(""))) > 0
-    got = got.orderBy(held.desc(), F.xxhash64("w"), "w", "y").limit(windows).collect()
-    w = np.array([np.frombuffer(r["w"], np.uint8) for r in got]).reshape(len(got), SPAN)
-    y = np.array([np.frombuffer(r["y"], np.int8) for r in got]).reshape(len(got), SPAN)
+    got = save(got.withColumn("held", held), "windows")
+    order = [F.xxhash64("w"), "w", "y"]
+    some = [r for h in (True, False) for r in got.where(F.col("held") == h).orderBy(*order).limit(windows // 2).collect()]  # at most `windows` rows
+    w = np.array([np.frombuffer(r["w"], np.uint8) for r in some]).reshape(len(some), SPAN)
+    y = np.array([np.frombuffer(r["y"], np.int8) for r in some]).reshape(len(some), SPAN)
     return Tagger().fit(w, y) if y.any() else None
 
 
@@ -323,7 +402,7 @@ def all_spans(texts: list[str], tagger: Tagger | None) -> list[list]:
 
         for i, t in enumerate(texts):
             cls = classes(t)
-            starts = cut_windows(cls)
+            starts = cut_windows(cls, t)
             if starts:
                 parts.append(windowed(cls, starts))
                 pending += [(i, s, len(cls)) for s in starts]

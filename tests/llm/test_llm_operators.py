@@ -293,8 +293,8 @@ def test_base_spans_equal_the_patterns():
 def test_tagger_learns_and_adds_only_what_is_valid():
     r = random.Random(5)
     texts = [" ".join(r.choice(["one", "two", "item", "see"]) for _ in range(12)) + r.choice([f" +1 ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)} ", f" u{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com ", f" {r.randint(1, 255)}.{r.randint(1, 255)}.7.9 ", " none "]) + "two see" for _ in range(160)]
-    w = np.concatenate([pii.windowed(c, s) for t in texts if (s := pii.cut_windows(c := pii.classes(t)))])
-    y = np.array([np.pad(g := pii.tags_of(len(t), pii.base_spans(t))[s : s + pii.SPAN], (0, pii.SPAN - len(g))) for t in texts for s in pii.cut_windows(pii.classes(t))])
+    w = np.concatenate([pii.windowed(c, s) for t in texts if (s := pii.cut_windows(c := pii.classes(t), t))])
+    y = np.array([np.pad(g := pii.tags_of(len(t), pii.base_spans(t))[s : s + pii.SPAN], (0, pii.SPAN - len(g))) for t in texts for s in pii.cut_windows(pii.classes(t), t)])
     tagger = pii.Tagger().fit(w, y, steps=120)
     tags, _ = tagger.decode(w)
     assert (tags == y).mean() > 0.97
@@ -304,6 +304,44 @@ def test_tagger_learns_and_adds_only_what_is_valid():
             assert base or pii.valid(k, t[s:e])
 
 
+def test_personal_data_of_documents_by_brute_force(spark):
+    docs = table(spark, "documents").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    tagger = pii.fit(docs)
+    for r in pii.digest(pii.find(docs, tagger)).collect():
+        want = slow_spans(texts[r["doc_id"]])
+        line = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in want)
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[2] == i for x in want) for i in range(4)]
+        assert set(line.split(",")) <= set(r["spans"].split(","))
+
+
+def test_added_spans_of_disguised_texts(spark):
+    """Trained on some documents, held against disguises planted in others."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[0-9]{3}|@' and doc_id % 3 <> 0").select("text").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tagger = pii.fit(docs.where("doc_id % 3 <> 0"))
+    made = [pii.disguised_text(t, np.random.default_rng(i)) for i, t in enumerate(texts) if i % 3 == 0]
+    found = missed = wrong = 0
+    for (t, planted), spans in zip(made, pii.all_spans([t for t, _ in made], tagger)):
+        base = {x[:3] for x in spans if x[3]}
+        added = {x[:3] for x in spans if not x[3]}
+        want = {x for x in planted if pii.valid(x[2], t[x[0] : x[1]])} - base
+        found, missed = found + len(want & added), missed + len(want - added)
+        wrong += sum(not any(s < b and a < e for a, b, _ in planted) for s, e, _ in added)
+    assert found > 20 and found / (found + missed) > 0.8 and wrong <= 0.05 * found
+
+
+def test_spans_that_run_into_other_numbers():
+    text = "call +1 (826) 555-4081 190.137.223.20 or 7536784127813050 4845168114407329, not 48451681144073291234567"
+    assert [text[s:e] for s, e, _ in pii.base_spans(text)] == ["190.137.223.20"]
+    assert pii.whole(3, text, 5, 22) and pii.valid(3, text[5:22]) and not pii.whole(2, text, text.rindex("4845"), text.rindex("4845") + 16)
+    for kind, t in ((0, "a (at) b [dot] com"), (0, "a@b . co"), (1, "1[.]2[.]3[.]4"), (2, "4845/1681/1440/7329"), (3, "00 1 826 555 4081")):
+        assert pii.valid(kind, t)
+    for kind, t in ((0, "a at b"), (1, "1[.]2[.]3[.]400"), (2, "4845 1681 1440 7328"), (3, "0018265554081")):
+        assert not pii.valid(kind, t)
+
+
 def test_crf_gradient():
     r = np.random.default_rng(0)
     tagger = pii.Tagger(hidden=3, wide=2)
