@@ -12,14 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Keys of a join that are joined by broadcast at most: those that hold a thousandth of the rows each.
+HOT = 1000
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset.
+
+    Executors of a cluster don't see a folder of the driver's machine, so there the setting is asked for.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_to = sc._jsc.sc().getCheckpointDir()
         if set_to.isDefined():
             root = set_to.get()
+        elif not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="termweave-")
             sc.setCheckpointDir(root)
@@ -69,6 +78,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right, which has one row for each key; null where right has none.
+
+    A key may hold a third of left's rows: those with a thousandth or more, at most HOT of them, meet
+    their rows of right by broadcast; null keys are not shuffled at all.
+    """
+    left = save(left, "left")  # read several times
+    least = max(100, left.count() // HOT)
+    hot = save(left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= least).select(key, F.lit(True).alias("_hot")), "hot")
+    told = left.join(F.broadcast(hot), key, "left")  # at most HOT rows
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))  # at most HOT rows
+    many = told.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot").join(right, key, "left")
+    out = told.where("_hot").drop("_hot").join(few, key, "left").unionByName(many)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
+    return out.unionByName(left.where(F.col(key).isNull()).select("*", *none))
+
+
 def global_rank(df: DataFrame, keys: list, name: str) -> DataFrame:
     """Number the rows 0, 1, ... in the order of keys without gathering them in one task.
 

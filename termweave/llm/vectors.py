@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, keep, least_members, save, scratch
+from .common import components, hot_join, keep, least_members, save, scratch
 
 #: Vectors of one bucket that are compared in one group at most; larger buckets are split into blocks.
 BLOCK = 1024
@@ -180,7 +180,7 @@ def _near_duplicates(vectors: DataFrame, least: float, seed: int, id_col: str, v
     low = least_members(comp, classes.select("node", "first"))
     per = classes.select("node", "first", "mult").join(counts, "node", "left").join(low, "node", "left")
     per = save(per.select("node", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("least", "first").alias("low")), "named")
-    out = rows.select("vec_id", "node").join(per, "node", "left")
+    out = hot_join(rows.select("vec_id", "node"), per, "node")  # copies of one vector share a node, unusable ones have none
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("low")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
@@ -261,6 +261,11 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     several rows is asked once, with its least vector; shorter vectors count as padded with zeros;
     equal scores go to the smaller id; an empty table gives an empty result.
     """
+    with scratch(vectors.sparkSession):
+        return keep(_top_k(vectors, k, every, scale, id_col, vec_col), "top-k")
+
+
+def _top_k(vectors: DataFrame, k: int, every: int, scale: int, id_col: str, vec_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
     rows = save(rows.select("vec_id", whole("v", scale).alias("x")), "whole")
     asks = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
