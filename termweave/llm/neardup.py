@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, keep, least_members, save, scratch
+from .common import components, hot_join, keep, least_members, save, scratch
 from .kernels import U64, mix, slices, text_bytes, words
 
 TREES, DEPTH, REGION, NEAR, PARTNERS = 20, 12, 24, 3, 3
@@ -332,10 +332,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
 def _near_duplicates(docs: DataFrame, size: int, share: tuple[int, int], seed: int, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     sigs = save(signatures(docs, size, seed, id_col, text_col), "signatures")
-    nodes = sigs.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    classes = save(nodes, "classes")
-    reps = sigs.where("sig is not null").join(classes, "node").where("doc_id = first").dropDuplicates(["node"]).select("node", "n", "sig")
-    reps = save(reps, "reps")
+    # copies have equal signatures, so any one's will do, and partial sums leave few rows of a hot class
+    nodes = sigs.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    whole = save(nodes, "classes")
+    classes, reps = whole.select("node", "first"), whole.select("node", "n", "sig")
     pairs = save(candidates(reps, share), "candidates")
 
     crowd = crowds(reps, least_depth(share))
@@ -366,7 +366,7 @@ def _near_duplicates(docs: DataFrame, size: int, share: tuple[int, int], seed: i
     if not more.isEmpty():
         comp = components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     joined = lambda more: components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    whole = False
+    met = False
     while not crowd.isEmpty():  # what a crowded region may have hidden; a class that joins can bring others
         rest = save(outside(crowd, comp), "outside")
         asks = save(rest.where("component is not null").select("node", "component").distinct(), "asks")
@@ -375,15 +375,15 @@ def _near_duplicates(docs: DataFrame, size: int, share: tuple[int, int], seed: i
             if not more.isEmpty():
                 comp = joined(more)
                 continue
-        if whole:
+        if met:
             break
         # all classes outside have met the main component; now they meet each other, once
-        more, whole = save(among(rest, reps, sets, share), "links"), True
+        more, met = save(among(rest, reps, sets, share), "links"), True
         if more.isEmpty():
             break
         comp = joined(more)
     named = save(classes.join(least_members(comp, classes), "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "named")
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    out = hot_join(sigs.select("doc_id", F.col("n").alias("n_shingles"), "node"), named, "node")  # exact copies share a node, empty texts have none
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).cast(kind).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
