@@ -15,6 +15,7 @@ to the oldest bin.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import keep, save, scratch
 
 #: Pieces of a group, and the least share of open bins that a round must save for another to follow.
 GROUP, SAVED = 8192, 100
@@ -44,12 +45,21 @@ def byte_signs() -> list[str]:
     return [chr(b if b in seen else next(rest)) for b in range(256)]
 
 
+#: The steps before the model of vocabularies whose words WordIds knows how to split.
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLITS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class WordIds(dict):
     """The ids of a text as bytes (unsigned 32-bit, little-endian), word by word.
 
     The vocabulary splits a normalised text into runs whose ids don't depend on their neighbours, so
     each word is encoded by the tokenizer once and then looked up.  Texts with characters outside the
-    Latin blocks, other spaces, or a special token's opening go to the tokenizer whole.
+    Latin blocks, other spaces, or a special token's opening go to the tokenizer whole, and so does
+    every text if the file's steps before the model are not STEPS.
     """
 
     def __init__(self, path: str):
@@ -61,7 +71,10 @@ class WordIds(dict):
         self.signs = {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0x250)}
         letter, digit = _latin("L"), _latin("N")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\\t-\\r {letter}{digit}]+").findall
-        self.plain = re.compile("[\t-\r -\x7e\xa1-\u012f\u0131-\u024f]*").fullmatch
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        known = all(own.get(k) == v for k, v in STEPS.items())
+        self.plain = re.compile("[\t-\r -\x7e\xa1-\u012f\u0131-\u024f]*").fullmatch if known else lambda text: None
 
     def __missing__(self, word: str) -> bytes:
         # the vocabulary's own model on the word's byte signs, without the steps for whole texts
@@ -161,10 +174,17 @@ def packer(caps: np.ndarray, weights: np.ndarray, rule: str, slack: float, level
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int = 4096, max_attention: int | None = None, weights=(1.0, 1e-6, 1e-6), rule: str = "norm", slack: float = 0.01, seed: int = 29) -> DataFrame:
-    """pieces with sequence_id and offset.  A bin with less than slack of its tokens left is closed."""
-    caps = np.array([capacity, max_docs, max_attention or capacity * capacity], float)
-    w = np.array(weights)
+def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int = 4096, max_attention: int | None = None, weights=(1.0, 1.0, 1.0), rule: str = "norm", slack: float = 0.01, seed: int = 29) -> DataFrame:
+    """pieces with sequence_id and offset.  A bin with less than slack of its tokens left is closed.
+
+    All three residuals weigh alike, each as a share of its capacity, so where bins leave equal tokens
+    the one with fewer documents and less attention cost to spare is chosen.
+    """
+    with scratch(pieces.sparkSession):
+        return keep(_pack(pieces, np.array([capacity, max_docs, max_attention or capacity * capacity], float), np.array(weights, float), rule, slack, seed), "sequences")
+
+
+def _pack(pieces: DataFrame, caps: np.ndarray, w: np.ndarray, rule: str, slack: float, seed: int) -> DataFrame:
     fields = list(pieces.columns)
     pieces = save(pieces, "pieces")
     n, level, done, kept = pieces.count(), 0, [], [*fields, "sequence_id", "offset"]
