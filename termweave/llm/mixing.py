@@ -9,8 +9,8 @@ side.  Those of other sources meet in ever fewer buckets, a source's only as man
 ask for.  A source therefore misses its target by less than half a document.
 
 Cases: null text has size 0; null source is a source of its own, ranked last; documents of size 0 are
-never taken; repeated rows count each; a null id is an id like any other; an empty table gives an empty
-result; ties in the order of duels fall to the id.  Other columns are ignored.
+never taken; repeated rows count each; a null id is an id like any other; rows equal in id, source and
+size are dealt in parts of a bucket's size; an empty table gives an empty result; ties in the order of duels fall to the id.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_rank, save
+from .common import global_rank, keep, save, scratch
 
 #: Documents settled in one bucket.
 BUCKET = 4096
@@ -92,20 +92,45 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
+def parts_of_copies(sizes: DataFrame) -> DataFrame:
+    """sizes with `part`: 0, but rows equal in id, source and size are numbered in parts of BUCKET rows.
+
+    Such rows are alike, so only how many there are in a part counts, and reruns agree.
+    """
+    same = ["doc_id", "source", "size"]
+    many = save(sizes.groupBy(*same).agg(F.count("*").alias("_m")).where(F.col("_m") > BUCKET), "many")
+    if many.isEmpty():
+        return sizes.withColumn("part", F.lit(0).cast("long"))
+    on = [sizes[c].eqNullSafe(many[c]) for c in same]
+    rest = sizes.join(many, on, "left_anti").withColumn("part", F.lit(0).cast("long"))
+    hot = sizes.join(many, on, "left_semi").withColumn("_r", F.rand(1))
+    ranked = save(global_rank(hot, [*same, "_r"], "_at"), "ranked")  # the tie-breaker spreads a group over partitions
+    least = ranked.groupBy(*same).agg(F.min("_at").alias("_from"))
+    least = least.select(*[F.col(c).alias("_" + c) for c in same], "_from")
+    told = ranked.join(least, [F.col(c).eqNullSafe(F.col("_" + c)) for c in same])
+    return rest.unionByName(told.withColumn("part", F.floor((F.col("_at") - F.col("_from")) / BUCKET)).select(*sizes.columns, "part"))
+
+
 def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), most: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple = ()) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken, and columns to carry."""
+    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken, and columns to carry; a written table."""
+    with scratch(docs.sparkSession):
+        return keep(_mix(docs, weights, share, most, seed, id_col, text_col, source_col, carry), "mixed")
+
+
+def _mix(docs: DataFrame, weights, share, most: int, seed: int, id_col: str, text_col: str, source_col: str, carry: tuple) -> DataFrame:
     sizes = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *carry), "sizes")
+    parted = parts_of_copies(sizes)
     targets = save(source_targets(sizes, weights, share, most), "targets")
     per = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     # sources are few beside documents; a hot one is split by AQE's skew join, or the small side is sent
     t = targets.withColumnRenamed("source", "_s")
-    rows = sizes.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_p", per)
+    rows = parted.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_p", per)
     rows = rows.withColumn("base", F.floor("_p")).withColumn("mass", (F.col("_p") - F.floor("_p")) * F.col("size")).drop("_p")
-    hashed = lambda level: F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed), F.lit(level))
+    hashed = lambda level: F.xxhash64("doc_id", "size", "part", F.lit(seed), F.lit(level))
     n = sizes.count()
     buckets, level, done = max(1, -(-n // BUCKET)), 0, []
-    fields = ["doc_id", "source", "size", "source_size", "target", "base", "mass", *carry]
-    dealt = rows.select(*fields).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(buckets)))
+    fields = ["doc_id", "source", "size", "part", "source_size", "target", "base", "mass", *carry]
+    dealt = rows.select(*fields).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "part", F.lit(seed)), F.lit(buckets)))
     closed = (F.col("mass") <= 0) | (F.col("mass") >= F.col("size"))
     nearer = F.when(2 * F.col("mass") < F.col("size"), 0.0).otherwise(F.col("size").cast("double"))
     while True:
@@ -123,8 +148,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), most: int = 2, seed: i
             break
         # a source's documents in as many parts as they fill buckets; parts of several sources share a bucket
         level += 1
-        part = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed), F.lit(level)), F.ceil(F.col("_n") / BUCKET))
-        dealt = left.withColumn("bucket", F.pmod(F.xxhash64("source", part, F.lit(seed)), F.lit(-(-n // BUCKET)))).drop("_n")
+        share_of = F.pmod(hashed(level), F.ceil(F.col("_n") / BUCKET))
+        dealt = left.withColumn("bucket", F.pmod(F.xxhash64("source", share_of, F.lit(seed)), F.lit(-(-n // BUCKET)))).drop("_n")
     return _copies(done, carry)
 
 
