@@ -12,6 +12,10 @@ from pyarrow import fs
 U64 = np.uint64
 
 
+#: Where the n-th one of a byte is, for all bytes.
+PLACES = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
+
+
 def bits_for(most: int) -> int:
     return max(1, int(most).bit_length())
 
@@ -58,9 +62,13 @@ class EliasFano:
 
     def _select(self, counts: np.ndarray, words: np.ndarray, k: np.ndarray) -> np.ndarray:
         w = np.searchsorted(counts, k, "right") - 1
-        bit = np.unpackbits(words[w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        nth = (k - counts[w] + 1).astype(np.uint8)
-        return w * 64 + (np.cumsum(bit, axis=1, dtype=np.uint8) == nth[:, None]).argmax(1)
+        byte = words[w].view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(byte), axis=1, dtype=np.uint8)
+        nth = (k - counts[w]).astype(np.uint8)
+        at = (upto <= nth[:, None]).sum(1)  # the byte that holds it
+        row = np.arange(len(k))
+        inside = nth - np.where(at > 0, upto[row, at - 1], 0)
+        return w * 64 + at * 8 + PLACES[byte[row, at], inside]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""

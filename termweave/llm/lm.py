@@ -4,13 +4,15 @@ Level 1 holds every training token's 64-bit hash (Elias-Fano) and exact count; i
 of the hashes.  Level 2 and 3 hold, for every node above, a range of successors (monotone pointers,
 Elias-Fano), the successors in ascending order (packed; in level 3 a successor is its rank among those
 of the last word, so few bits do), and smoothed log10 probabilities and back-off weights in 16 bits.
-An n-gram is found by a search of its successor within its context's range.  Each level is counted in
-one pass over all training texts (partial counts in compressed blocks, added by shard in Spark) and
-written to files in the shared folder, which the tasks of the next pass map.
+An n-gram is found by a search of its successor within its context's range.
 
-N-grams of more than one token are kept if they were seen LEAST times; then so were their parts, so
-the passes skip what cannot qualify.  p(w | context) = (c + PRIOR * p(w | shorter)) / (S + PRIOR), with
-S the kept counts of the context; for words not kept the factor PRIOR / (S + PRIOR) is the back-off
+The training texts are read twice: for the words, and for two and three tokens together, whose partial
+counts (contexts with their successors, in compressed blocks) Spark adds up by shard, a range of first
+words.  A shard's level 2 is written with the counts of its level 3; these become level 3, shard by
+shard, when all of level 2 can be looked up.  The files are in the shared folder; tasks map them.
+
+All n-grams of the training texts are kept.  p(w | context) = (c + PRIOR * p(w | shorter)) / (S + PRIOR),
+with S the count of the context; for words not seen there the factor PRIOR / (S + PRIOR) is the back-off
 weight.  So the probabilities of a context add up to one, but for rounding to 16 bits.
 
 Cases: null and empty texts have the end token only; a null id is trained on and not held out;
@@ -22,19 +24,20 @@ result.  Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import drop, keep, shared_path
 from .compact import EliasFano, bits_for, ef_encode, pack, read_arrays, unpack, write_arrays
 from .kernels import U64, slices, text_bytes, words
 
-ORDER, LEAST, PRIOR, ADD = 3, 2, 4.0, 0.1
+ORDER, PRIOR, ADD = 3, 4.0, 0.1
 END = U64(0x5EED0FE0D0F7E875)
 #: Keys that a task gathers before it sends partial counts, and bytes of text for a shard of a level.
-FLUSH, SHARD_BYTES, SHARDS = 3_000_000, 8 << 20, 4096
+FLUSH, SHARD_BYTES = 3_000_000, 8 << 20
 #: Bytes of text handled at a time, and the range of 16-bit logarithms.
 SLICE, DEEPEST = 3 << 20, 32.0
 
@@ -66,17 +69,45 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, int)
 
 
-def _bundle(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys and counts, as bytes: differences by significance, then counts, compressed."""
-    gap = np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(1).compress(np.array([len(keys)], "<i8").tobytes() + gap + np.minimum(counts, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and each key's place among them."""
+    code, own = pd.factorize(keys)
+    order = np.argsort(own)
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own))
+    return own[order], rank[code]
+
+
+def _bytes(a: np.ndarray, width: int) -> bytes:
+    """Unsigned integers as bytes by significance, so that they compress."""
+    return a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _numbers(raw: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel()
+
 
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys.astype(U64), prepend=U64(0))
 
-def _unbundle(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+
+def _bundle(keys: np.ndarray, counts: np.ndarray, fan: np.ndarray | None = None, succ: np.ndarray | None = None, more: np.ndarray | None = None) -> bytes:
+    """Ascending keys and counts as compressed bytes; with them the number of successors of each, the successors and their counts."""
+    none = np.zeros(0, np.int64)
+    fan, succ, more = (none if x is None else x for x in (fan, succ, more))
+    head = np.array([len(keys), len(fan), len(succ)], "<i8").tobytes()
+    most = lambda c: np.minimum(c, 2**32 - 1)
+    return zstandard.ZstdCompressor(1).compress(head + _bytes(_gaps(keys), 8) + _bytes(most(counts), 4) + _bytes(fan, 4) + _bytes(succ, 8) + _bytes(most(more), 4))
+
+
+def _unbundle(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = int(raw[:8].view("<i8")[0])
-    keys = np.cumsum(np.ascontiguousarray(raw[8 : 8 + 8 * n].reshape(8, n).T).view("<u8").ravel())
-    return keys, np.ascontiguousarray(raw[8 + 8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    n, m, k = map(int, raw[:24].view("<i8"))
+    at, out = 24, []
+    for size, width in ((n, 8), (n, 4), (m, 4), (k, 8), (k, 4)):
+        out.append(_numbers(raw[at : at + size * width], width))
+        at += size * width
+    return np.cumsum(out[0]), *(x.astype(np.int64) for x in out[1:])
 
 
 class Shards:
@@ -160,8 +191,7 @@ class Level(Shards):
 
     def find(self, parents: np.ndarray, succ: np.ndarray, base: int):
         """For pairs in any order: node (-1: none), probability, back-off weight of the parent, rank in its range."""
-        key = parents.astype(U64) * U64(base) + succ.astype(U64)
-        key, back = np.unique(key, return_inverse=True)
+        key, back = distinct(parents.astype(U64) * U64(base) + succ.astype(U64))
         p = (key // U64(base)).astype(np.int64)
         want = (key - p.astype(U64) * U64(base)).astype(np.int64)
         first = _runs(p)
@@ -202,22 +232,17 @@ class Trie:
 
     def look(self, hashes: np.ndarray, at: np.ndarray):
         """Ids and counts of all tokens, and for each level its (node, probability, weight, rank), -1 and 0 where absent."""
-        own, back = np.unique(hashes, return_inverse=True)
+        own, back = distinct(hashes)
         ids, counts = self.vocabulary.find(own)
         ids, counts = ids[back], counts[back]
         inner = np.ones(len(ids), bool)
         inner[at[:-1][at[:-1] < len(ids)]] = False
         found = []
         before, succ, base = ids, ids, max(1, self.vocabulary.size)
-        frequent = counts >= LEAST
-        for k, level in enumerate(self.levels):
+        for level in self.levels:
             ok = inner.copy()
             ok[1:] &= before[:-1] >= 0
-            if k == 0:
-                ok[1:] &= frequent[:-1]
-                want = ok & frequent
-            else:
-                want = ok & (succ >= 0)
+            want = ok & (succ >= 0)
             node, rank = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
             prob, weight = np.zeros(len(ids)), np.zeros(len(ids))
             q = np.flatnonzero(want)
@@ -226,7 +251,7 @@ class Trie:
                 rank[q] = np.where(node[q] >= 0, r, -1)
             q = np.flatnonzero(ok & ~want)
             if len(q):
-                parents, b = np.unique(before[q - 1], return_inverse=True)
+                parents, b = distinct(before[q - 1])
                 weight[q] = level.ranges(parents)[2][b]
             found.append((node, prob, weight, rank))
             before, succ = node, rank
@@ -240,27 +265,24 @@ class Trie:
         return p
 
 
-def _partial(keys_of, shard_of):
-    """A function over (text, training) rows: compressed partial counts of keys by shard."""
+def _partial(arrays_of, bundles):
+    """A function over (text, training) rows: compressed partial counts by shard.
+
+    arrays_of gives tuples of equally long arrays for slices of texts; bundles makes (shards, blobs) of FLUSH of them.
+    """
 
     def run(batches):
         held, n = [], 0
 
         def flush():
-            keys = np.sort(np.concatenate(held))
-            start = _runs(keys)
-            counts = np.diff(np.append(start, len(keys)))
-            keys = keys[start]
-            shard = shard_of(keys)
-            cut = _runs(shard)
-            edges = np.append(cut, len(keys))
-            return pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int32)), pa.array([_bundle(keys[a:b], counts[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["shard", "part"])
+            shards, blobs = bundles(*(np.concatenate(x) for x in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(shards, np.int32)), pa.array(blobs, pa.binary())], ["shard", "part"])
 
         for b in batches:
-            for keys in keys_of(b.column(0).filter(b.column(1))):
-                if len(keys):
-                    held.append(keys)
-                    n += len(keys)
+            for arrays in arrays_of(b.column(0).filter(b.column(1))):
+                if len(arrays[0]):
+                    held.append(arrays)
+                    n += len(arrays[0])
                 if n >= FLUSH:
                     yield flush()
                     held, n = [], 0
@@ -270,22 +292,31 @@ def _partial(keys_of, shard_of):
     return run
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    start = _runs(keys)
-    return keys[start], np.add.reduceat(counts, start)
+def _added(parts: list[tuple[np.ndarray, ...]], base: int) -> tuple[np.ndarray, ...]:
+    """Parts of one shard as one: keys, counts, and the successors of each key with their counts."""
+    keys, counts, fan, succ, more = (np.concatenate(x) for x in zip(*parts))
+    own, at = distinct(keys)
+    total = np.bincount(at, counts, len(own)).astype(np.int64)
+    if not len(fan):
+        return own, total, fan, succ, more
+    pair = np.repeat(at, fan).astype(U64) * U64(base) + succ.astype(U64)
+    order = np.argsort(pair, kind="stable")
+    pair, more = pair[order], more[order]
+    first = _runs(pair)
+    more = np.add.reduceat(more, first) if len(first) else more
+    pair = pair[first]
+    at = (pair // U64(base)).astype(np.int64)
+    return own, total, np.bincount(at, minlength=len(own)), (pair - at.astype(U64) * U64(base)).astype(np.int64), more
 
 
-def _assemble(finish):
-    """A function over rows sorted by shard: adds a shard's parts up, writes its file, tells its size."""
+def _assemble(finish, base: int):
+    """A function over rows sorted by shard: adds a shard's parts up, writes its files, tells its size."""
 
     def run(batches):
         shard, parts, n = None, [], 0
 
         def close():
-            size, total = finish(shard, *_added(parts))
+            size, total = finish(shard, *_added(parts, base))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([total], pa.int64())], ["shard", "size", "total"])
 
         for b in batches:
@@ -295,99 +326,137 @@ def _assemble(finish):
                         yield close()
                     shard, parts, n = s, [], 0
                 parts.append(_unbundle(blob))
-                n += len(parts[-1][0])
+                n += len(parts[-1][0]) + len(parts[-1][3])
                 if n > 2 * FLUSH:
-                    parts = [_added(parts)]
-                    n = max(0, len(parts[0][0]) - FLUSH)
+                    parts = [_added(parts, base)]
+                    n = max(0, len(parts[0][0]) + len(parts[0][3]) - FLUSH)
         if parts:
             yield close()
 
     return run
 
 
-def _count(rows: DataFrame, shards: int, keys_of, shard_of, finish) -> dict[int, tuple[int, int]]:
-    parts = rows.mapInArrow(_partial(keys_of, shard_of), "shard int, part binary")
-    told = parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_assemble(finish), "shard int, size long, total long")
+TOLD = "shard int, size long, total long"
+
+
+def _count(rows: DataFrame, shards: int, arrays_of, bundles, finish, base: int) -> dict[int, tuple[int, int]]:
+    parts = rows.mapInArrow(_partial(arrays_of, bundles), "shard int, part binary")
+    told = parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_assemble(finish, base), TOLD)
     return {r["shard"]: (r["size"], r["total"]) for r in told.collect()}  # three numbers a shard
 
 
+def _level(own: np.ndarray, width: int, succ: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> dict[str, np.ndarray]:
+    """A shard's arrays: own is each successor's parent, from 0 to width, ascending."""
+    sums = np.bincount(own, counts, width)
+    prob = np.log10((counts + PRIOR * 10**lower) / (sums[own] + PRIOR))
+    wide = bits_for(int(succ.max()) if len(succ) else 0)
+    pointers = np.searchsorted(own, np.arange(width + 1))
+    return ef_encode(pointers, "ptr") | {"succ": pack(succ, wide), "width": np.array([wide]), "prob": quantised(prob), "weight": quantised(np.log10(PRIOR / (sums + PRIOR)))}
+
+
 def build(docs: DataFrame, training, order: int = ORDER, text_col: str = "text") -> Trie:
-    """The trie of the texts whose rows satisfy `training` (a Column)."""
+    """The trie of the texts whose rows satisfy `training` (a Column), of order 1 to 3."""
+    if order not in (1, 2, 3):
+        raise ValueError("order is 1, 2 or 3")
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(training, F.lit(True)).alias("training"))
     size = rows.where("training").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     root = shared_path(spark, "trie")
-    shards = int(min(SHARDS, max(1, size // SHARD_BYTES)))
+    shards = int(max(1, size // SHARD_BYTES))
     bits = max(0, (shards // 8).bit_length())
 
     def hashes(col):
         for h, _, _ in tokens(col):
-            yield h
-
-    def vocabulary(s, keys, counts):
+            yield (h,)
+
+    def words_by_shard(keys):
+        keys = np.sort(keys)
+        start = _runs(keys)
+        counts, keys = np.diff(np.append(start, len(keys))), keys[start]
+        shard = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        cut = _runs(shard)
+        edges = np.append(cut, len(keys))
+        return shard[cut], [_bundle(keys[a:b], counts[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+
+    def vocabulary(s, keys, counts, *_):
         width = bits_for(int(counts.max()))
         write_arrays(f"{root}/1/{s}", ef_encode(keys, "hash") | {"count": pack(counts, width), "width": np.array([width])})
         return len(keys), int(counts.sum())
 
-    def top(keys):
-        return (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-
-    told = _count(rows, 1 << bits, hashes, top, vocabulary)
+    told = _count(rows, 1 << bits, hashes, words_by_shard, vocabulary, 1)
     v = Vocabulary(f"{root}/1", [told.get(s, (0, 0))[0] for s in range(1 << bits)], sum(t for _, t in told.values()))
-    trie = Trie(v)
-    base = max(1, v.size)
-    for level in range(2, order + 1):
-        above = v.size if level == 2 else int(trie.levels[-1].first[-1])
-        if not above:
-            break
-        # shards are ranges of parents of equal number; parents of level 1 stand in the order of hashes
-        width = -(-above // shards)
-        bounds = np.minimum(np.arange(shards + 1, dtype=np.int64) * width, above)
-        uri = f"{root}/{level}"
-
-        def ngrams(col, trie=trie, level=level):
-            for h, at, _ in tokens(col):
-                ids, counts, found = trie.look(h, at)
-                if level == 2:
-                    before, succ = np.where(counts >= LEAST, ids, -1), np.where(counts >= LEAST, ids, -1)
-                else:
-                    before, succ = found[-1][0], found[-1][3]
-                inner = np.ones(len(ids), bool)
-                inner[at[:-1][at[:-1] < len(ids)]] = False
-                q = np.flatnonzero(inner & (succ >= 0))
-                q = q[before[q - 1] >= 0]
-                yield before[q - 1].astype(U64) * U64(base) + succ[q].astype(U64)
-
-        def finish(s, keys, counts, trie=trie, level=level, bounds=bounds, uri=uri):
-            kept = counts >= LEAST
-            keys, counts = keys[kept], counts[kept]
-            parent = (keys // U64(base)).astype(np.int64)
-            succ = (keys - parent.astype(U64) * U64(base)).astype(np.int64)
-            if level == 2:
-                word, back = np.unique(succ, return_inverse=True)
-                lower = trie.vocabulary.log10(trie.vocabulary.counts(word))[back]
-            else:
-                up = trie.levels[-1]
-                last = up.values(parent, "succ")
-                word, back = np.unique(last, return_inverse=True)
-                node = up.ranges(word)[0][back] + succ
-                node, back = np.unique(node, return_inverse=True)
-                lower = up.values(node, "prob")[back]
-            own = parent - bounds[s]
-            sums = np.bincount(own, counts, bounds[s + 1] - bounds[s])
-            prob = np.log10((counts + PRIOR * 10**lower) / (sums[own] + PRIOR))
-            pointers = np.searchsorted(own, np.arange(bounds[s + 1] - bounds[s] + 1))
-            wide = bits_for(int(succ.max()) if len(succ) else 0)
-            write_arrays(f"{uri}/{s}", ef_encode(pointers, "ptr") | {"succ": pack(succ, wide), "width": np.array([wide]), "prob": quantised(prob), "weight": quantised(np.log10(PRIOR / (sums + PRIOR)))})
-            return len(keys), int(counts.sum())
-
-        told = _count(rows, shards, ngrams, lambda k, width=width: (k // U64(base) // U64(width)).astype(np.int64), finish)
-        empty = [s for s in range(shards) if s not in told]
-        for s in empty:  # ranges without any n-gram have files too
-            n = int(bounds[s + 1] - bounds[s])
-            write_arrays(f"{uri}/{s}", ef_encode(np.zeros(n + 1, np.int64), "ptr") | {"succ": pack(np.zeros(0), 1), "width": np.array([1]), "prob": np.zeros(0, "<u2"), "weight": np.zeros(n, "<u2")})
-        trie = Trie(v, [*trie.levels, Level(uri, [told.get(s, (0, 0))[0] for s in range(shards)], bounds)])
-    return trie
+    if order == 1 or not v.size:
+        return Trie(v)
+    base, words_only = v.size, Trie(v)
+    # shards are ranges of first words of equal number, in the order of their hashes
+    width = -(-base // shards)
+    bounds = np.minimum(np.arange(shards + 1, dtype=np.int64) * width, base)
+
+    def pairs(col):
+        """Of every token that another follows: its pair, and the token after that (-1: none)."""
+        for h, at, _ in tokens(col):
+            ids, _, _ = words_only.look(h, at)
+            last = at[1:] - 1
+            pair = np.ones(len(ids), bool)
+            pair[last] = False
+            q = np.flatnonzero(pair)
+            pair[last[last > 0] - 1] = False  # a text's last pair has no third token
+            third = np.where(pair[q], ids[np.minimum(q + 2, len(ids) - 1)], -1)
+            yield ids[q].astype(U64) * U64(base) + ids[q + 1].astype(U64), third
+
+    def pairs_by_shard(keys, third):
+        own, at = distinct(keys)
+        counts = np.bincount(at, minlength=len(own))
+        if order > 2:
+            some = third >= 0
+            triple = np.sort(at[some].astype(U64) * U64(base) + third[some].astype(U64))
+            start = _runs(triple)
+            more, triple = np.diff(np.append(start, len(triple))), triple[start]
+            up = (triple // U64(base)).astype(np.int64)
+            succ = (triple - up.astype(U64) * U64(base)).astype(np.int64)
+            fan = np.bincount(up, minlength=len(own))
+        else:
+            fan, succ, more = (np.zeros(0, np.int64) for _ in range(3))
+        shard = (own // U64(base) // U64(width)).astype(np.int64)
+        cut = _runs(shard)
+        edges = np.append(cut, len(own))
+        to = np.concatenate([[0], np.cumsum(fan)])[edges] if len(fan) else np.zeros(len(edges), np.int64)
+        return shard[cut], [_bundle(own[a:b], counts[a:b], fan[a:b], succ[x:y], more[x:y]) for a, b, x, y in zip(edges[:-1], edges[1:], to[:-1], to[1:])]
+
+    def second(s, keys, counts, fan, succ, more):
+        parent = (keys // U64(base)).astype(np.int64)
+        word = (keys - parent.astype(U64) * U64(base)).astype(np.int64)
+        known, back = distinct(word)
+        lower = v.log10(v.counts(known))[back]
+        write_arrays(f"{root}/2/{s}", _level(parent - bounds[s], int(bounds[s + 1] - bounds[s]), word, counts, lower))
+        if order > 2:
+            write_arrays(f"{root}/counts/{s}", {"word": word, "fan": fan, "succ": succ, "count": more})
+        return len(keys), int(counts.sum())
+
+    told = _count(rows, shards, pairs, pairs_by_shard, second, base)
+    for s in (s for s in range(shards) if s not in told):  # ranges without any pair have files too
+        none = np.zeros(0, np.int64)
+        write_arrays(f"{root}/2/{s}", _level(none, int(bounds[s + 1] - bounds[s]), none, none, none.astype(float)))
+    two = Level(f"{root}/2", [told.get(s, (0, 0))[0] for s in range(shards)], bounds)
+    trie = Trie(v, [two])
+    if order == 2 or not told:
+        return trie
+
+    def third(batches):
+        up = trie.levels[0]
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                n = int(up.first[s + 1] - up.first[s])
+                raw = read_arrays(f"{root}/counts/{s}") if n else {k: np.zeros(0, np.int64) for k in ("word", "fan", "succ", "count")}
+                own = np.repeat(np.arange(n), raw["fan"])
+                _, lower, _, rank = up.find(raw["word"][own], raw["succ"], base)
+                write_arrays(f"{root}/3/{s}", _level(own, n, rank, raw["count"].astype(float), lower))
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([int(raw["count"].sum())], pa.int64())], ["shard", "size", "total"])
+
+    # a shard a task; its counts stay until all are done, so a lost task starts again
+    sizes = {r["shard"]: r["size"] for r in spark.range(0, shards, 1, shards).mapInArrow(third, TOLD).collect()}
+    drop(spark, f"{root}/counts")
+    return Trie(v, [two, Level(f"{root}/3", [sizes[s] for s in range(shards)], two.first)])
 
 
 def held_out(id_col: str = "doc_id", mod: int = 10) -> F.Column:
@@ -395,8 +464,16 @@ def held_out(id_col: str = "doc_id", mod: int = 10) -> F.Column:
 
 
 def score(docs: DataFrame, trie: Trie | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    trie = trie or build(docs, ~held_out(id_col), order, text_col)
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; a written table."""
+    if trie is not None:
+        return _score(docs, trie, id_col, text_col)
+    trie = build(docs, ~held_out(id_col), order, text_col)
+    out = keep(_score(docs, trie, id_col, text_col), "scores")
+    drop(docs.sparkSession, trie.vocabulary.uri.rpartition("/")[0])
+    return out
+
+
+def _score(docs: DataFrame, trie: Trie, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -522,7 +522,6 @@ def slow_scores(docs):
     train = [i for i in toks if zlib.crc32(str(i).encode()) % 10]
     gram = lambda n: Counter(tuple(toks[i][k : k + n]) for i in train for k in range(len(toks[i]) - n + 1))
     c1, c2, c3 = (gram(n) for n in (1, 2, 3))
-    c2, c3 = ({k: v for k, v in c.items() if v >= 2} for c in (c2, c3))
     s2, s3 = Counter(), Counter()
     for k, v in c2.items():
         s2[k[:1]] += v
