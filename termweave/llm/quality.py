@@ -1,31 +1,37 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network in numpy.
 
-Word vectors cover the whole corpus: each run of letters, digits or signs falls into one of BUCKETS
-rows, and a row gathers the sparse random index vectors of its neighbours in every text (one pass, one
-partial matrix a task, added in Spark by block).  A document is the mean and root mean square of its
-runs' unit vectors, with the shares of runs that come again a few runs later and their number.  The network is fitted on at most SAMPLE labelled rows, those with the least hash
-of their id; a fifth of them only sets the temperature of the probabilities.
-
-Cases: null and empty texts have a zero vector and get the network's score for it; null ids are kept
-and not held out; repeated rows are scored each; labels that are null or not 0/1 are left out, several
-labels of one id count as their minimum; with labels of one kind only the score is their smoothed
-share, with none 0.5; empty tables give an empty result.  Other columns are ignored.
+Words are runs of letters, digits or signs.  The VOCABULARY most frequent ones of the corpus (counted
+over all texts) have a vector each: the sum of the sparse random index vectors of their neighbours in
+all texts, known words or not (one pass, one partial matrix a task, added in Spark by block), scaled to
+unit length.  A document is pooled from its known words' vectors alone: their mean, their root mean
+square, and the mean product of each with the one a few words later, which tells running text from
+lists and repetitions.  The network is fitted on at most SAMPLE labelled rows,
+those with the least hash of their id; a fifth of them only sets the temperature of the probabilities.
+
+Cases: null and empty texts, and texts without a known word, have a zero vector and get the network's
+score for it; null ids are kept and not held out; repeated rows are scored each; labels that are null
+or not 0/1 are left out, several labels of one id count as their minimum; with labels of one kind only
+the score is their smoothed share, with none 0.5; empty tables give an empty result.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
-from .kernels import class_runs, slices, text_bytes
+from .common import save, scratch
+from .kernels import U64, class_runs, mix, slices, text_bytes
 
-BUCKETS, DIM, NONZERO, WINDOW, BLOCKS = 1 << 14, 48, 4, 2, 16
-#: Distances at which a run is compared with a later one, and numbers that describe a document.
+#: Words with a vector at most, and words that a task gathers before it sends partial counts.
+VOCABULARY, FLUSH = 1 << 15, 2_000_000
+DIM, NONZERO, WINDOW, BLOCKS = 48, 4, 2, 16
+#: Distances at which a word's vector is multiplied with a later one's, and numbers that describe a document.
 LAGS = (1, 2, 3, 4, 6)
-WIDTH = 2 * DIM + len(LAGS) + 1
+WIDTH = 2 * DIM + len(LAGS)
 #: Labelled rows that the network is fitted on, at most.
 SAMPLE = 12_000
 #: Classes of bytes: 0 separates, 1 capitals, 2 other letters, 3 digits, 4 other signs.
@@ -36,41 +42,74 @@ CLASSES[97:123] = CLASSES[128:] = 2
 CLASSES[48:58] = 3
 
 
-def _runs(col):
-    """Buckets of the runs of each slice of a column of texts, and where each text's runs start."""
+def _words(col):
+    """Hashes of the words of each slice of a column of texts, and where each text's words start."""
     raw, offs = text_bytes(col)
     for i, j in slices(offs):
-        h, at = class_runs(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], CLASSES)
-        yield (h >> np.uint64(50)).astype(np.int64), at
+        yield class_runs(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], CLASSES)
 
 
-def index_vectors(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the few nonzero entries of each bucket's random index vector."""
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, DIM, (BUCKETS, NONZERO)), rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+def _rows_of(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place of each word among the known ones (ascending hashes), else their number."""
+    code, own = pd.factorize(hashes)
+    at = np.searchsorted(known, own)
+    if len(known):
+        at[known[np.minimum(at, len(known) - 1)] != own] = len(known)
+    return at[code]
 
 
-def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """BUCKETS unit vectors from all neighbours of all runs of all texts; a matrix of fixed size."""
+def vocabulary(texts: DataFrame, most: int = VOCABULARY) -> np.ndarray:
+    """Ascending hashes of the most frequent words of all texts (rows of one column); ties fall to the hash."""
+
+    def partial(batches):
+        held, n = [], 0
+
+        def flush():
+            code, own = pd.factorize(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(code, minlength=len(own)))], ["word", "n"])
+
+        for b in batches:
+            for h, _ in _words(b.column(0)):
+                held.append(h)
+                n += len(h)
+                if n >= FLUSH:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    per = texts.mapInArrow(partial, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = per.orderBy(F.col("n").desc(), "word").limit(most).select("word").collect()  # at most `most` numbers
+    return np.sort(np.array([r["word"] for r in top], np.int64).view(U64))
+
+
+def index_vectors(hashes: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the few nonzero entries of each word's random index vector."""
+    draws = np.stack([mix(hashes + U64(seed * 1000 + k)) for k in range(NONZERO)], 1)
+    return (draws >> U64(32)).astype(np.int64) % DIM, (draws & U64(1)).astype(np.float32) * 2 - 1
+
+
+def word_vectors(docs: DataFrame, known: np.ndarray, text_col: str = "text") -> np.ndarray:
+    """A unit vector for each known word from all its neighbours in all texts, and a zero one at the end."""
+    size = -(-max(1, len(known)) // BLOCKS) * BLOCKS
 
     def gather(batches):
-        place, sign = index_vectors()
-        whole, any_rows = np.zeros(BUCKETS * DIM), False
+        whole, any_rows = np.zeros(size * DIM, np.float32), False
         for b in batches:
-            for bucket, at in _runs(b.column(0)):
+            for h, at in _words(b.column(0)):
                 any_rows = True
-                inside = np.ones(len(bucket) + 1, bool)
-                inside[at] = False  # a text's first run has no neighbour before it
+                row = _rows_of(h, known)
+                place, sign = index_vectors(h)
+                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 for far in range(1, WINDOW + 1):
-                    ok = np.ones(max(0, len(bucket) - far), bool)
-                    for k in range(1, far + 1):
-                        ok &= inside[k : k + len(ok)]
-                    left, right = bucket[: len(ok)][ok], bucket[far:][ok]
-                    for own, other in ((left, right), (right, left)):
+                    near = text[far:] == text[:-far]
+                    for own, other in ((row[:-far], slice(far, None)), (row[far:], slice(None, -far))):
+                        ok = near & (own < len(known))
+                        to = own[ok] * DIM
                         for k in range(NONZERO):
-                            whole += np.bincount(own * DIM + place[other, k], sign[other, k], BUCKETS * DIM)
+                            np.add.at(whole, to + place[other, k][ok], sign[other, k][ok])
         if any_rows:
-            parts = whole.astype("<f4").reshape(BLOCKS, -1)
+            parts = whole.reshape(BLOCKS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "part"])
 
     def add(batches):
@@ -84,34 +123,39 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     parts = docs.select(text_col).mapInArrow(gather, "block int, part binary")
     summed = parts.repartition(BLOCKS, "block").mapInArrow(add, "block int, part binary")
-    m = np.zeros((BLOCKS, BUCKETS * DIM // BLOCKS), np.float32)
+    m = np.zeros((BLOCKS, size * DIM // BLOCKS), np.float32)
     for r in summed.collect():  # BLOCKS rows, whatever the corpus
         m[r["block"]] = np.frombuffer(r["part"], "<f4")
-    m = m.reshape(BUCKETS, DIM)
+    m = m.reshape(size, DIM)[: len(known)]
     m = np.sign(m) * np.log1p(np.abs(m))
-    return (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    return np.concatenate([m, np.zeros((1, DIM))]).astype(np.float32)
 
 
-def _pooled(col, vectors: np.ndarray) -> np.ndarray:
-    """Of each text's runs: mean and root mean square of the vectors, shares that come again at LAGS, log count."""
+def _pooled(col, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Of each text's words: mean and root mean square of the vectors, and mean products with those at LAGS."""
     out = []
-    for bucket, at in _runs(col):
+    for h, at in _words(col):
+        row = _rows_of(h, known)
         n = np.diff(at)
+        text = np.repeat(np.arange(len(n)), n)
         sums = np.zeros((len(n), WIDTH), np.float32)
-        for i in range(0, len(bucket), 1 << 17):  # few vectors in memory at a time, whatever a text's length
-            part = vectors[bucket[i : i + (1 << 17)]]
-            cut = np.clip(at - i, 0, len(part))
+        for i in range(0, len(row), 1 << 16):  # few vectors in memory at a time, whatever a text's length
+            j = min(len(row), i + (1 << 16))
+            part = vectors[row[i : j + max(LAGS)]]
+            own = part[: j - i]
+            cut = np.clip(at - i, 0, j - i)
             some = np.flatnonzero(np.diff(cut))
-            if len(some):
-                sums[some, :DIM] += np.add.reduceat(part, cut[some], axis=0)
-                sums[some, DIM : 2 * DIM] += np.add.reduceat(part * part, cut[some], axis=0)
-        for k, lag in enumerate(LAGS):  # runs that come again at a distance, inside the text
-            same = np.concatenate([[0], np.cumsum(bucket[lag:] == bucket[:-lag])])
-            last = np.minimum(np.maximum(at[1:] - lag, at[:-1]), len(same) - 1)
-            sums[:, 2 * DIM + k] = same[last] - same[np.minimum(at[:-1], last)]
-        sums /= np.maximum(n, 1)[:, None]
+            sums[some, :DIM] += np.add.reduceat(own, cut[some], axis=0)
+            sums[some, DIM : 2 * DIM] += np.add.reduceat(own * own, cut[some], axis=0)
+            for k, lag in enumerate(LAGS):
+                m = min(j - i, len(part) - lag)
+                if m > 0:
+                    dots = np.einsum("ij,ij->i", own[:m], part[lag : lag + m])
+                    inside = text[i : i + m] == text[i + lag : i + lag + m]
+                    sums[:, 2 * DIM + k] += np.bincount(text[i : i + m][inside], dots[inside], len(n)).astype(np.float32)
+        sums /= np.maximum(np.bincount(text[row < len(known)], minlength=len(n)), 1)[:, None]
         sums[:, DIM : 2 * DIM] = np.sqrt(sums[:, DIM : 2 * DIM])
-        sums[:, -1] = np.log1p(n)
         out.append(sums)
     return np.concatenate(out) if out else np.zeros((0, WIDTH), np.float32)
 
@@ -167,36 +211,45 @@ def held_out(id_col: str = "doc_id", mod: int = 3, fold: int = 1) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """_id, _y, _text of at most `sample` labelled ids outside the held-out fold, those of least hash."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
     marked = save(marked.orderBy(F.xxhash64("_id"), "_id").limit(sample), "sample")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(marked), "_id")  # at most `sample` rows are sent
-    kind = docs.schema[id_col].dataType.simpleString()
+    return save(rows.select("_id", "_y", "_text"), "labelled")
+
+
+def fit(rows: DataFrame, known: np.ndarray, vectors: np.ndarray) -> Network:
+    """The network of labelled texts (_id, _y, _text)."""
+    kind = rows.schema["_id"].dataType.simpleString()
 
     def vector(batches):
         for b in batches:
-            x = _pooled(b.column(2), vectors)
+            x = _pooled(b.column(2), known, vectors)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["_id", "_y", "x"])
 
     got = rows.select("_id", "_y", "_text").mapInArrow(vector, f"_id {kind}, _y int, x binary")
-    # repeated ids: one of equal vectors, else the least, so that reruns agree
-    got = sorted(got.groupBy("_id", "_y").agg(F.min("x").alias("x")).collect(), key=lambda r: (hash(r["_id"]), r["_id"]))
+    # repeated ids: one of equal vectors, else the least; in an order of the id, so that reruns agree
+    got = got.groupBy("_id", "_y").agg(F.min("x").alias("x")).orderBy(F.xxhash64("_id"), "_id").collect()  # at most `sample` rows
     x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float32).reshape(len(got), WIDTH)
     return Network(x, np.array([r["_y"] for r in got], int))
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; with keep, its columns too, in a struct `row`."""
-    vectors = word_vectors(docs, text_col)
-    net = fit(docs, labels, vectors, sample, id_col, text_col, label_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if keep else []))
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int" + (f", row {rows.schema['row'].dataType.simpleString()}" if keep else "")
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep_row: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; with keep_row, its columns too, in a struct `row`."""
+    with scratch(docs.sparkSession):
+        labelled = sampled(docs, labels, sample, id_col, text_col, label_col)
+        known = vocabulary(docs.select(text_col))
+        vectors = word_vectors(docs, known, text_col)
+        net = fit(labelled, known, vectors)
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if keep_row else []))
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int" + (f", row {rows.schema['row'].dataType.simpleString()}" if keep_row else "")
 
     def judge(batches):
         for b in batches:
-            s = net.scores(_pooled(b.column(2), vectors)).astype(float)
-            cols = [b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), *([b.column(3)] if keep else [])]
+            s = net.scores(_pooled(b.column(2), known, vectors)).astype(float)
+            cols = [b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), *([b.column(3)] if keep_row else [])]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "row"][: len(cols)])
 
     return rows.mapInArrow(judge, schema)

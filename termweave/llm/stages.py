@@ -12,7 +12,7 @@ from .queries import table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels, does not reject."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"), keep=True)
+    scored = quality.score(docs, table(spark, sf_dir, "labels"), keep_row=True)
     return scored.where("predicted = 1").select("row.*")
 
 

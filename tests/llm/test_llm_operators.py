@@ -69,6 +69,38 @@ def test_quality_on_held_out_labels(spark):
     assert got.count() == table(spark, "documents").count()
 
 
+def test_word_vectors_and_pooling_by_brute_force(spark):
+    texts = ["the cat, the dog 12", "", "the the the cat", "dog cat", None, "rare"]
+    runs = [re.findall(r"[a-z]+|[0-9]+|[^a-z0-9\s]+", t or "") for t in texts]
+    count = Counter(w for t in runs for w in t)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    own = {w: quality._words(pa.array([w])) for w in count}
+    code = {w: int(next(x)[0][0]) for w, x in own.items()}
+    known = quality.vocabulary(df, 3)
+    signed = lambda w: int(np.array([code[w]], np.uint64).view(np.int64)[0])
+    top = sorted(count, key=lambda w: (-count[w], signed(w)))[:3]
+    assert known.tolist() == sorted(code[w] for w in top)
+    place, sign = (dict(zip(count, x)) for x in quality.index_vectors(np.array([code[w] for w in count], np.uint64)))
+    want = {w: np.zeros(quality.DIM) for w in top}
+    for t in runs:
+        for i, w in enumerate(t):
+            for j in range(max(0, i - quality.WINDOW), min(len(t), i + quality.WINDOW + 1)):
+                if j != i and w in want:
+                    np.add.at(want[w], place[t[j]], sign[t[j]])
+    for w, v in want.items():
+        v = np.sign(v) * np.log1p(np.abs(v))
+        want[w] = v / max(np.linalg.norm(v), 1e-9)
+    got = quality.word_vectors(df, known)
+    assert np.allclose(got[:-1], [want[w] for w in sorted(top, key=code.get)], atol=1e-5) and not got[-1].any()
+    pooled = quality._pooled(pa.array(texts), known, got)
+    zero = np.zeros(quality.DIM)
+    for t, row in zip(runs, pooled):
+        v = [want.get(w, zero) for w in t]
+        n = max(1, sum(w in want for w in t))
+        lag = [sum(float(a @ b) for a, b in zip(v, v[k:])) / n for k in quality.LAGS]
+        assert np.allclose(row, [*(sum(v, zero) / n), *np.sqrt(sum((x * x for x in v), zero) / n), *lag], atol=1e-5)
+
+
 def test_quality_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (3, None), (4, 7), (99, 0)], "doc_id long, quality int")
     got = quality.score(odd, labels).collect()
@@ -76,7 +108,7 @@ def test_quality_edges(spark, odd, none):
     assert [r["held_out"] for r in got if r["doc_id"] is None] == [False]
     assert quality.score(odd, labels.where("false")).first()["score"] == 0.5
     assert quality.score(none, labels).count() == 0
-    assert quality.score(odd, labels, keep=True).select("row.*").columns == odd.columns
+    assert quality.score(odd, labels, keep_row=True).select("row.*").columns == odd.columns
 
 
 def test_labels_of_the_held_out_fold_are_never_learnt(spark):
