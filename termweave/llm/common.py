@@ -78,19 +78,26 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left with the columns of right, which has one row for each key; null where right has none.
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that hold a thousandth of a written table's rows or more: at most HOT of them, and `_hot`."""
+    least = max(100, rows.count() // HOT)
+    per = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    return save(per.where(F.col("count") >= least).select(key, F.lit(True).alias("_hot")), "hot")
 
-    A key may hold a third of left's rows: those with a thousandth or more, at most HOT of them, meet
-    their rows of right by broadcast; null keys are not shuffled at all.
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
+    """left, a written table, with the columns of right, which has one row for each key; with how="left" null where it has none.
+
+    A key may hold a third of left's rows: hot ones meet their rows of right by broadcast (at most HOT
+    rows); null keys are not shuffled at all.
     """
-    left = save(left, "left")  # read several times
-    least = max(100, left.count() // HOT)
-    hot = save(left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= least).select(key, F.lit(True).alias("_hot")), "hot")
-    told = left.join(F.broadcast(hot), key, "left")  # at most HOT rows
-    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))  # at most HOT rows
-    many = told.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot").join(right, key, "left")
-    out = told.where("_hot").drop("_hot").join(few, key, "left").unionByName(many)
+    hot = hot_keys(left, key) if hot is None else hot
+    told = left.join(F.broadcast(hot), key, "left")
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    many = told.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot").join(right, key, how)
+    out = told.where("_hot").drop("_hot").join(few, key, how).unionByName(many)
+    if how != "left":
+        return out
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
     return out.unionByName(left.where(F.col(key).isNull()).select("*", *none))
 
@@ -119,32 +126,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Minimum-label hooking with pointer jumping: every round a node takes the smallest label among its
     neighbours' labels and then its label's label, so the rounds grow with the logarithm of the
-    diameter.  Only equi-joins and partial minima; labels stay in Spark and each round is written to
+    diameter.  Only equi-joins (hot keys by broadcast) and partial minima; labels stay in Spark and each round is written to
     the shared folder.  Null endpoints are ignored; an empty table gives an empty one.
     """
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     both = save(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     label = save(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "labels")
+    hubs = hot_keys(both, "v")
     while True:
-        near = both.join(label.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
+        near = hot_join(both, label.select(F.col("node").alias("v"), "component"), "v", "inner", hubs).groupBy("u").agg(F.min("component").alias("m"))
         hooked = label.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         # the old root follows too, else a chain of roots would move one step a round
         roots = hooked.where("c < old").groupBy(F.col("old").alias("node")).agg(F.min("c").alias("r"))
         hooked = hooked.join(roots, "node", "left").select("node", "old", F.least("c", F.coalesce("r", "c")).alias("c"))
         hooked = save(hooked, "hooked")
         jump = hooked.select(F.col("node").alias("c"), F.col("c").alias("up"))
-        stepped = save(hooked.join(jump, "c", "left").select("node", F.coalesce("up", "c").alias("component"), (F.coalesce("up", "c") != F.col("old")).alias("moved")), "labels")
+        # one label may hold most nodes
+        stepped = hot_join(hooked, jump, "c").select("node", F.coalesce("up", "c").alias("component"), (F.coalesce("up", "c") != F.col("old")).alias("moved"))
+        stepped = save(stepped, "labels")
         label = stepped.select("node", "component")
         if stepped.where("moved").isEmpty():
             return label
 
 
-def least_members(comp: DataFrame, classes: DataFrame, salts: int = 32) -> DataFrame:
-    """node, least: the least `first` among the classes (node, first) of each node's component.
-
-    A component may hold most nodes, so its name is sent to `salts` places and its nodes are dealt among them.
-    """
+def least_members(comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, least: the least `first` among the classes (node, first) of each node's component, which may hold most nodes."""
     least = comp.join(classes, "node").groupBy("component").agg(F.min("first").alias("least"))
-    least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = comp.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
-    return dealt.join(least, ["component", "_salt"]).select("node", "least")
+    return hot_join(save(comp, "components"), save(least, "least"), "component").select("node", "least")

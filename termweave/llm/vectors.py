@@ -180,7 +180,7 @@ def _near_duplicates(vectors: DataFrame, least: float, seed: int, id_col: str, v
     low = least_members(comp, classes.select("node", "first"))
     per = classes.select("node", "first", "mult").join(counts, "node", "left").join(low, "node", "left")
     per = save(per.select("node", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("least", "first").alias("low")), "named")
-    out = hot_join(rows.select("vec_id", "node"), per, "node")  # copies of one vector share a node, unusable ones have none
+    out = hot_join(save(rows.select("vec_id", "node"), "nodes"), per, "node")  # copies of one vector share a node, unusable ones have none
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("low")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
