@@ -73,9 +73,10 @@ def class_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signatures(docs: DataFrame, size: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (set size), node (class of equal sets, null if empty), sig."""
+def signatures(docs: DataFrame, size: int, seed: int, id_col: str, text_col: str, carry: tuple = ()) -> DataFrame:
+    """doc_id, n (set size), node (class of equal sets, null if empty), sig, and columns to carry."""
     kind = docs.schema[id_col].dataType.simpleString()
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches):
         a = multipliers(seed)
@@ -85,9 +86,9 @@ def signatures(docs: DataFrame, size: int, seed: int, id_col: str, text_col: str
                 n.append(len(s))
                 node.append(class_id(s) if len(s) else None)
                 sig.append(signature(s, a).astype(">u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), *b.columns[2:]], ["doc_id", "n", "node", "sig", *carry])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, sig binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, f"doc_id {kind}, n long, node long, sig binary{more}")
 
 
 def _pairs(g, key, n, least: int, share: tuple[int, int], first: int, last: int):
@@ -323,15 +324,15 @@ def among(rest: DataFrame, reps: DataFrame, sets: DataFrame, share: tuple[int, i
     return rows.join(info, "node").groupBy("region", "lo", "hi").applyInArrow(_among(share), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs; a written table."""
+def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), seed: int = 11, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs, and columns to carry; a written table."""
     with scratch(docs.sparkSession):
-        return keep(_near_duplicates(docs, size, share, seed, id_col, text_col), "near-duplicates")
+        return keep(_near_duplicates(docs, size, share, seed, id_col, text_col, carry), "near-duplicates")
 
 
-def _near_duplicates(docs: DataFrame, size: int, share: tuple[int, int], seed: int, id_col: str, text_col: str) -> DataFrame:
+def _near_duplicates(docs: DataFrame, size: int, share: tuple[int, int], seed: int, id_col: str, text_col: str, carry: tuple) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
-    sigs = save(signatures(docs, size, seed, id_col, text_col), "signatures")
+    sigs = save(signatures(docs, size, seed, id_col, text_col, carry), "signatures")
     # copies have equal signatures, so any one's will do, and partial sums leave few rows of a hot class
     nodes = sigs.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     whole = save(nodes, "classes")
@@ -383,7 +384,7 @@ def _near_duplicates(docs: DataFrame, size: int, share: tuple[int, int], seed: i
             break
         comp = joined(more)
     named = save(classes.join(least_members(comp, classes), "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "named")
-    out = hot_join(sigs.select("doc_id", F.col("n").alias("n_shingles"), "node"), named, "node")  # exact copies share a node, empty texts have none
+    out = hot_join(sigs.select("doc_id", F.col("n").alias("n_shingles"), "node", *carry), named, "node")  # exact copies share a node, empty texts have none
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).cast(kind).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", *carry, F.when(F.col("doc_id").isNotNull(), own).cast(kind).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
