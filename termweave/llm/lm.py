@@ -430,7 +430,7 @@ def build(docs: DataFrame, training, order: int = ORDER, text_col: str = "text")
         lower = v.log10(v.counts(known))[back]
         write_arrays(f"{root}/2/{s}", _level(parent - bounds[s], int(bounds[s + 1] - bounds[s]), word, counts, lower))
         if order > 2:
-            write_arrays(f"{root}/counts/{s}", {"word": word, "fan": fan, "succ": succ, "count": more})
+            write_arrays(f"{root}/counts/{s}", {"part": np.frombuffer(_bundle(keys, counts, fan, succ, more), np.uint8)})
         return len(keys), int(counts.sum())
 
     told = _count(rows, shards, pairs, pairs_by_shard, second, base)
@@ -447,11 +447,12 @@ def build(docs: DataFrame, training, order: int = ORDER, text_col: str = "text")
         for b in batches:
             for s in b.column(0).to_pylist():
                 n = int(up.first[s + 1] - up.first[s])
-                raw = read_arrays(f"{root}/counts/{s}") if n else {k: np.zeros(0, np.int64) for k in ("word", "fan", "succ", "count")}
-                own = np.repeat(np.arange(n), raw["fan"])
-                _, lower, _, rank = up.find(raw["word"][own], raw["succ"], base)
-                write_arrays(f"{root}/3/{s}", _level(own, n, rank, raw["count"].astype(float), lower))
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([int(raw["count"].sum())], pa.int64())], ["shard", "size", "total"])
+                keys, _, fan, succ, more = _unbundle(read_arrays(f"{root}/counts/{s}")["part"].tobytes()) if n else [np.zeros(0, np.int64)] * 5
+                own = np.repeat(np.arange(n), fan)
+                word = (keys.astype(U64) % U64(base)).astype(np.int64)
+                _, lower, _, rank = up.find(word[own], succ, base)
+                write_arrays(f"{root}/3/{s}", _level(own, n, rank, more.astype(float), lower))
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([int(more.sum())], pa.int64())], ["shard", "size", "total"])
 
     # a shard a task; its counts stay until all are done, so a lost task starts again
     sizes = {r["shard"]: r["size"] for r in spark.range(0, shards, 1, shards).mapInArrow(third, TOLD).collect()}
