@@ -30,8 +30,8 @@ from .common import keep, save, scratch
 
 #: Pieces of a group, and the least share of open bins that a round must save for another to follow.
 GROUP, SAVED = 8192, 100
-#: Words whose ids a task keeps at most, and the longest word kept.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 40
+#: Words, and runs of letters or signs in them, whose ids a task keeps at most, and the longest kept.
+KEPT_WORDS, KEPT_LENGTH = 600_000, 40
 
 
 def _latin(kind: str) -> str:
@@ -53,45 +53,70 @@ STEPS = {
 }
 
 
-class WordIds(dict):
+class Kept(dict):
+    """What a function gives for short strings: those asked for lately, KEPT_WORDS of them at most."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEPT_LENGTH:
+            if 2 * len(self) >= KEPT_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordIds:
     """The ids of a text as bytes (unsigned 32-bit, little-endian), word by word.
 
-    The vocabulary splits a normalised text into runs whose ids don't depend on their neighbours, so
-    each word is encoded by the tokenizer once and then looked up.  Texts with characters outside the
-    Latin blocks, other spaces, or a special token's opening go to the tokenizer whole, and so does
-    every text if the file's steps before the model are not STEPS.
+    The vocabulary splits a normalised text at white space, and what stands between into runs whose ids
+    don't depend on their neighbours, so both are encoded once and then looked up.  Texts with characters
+    outside the Latin blocks, other spaces, or a special token's opening go to the tokenizer whole, and
+    so does every text if the file's steps before the model are not STEPS.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok = Tokenizer.from_file(path)
         signs = byte_signs()
         self.signs = {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0x250)}
         letter, digit = _latin("L"), _latin("N")
-        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\\t-\\r {letter}{digit}]+").findall
+        self.split = re.compile(f"[{letter}]+|[{digit}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\t-\\r {letter}{digit}]+").findall
         with open(path, encoding="utf-8") as f:
             own = json.load(f)
         known = all(own.get(k) == v for k, v in STEPS.items())
-        self.plain = re.compile("[\t-\r -\x7e\xa1-\u012f\u0131-\u024f]*").fullmatch if known else lambda text: None
+        self.plain = re.compile("[\t-\r -\x7e\xa1-\u012f\u0131-\u017f]*").fullmatch if known else lambda text: None
+        self.runs = Kept(self._run)
+        self.words = Kept(lambda word: b"".join(map(self.runs.__getitem__, self.split(word))))
 
-    def __missing__(self, word: str) -> bytes:
-        # the vocabulary's own model on the word's byte signs, without the steps for whole texts
-        ids = np.array([t.id for t in self.tok.model.tokenize(word.translate(self.signs))], "<u4").tobytes()
-        if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def _run(self, run: str) -> bytes:
+        # the vocabulary's own model on the run's byte signs, without the steps for whole texts
+        return np.array([t.id for t in self.tok.model.tokenize(run.translate(self.signs))], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        text_n = unicodedata.normalize("NFC", text)
+        text_n = text if text.isascii() else unicodedata.normalize("NFC", text)
         if self.plain(text_n) and "<|" not in text:
-            return b"".join(map(self.__getitem__, self.split(text_n.lower())))
+            return b"".join(map(self.words.__getitem__, text_n.lower().split()))
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+_encoders: dict[str, WordIds] = {}
+
+
+def encoder(path: str) -> WordIds:
+    """A process's encoder of a vocabulary: the tasks that a worker runs one after another keep its words."""
+    if path not in _encoders:
+        _encoders[path] = WordIds(path)
+    return _encoders[path]
+
+
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -102,7 +127,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def cut(batches):
-        enc = WordIds(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(b.column(1)):
