@@ -49,12 +49,44 @@ def actions(spark, sf_dir, rows=None):
     return e.select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"), action.alias("action"), F.get_json_object("props", "$.k").alias("value"))
 
 
-@query("t04_navigation_history")
+#: The replay as recursion over each key's events, in order of time.
+STEPS = """
+WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+  CASE event_type WHEN 'error' THEN 'undo' WHEN 'purchase' THEN 'redo' WHEN 'signup' THEN 'clear' ELSE 'push' END AS a, json_extract_string(props, '$.k') AS v FROM events),
+"""
+NAVIGATION = STEPS + """
+r(key, n, seq, back, forward) AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM e
+  UNION ALL
+  SELECT e.key, e.n, e.seq,
+    CASE WHEN a = 'push' AND v <> '' AND (len(back) = 0 OR back[-1] <> v) THEN list_append(back, v)[-50:]
+         WHEN a = 'undo' AND len(back) > 1 THEN back[:-2] WHEN a = 'redo' AND len(forward) > 0 THEN list_append(back, forward[-1])
+         WHEN a = 'clear' THEN [] ELSE back END,
+    CASE WHEN a = 'push' AND v <> '' AND (len(back) = 0 OR back[-1] <> v) THEN []
+         WHEN a = 'undo' AND len(back) > 1 THEN list_append(forward, back[-1]) WHEN a = 'redo' AND len(forward) > 0 THEN forward[:-2]
+         WHEN a = 'clear' THEN [] ELSE forward END
+  FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT key, seq, back[-1] AS current, CAST(len(back) AS INTEGER) AS n_back, CAST(len(forward) AS INTEGER) AS n_forward FROM r WHERE n > 0"""
+EDITS = STEPS + """
+r(key, n, seq, undo, redo, cur) AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR) FROM e
+  UNION ALL
+  SELECT e.key, e.n, e.seq,
+    CASE WHEN a = 'push' THEN list_append(undo, cur)[-50:] WHEN a = 'undo' AND len(undo) > 0 THEN undo[:-2]
+         WHEN a = 'redo' AND len(redo) > 0 THEN list_append(undo, cur) WHEN a = 'clear' THEN [] ELSE undo END,
+    CASE WHEN a = 'push' THEN [] WHEN a = 'undo' AND len(undo) > 0 THEN list_append(redo, cur)
+         WHEN a = 'redo' AND len(redo) > 0 THEN redo[:-2] WHEN a = 'clear' THEN [] ELSE redo END,
+    CASE WHEN a IN ('push', 'clear') THEN v WHEN a = 'undo' AND len(undo) > 0 THEN undo[-1] WHEN a = 'redo' AND len(redo) > 0 THEN redo[-1] ELSE cur END
+  FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT key, seq, cur AS current, CAST(len(undo) AS INTEGER) AS n_back, CAST(len(redo) AS INTEGER) AS n_forward FROM r WHERE n > 0"""
+
+
+@query("t04_navigation_history", NAVIGATION)
 def t04(spark, sf_dir):
     return flows.history(actions(spark, sf_dir))
 
 
-@query("t04_edit_history")
+@query("t04_edit_history", EDITS)
 def t04_edit(spark, sf_dir):
     return flows.history(actions(spark, sf_dir), flows.edit)
 
@@ -65,6 +97,13 @@ def t04_counts(spark, sf_dir):
     return flows.history(actions(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
+@query("t04_history_stream", NAVIGATION)
+def t04_stream(spark, sf_dir):
+    """Histories kept as state of a streaming query."""
+    rows = flows.history_stream(actions(spark, sf_dir, stream(spark, sf_dir)))
+    return flows.drain(rows, shared_path(spark, "history"), shared_path(spark, "history-log"))
+
+
 @query("t05_messages", "SELECT event_id, CASE event_type WHEN 'view' THEN 'focus' ELSE 'forward' END AS target, CASE event_type WHEN 'view' THEN 'http://snomed.info/id/' || user_id ELSE CAST(user_id AS VARCHAR) END AS value FROM events WHERE event_type IN ('view', 'click')")
 def t05(spark, sf_dir):
     return flows.route(messages(table(spark, sf_dir, "events"))).drop("sctid")
@@ -82,13 +121,6 @@ def t05_stream(spark, sf_dir):
     return flows.drain(routed, shared_path(spark, "routed"), shared_path(spark, "routed-log"))
 
 
-@query("t04_history_stream", "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY 1")
-def t04_stream(spark, sf_dir):
-    """Histories kept as state of a streaming query."""
-    rows = flows.history_stream(actions(spark, sf_dir, stream(spark, sf_dir)))
-    return flows.drain(rows, shared_path(spark, "history"), shared_path(spark, "history-log")).groupBy("key").agg(F.count("*").alias("n"))
-
-
 @query("t01_change_feed", "SELECT 'http://b.example/customer/' || c_custkey AS iri, CASE WHEN c_custkey % 10 = 1 AND c_custkey IN (SELECT user_id FROM events) THEN c_name || ' new' ELSE c_name END AS label FROM customer WHERE c_custkey % 10 <> 0 OR c_custkey NOT IN (SELECT user_id FROM events)")
 def t01(spark, sf_dir):
     """A feed of changes (users of events are customers): what it names is merged from the second version, batch by batch."""

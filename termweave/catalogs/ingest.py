@@ -92,13 +92,18 @@ def s03(spark, sf_dir):
 
 
 def documents_of(rows, root: str, name: str):
-    """A file for each nation: its elements (n, value) under one root element."""
+    """A document for each n, of bounded size: its elements (n, value) under one root element."""
     path = shared_path(rows.sparkSession, name)
     whole = rows.groupBy("n").agg(F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list("value"), "\n"), F.lit(f"</{root}>")).alias("value"))
     whole.write.partitionBy("n").text(path)
     return path
 
 
+def block(size: int = 10_000):
+    """A nation's customers of one range of keys, whatever the number of customers."""
+    return F.concat_ws("-", F.col("c_nationkey").cast("string"), F.floor(F.col("c_custkey") / size).cast("string"))
+
+
 def rows_as_text(df, name: str):
     path = shared_path(df.sparkSession, name)
     df.write.text(path)
@@ -110,7 +115,7 @@ def s04(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     x = F.concat(F.lit(f'<owl:Class rdf:about="{B}customer/'), k, F.lit('"><rdfs:label xml:lang="en">'), "c_name", F.lit(f'</rdfs:label><rdfs:subClassOf rdf:resource="{B}nation/'), n, F.lit(f'"/><rdfs:subClassOf><owl:Restriction><owl:onProperty rdf:resource="{B}hasPart"/><owl:someValuesFrom rdf:resource="{B}region/'), (F.col("c_custkey") % 5).cast("string"), F.lit('"/></owl:Restriction></rdfs:subClassOf></owl:Class>'))
-    return S.rdfxml_classes(spark, documents_of(c.select(F.col("c_nationkey").alias("n"), x.alias("value")), "rdf:RDF", "rdfxml"), B)
+    return S.rdfxml_classes(spark, documents_of(c.select(block().alias("n"), x.alias("value")), "rdf:RDF", "rdfxml"), B)
 
 
 @query("s05_owlxml", f"SELECT {CUSTOMER} AS sub, '{B}nation/' || c_nationkey AS sup FROM customer")
@@ -121,7 +126,7 @@ def s05(spark, sf_dir):
     a, b = F.concat(F.lit(B + "customer/"), F.col("c_custkey").cast("string")), F.concat(F.lit(B + "nation/"), F.col("c_nationkey").cast("string"))
     x = F.concat(F.lit("<SubClassOf>"), one(a), one(b), F.lit("</SubClassOf>"))
     y = F.concat(F.lit("<SubClassOf>"), one(a), F.lit('<ObjectSomeValuesFrom><ObjectProperty IRI="p"/></ObjectSomeValuesFrom></SubClassOf>'))
-    return S.owlxml_subclasses(spark, documents_of(c.select(F.col("c_nationkey").alias("n"), F.explode(F.array(x, y)).alias("value")), "Ontology", "owlxml"))
+    return S.owlxml_subclasses(spark, documents_of(c.select(block().alias("n"), F.explode(F.array(x, y)).alias("value")), "Ontology", "owlxml"))
 
 
 @query("s06_manchester", f"SELECT {CUSTOMER} AS frame, 'SubClassOf' AS section, '<{B}nation/' || c_nationkey || '>' AS item FROM customer UNION ALL SELECT {CUSTOMER}, 'Annotations', 'rdfs:label \"' || c_name || '\"@en' FROM customer UNION ALL SELECT {NATION}, 'SubClassOf', '<{B}region/' || n_regionkey || '>' FROM nation UNION ALL SELECT {NATION}, 'Annotations', 'rdfs:label \"' || n_name || '\"@en' FROM nation")
@@ -146,10 +151,10 @@ def s07_assertions(spark, sf_dir):
     return S.assertions_from_triples(t, S.entities_from_triples(t)).drop("onto_id")
 
 
-@query("s08_rdf_lists", f"SELECT '{B}nation/' || c_nationkey AS head, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS pos, {CUSTOMER} AS item FROM customer WHERE c_custkey <= 150")
+@query("s08_rdf_lists", f"SELECT '{B}nation/' || c_nationkey AS head, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS pos, {CUSTOMER} AS item FROM customer")
 def s08(spark, sf_dir):
-    """The first customers of each nation as an RDF list; every list ends in a cycle to its head."""
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 150")
+    """The customers of each nation as an RDF list; every list ends in a cycle to its head."""
+    c = table(spark, sf_dir, "customer")
     w = W.partitionBy("c_nationkey").orderBy("c_custkey")
     node = lambda i: F.concat_ws("-", F.lit("n"), F.col("c_nationkey").cast("string"), i.cast("string"))
     i = F.row_number().over(w) - 1
@@ -190,16 +195,16 @@ def s11(spark, sf_dir):
 
 @query("s12_sparql_results", f"SELECT c_nationkey AS path, c_custkey AS k, 'x' AS var, '<' || {CUSTOMER} || '>' AS term FROM customer UNION ALL SELECT c_nationkey, c_custkey, 'l', '\"' || c_name || '\"' || CASE c_custkey % 3 WHEN 0 THEN '@en' WHEN 1 THEN '^^<http://www.w3.org/2001/XMLSchema#token>' ELSE '' END FROM customer")
 def s12(spark, sf_dir):
-    """One result for each nation, built as JSON from its customers."""
+    """Results of bounded size, built as JSON from a nation's customers of one range of keys."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     lit = F.struct(F.lit("literal").alias("type"), F.col("c_name").alias("value"), F.when(k % 3 == 0, "en").alias("xml:lang"), F.when(k % 3 == 1, "http://www.w3.org/2001/XMLSchema#token").when(k % 3 == 2, "http://www.w3.org/2001/XMLSchema#string").alias("datatype"))
     uri = F.struct(F.lit("uri").alias("type"), F.concat(F.lit(B + "customer/"), k.cast("string")).alias("value"))
-    rows = c.groupBy(F.col("c_nationkey").alias("path")).agg(F.collect_list(F.struct(uri.alias("x"), lit.alias("l"))).alias("bindings"), F.array_sort(F.collect_list("c_custkey")).alias("ks"))
-    j = rows.select("path", F.to_json(F.struct(F.struct(F.array(F.lit("x"), F.lit("l")).alias("vars")).alias("head"), F.struct("bindings").alias("results"))).alias("json"))
+    rows = c.groupBy(F.col("c_nationkey").alias("path"), block().alias("part")).agg(F.collect_list(F.struct(uri.alias("x"), lit.alias("l"))).alias("bindings"), F.array_sort(F.collect_list("c_custkey")).alias("ks"))
+    j = rows.select("path", "part", F.to_json(F.struct(F.struct(F.array(F.lit("x"), F.lit("l")).alias("vars")).alias("head"), F.struct("bindings").alias("results"))).alias("json"))
     out = S.sparql_results(j)
-    x = out.where("var = 'x'").select("path", "row_no", F.regexp_extract("term", r"(\d+)>$", 1).cast("long").alias("k"))
-    return out.join(x, ["path", "row_no"]).select("path", "k", "var", "term")
+    x = out.where("var = 'x'").select("part", "row_no", F.regexp_extract("term", r"(\d+)>$", 1).cast("long").alias("k"))
+    return out.join(x, ["part", "row_no"]).select("path", "k", "var", "term")
 
 
 # ---------------------------------------------------------------- sinks

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termweave.catalogs import query
 from termweave.catalogs.graph import CUSTOMER, NATION, onto
 from termweave.functions import expressions as E
-from termweave.model import BASE, SKOS, THING, Ontology, local_name, table
+from termweave.model import BASE, OWL, SKOS, THING, Ontology, local_name, table
 from termweave.operators import hierarchy as H
 from termweave.operators import neighbourhood as N
 from termweave.operators import quality as D
@@ -38,10 +38,18 @@ def h01(spark, sf_dir):
     return H.asserted_edges(with_expressions(spark, sf_dir)).select("sub", "sup")
 
 
-@query("h02_property_hierarchy", f"SELECT '{B}hasPart' AS sub, 'http://www.w3.org/2002/07/owl#topObjectProperty' AS sup, (SELECT count(*) FROM customer) AS n UNION ALL SELECT '{B}partOf', 'http://www.w3.org/2002/07/owl#topObjectProperty', (SELECT count(*) FROM customer) UNION ALL SELECT '{B}madeOf', '{B}hasPart', (SELECT count(*) FROM customer)")
+@query("h02_property_hierarchy", f"SELECT 'objectProperty' AS kind, '{B}of/' || p_brand AS sub, '{B}of/' || p_type AS sup FROM part UNION SELECT 'objectProperty', '{B}of/' || p_type, '{OWL}topObjectProperty' FROM part UNION SELECT 'dataProperty', '{B}in/' || c_mktsegment, '{OWL}topDataProperty' FROM customer UNION SELECT 'annotationProperty', '{B}note/' || lang, 'annotations' FROM documents")
 def h02(spark, sf_dir):
-    x = onto(spark, sf_dir)
-    return H.property_edges(x, "objectProperty").select("sub", "sup").crossJoin(x.data_assert.where(F.col("prop") == B + "acctbal").agg(F.count("*").alias("n")))
+    """Brands as properties below those of the types they occur with; segments and languages as properties without a super."""
+    o = F.lit("shop").alias("onto_id")
+    part, segment, lang = (table(spark, sf_dir, t).select(*c).distinct() for t, c in (("part", ("p_brand", "p_type")), ("customer", ("c_mktsegment",)), ("documents", ("lang",))))
+    name = lambda kind, c: F.concat(F.lit(f"{B}{kind}/"), F.col(c))
+    ent = lambda d, iri, kind: d.select(o, iri.alias("iri"), F.lit(kind).alias("type")).distinct()
+    entity = ent(part, name("of", "p_brand"), "objectProperty").unionByName(ent(part, name("of", "p_type"), "objectProperty")).unionByName(ent(segment, name("in", "c_mktsegment"), "dataProperty")).unionByName(ent(lang, name("note", "lang"), "annotationProperty"))
+    edges = part.select(o, name("of", "p_brand").alias("prop"), name("of", "p_type").alias("target"), F.lit("sub").alias("kind"))
+    x = replace(onto(spark, sf_dir), entity=entity, prop_edge=edges)
+    kinds = [H.property_edges(x, k).select(F.lit(k).alias("kind"), "sub", "sup") for k in H.TOP_PROPERTY]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
 @query("h03_closure", f"""
@@ -185,37 +193,32 @@ def n01(spark, sf_dir):
     return N.start_set(onto(spark, sf_dir)).select("iri")
 
 
-STEP = f"(SELECT sub AS at, sup AS nxt, sub || '|sub|' || sup AS id FROM {CHAIN} WHERE sub NOT LIKE '%/order/%' UNION ALL SELECT sup, sub, sub || '|sub|' || sup FROM {CHAIN} WHERE sub NOT LIKE '%/order/%')"
-
-
-def small(spark, sf_dir):
-    x = onto(spark, sf_dir)
-    return replace(x, class_edge=x.class_edge.where("sub not like '%/order/%'"))
+STEP = f"(SELECT sub AS at, sup AS nxt, sub || '|sub|' || sup AS id FROM {CHAIN} UNION ALL SELECT sup, sub, sub || '|sub|' || sup FROM {CHAIN})"
 
 
 @query("n02_two_hops", f"SELECT {NATION} AS focus, {NATION} AS iri, 0 AS hop FROM nation UNION SELECT {NATION}, nxt, 1 FROM nation JOIN {STEP} s ON s.at = {NATION} UNION SELECT {NATION}, b.nxt, 2 FROM nation JOIN {STEP} a ON a.at = {NATION} JOIN {STEP} b ON b.at = a.nxt WHERE b.nxt <> {NATION} AND b.nxt NOT IN (SELECT nxt FROM {STEP} z WHERE z.at = {NATION})")
 def n02(spark, sf_dir):
-    x = small(spark, sf_dir)
+    x = onto(spark, sf_dir)
     nodes, _ = N.expand(nations(x), N.steps(x), 2, 1_000_000)
     return nodes.select("focus", "iri", "hop")
 
 
 @query("n02_node_cap", f"WITH r AS (SELECT {NATION} AS focus, {NATION} AS iri, 0 AS hop FROM nation UNION SELECT {NATION}, nxt, 1 FROM nation JOIN {STEP} s ON s.at = {NATION}) SELECT focus, iri, hop FROM (SELECT *, row_number() OVER (PARTITION BY focus ORDER BY hop, iri) AS n FROM r) WHERE n <= 10")
 def n02_cap(spark, sf_dir):
-    x = small(spark, sf_dir)
+    x = onto(spark, sf_dir)
     return N.expand(nations(x), N.steps(x), 1, 10)[0].select("focus", "iri", "hop")
 
 
 @query("n03_edges", f"SELECT {NATION} AS focus, id FROM nation JOIN {STEP} s ON s.at = {NATION}")
 def n03(spark, sf_dir):
-    x = small(spark, sf_dir)
+    x = onto(spark, sf_dir)
     return N.expand(nations(x), N.steps(x), 1, 1_000_000)[1].select("focus", "id")
 
 
 @query("n03_inferred_and_symmetric", f"SELECT {NATION} AS focus, n.id, n.type FROM nation JOIN (SELECT '{B}region/' || r_regionkey AS at, '{B}nation/' || n_nationkey || '|inf|{B}region/' || r_regionkey AS id, 'inferred' AS type FROM nation JOIN region ON n_regionkey <> r_regionkey AND n_nationkey % 5 = r_regionkey) n ON false UNION ALL SELECT '{B}region/' || r_regionkey, '{B}nation/' || n_nationkey || '|inf|{B}region/' || r_regionkey, 'inferred' FROM nation JOIN region ON n_regionkey <> r_regionkey AND n_nationkey % 5 = r_regionkey UNION ALL SELECT '{B}region/' || a.r_regionkey, '{B}region/' || least(a.r_regionkey, b.r_regionkey) || '|dis|{B}region/' || greatest(a.r_regionkey, b.r_regionkey), 'disjointWith' FROM region a JOIN region b ON a.r_regionkey <> b.r_regionkey UNION ALL SELECT '{B}region/' || n_regionkey, {NATION} || '|sub|{B}region/' || n_regionkey, 'subClassOf' FROM nation")
 def n03_kinds(spark, sf_dir):
     """Regions disjoint from each other, nations inferred under a region that may be their own already."""
-    x = small(spark, sf_dir)
+    x = onto(spark, sf_dir)
     r = table(spark, sf_dir, "region").select(F.concat(F.lit(B + "region/"), F.col("r_regionkey").cast("string")).alias("r"))
     pairs = r.withColumnRenamed("r", "sub").join(r.withColumnRenamed("r", "sup"), F.col("sub") != F.col("sup"))
     dis = pairs.select(F.lit("shop").alias("onto_id"), "sub", "sup", F.lit("disjoint").alias("kind"), F.lit(0).alias("ord"))
@@ -229,13 +232,13 @@ def n03_kinds(spark, sf_dir):
 @query("n04_graph", f"WITH nodes AS (SELECT {NATION} AS focus, {NATION} AS iri FROM nation UNION SELECT {NATION}, nxt FROM nation JOIN {STEP} s ON s.at = {NATION}) SELECT DISTINCT a.focus, e.id FROM nodes a JOIN {STEP} e ON e.at = a.iri JOIN nodes b ON b.focus = a.focus AND b.iri = e.nxt")
 def n04(spark, sf_dir):
     """Edges of the neighbourhoods with those among their nodes (N04), none dangling."""
-    x = small(spark, sf_dir)
+    x = onto(spark, sf_dir)
     return N.graph(nations(x), x, S.preferred(x), 1, 1_000_000)[1].select("focus", "id")
 
 
 @query("n05_nodes", f"SELECT {NATION} AS focus, {NATION} AS iri, n_name AS label, 'class' AS type, true AS is_root FROM nation UNION ALL SELECT {NATION}, '{B}region/' || n_regionkey, r_name, 'class', false FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT {NATION}, {CUSTOMER}, c_name, 'class', false FROM nation JOIN customer ON c_nationkey = n_nationkey")
 def n05(spark, sf_dir):
-    x = small(spark, sf_dir)
+    x = onto(spark, sf_dir)
     return N.graph(nations(x), x, S.preferred(x), 1, 1_000_000)[0].select("focus", "iri", "label", "type", "is_root")
 
 

@@ -20,8 +20,7 @@ def validation(rows: DataFrame) -> DataFrame:
 def undeclared(x: Ontology) -> DataFrame:
     """onto_id, iri that some axiom mentions and no declaration names; built-in names aside."""
     refs = mentions(x).select("onto_id", F.col("ref").alias("iri")).distinct().where(~F.col("iri").startswith(OWL) & ~F.col("iri").isin(*BUILT_IN))
-    asserted = x.data_assert.select("onto_id", F.col("prop").alias("iri")).distinct()
-    return refs.join(asserted, ["onto_id", "iri"], "left_anti").join(x.entity, ["onto_id", "iri"], "left_anti")
+    return refs.join(x.entity, ["onto_id", "iri"], "left_anti")
 
 
 def unlabelled(x: Ontology) -> DataFrame:

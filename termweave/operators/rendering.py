@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from termweave.functions import expressions as X
 from termweave.model import Ontology, is_named
 from termweave.operators.search import resolve
+from termweave.sources.scans import carried
 
 BARE = r"((?:https?://|urn:|file:)[^\s(),{}<>]+)"
 
@@ -77,8 +78,9 @@ def normalise(exprs: DataFrame, x: Ontology, base: str) -> DataFrame:
 def logical_lines(lines: DataFrame) -> DataFrame:
     """Path, line_no, line: lines that begin with `and` join the one before; blanks and comments go."""
     t = F.trim("text")
-    own = lines.select("path", "line_no", t.alias("t")).where((t != "") & ~t.startswith("#"))
+    block = "block" if "block" in lines.columns else F.lit(0).alias("block")
+    own = lines.select("path", "line_no", block, t.alias("t")).where((t != "") & ~t.startswith("#"))
     more = F.lower("t").startswith("and ")
-    group = F.sum(F.when(more, 0).otherwise(1)).over(W.partitionBy("path").orderBy("line_no"))
-    parts = own.withColumn("_g", group).groupBy("path", "_g").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "t"))).alias("p"))
+    # the line that each belongs to: found inside blocks of a file, carried over by a row for each block
+    parts = carried(own, F.when(~more, F.col("line_no")), "_g").groupBy("path", "_g").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "t"))).alias("p"))
     return parts.select("path", "line_no", F.array_join(F.col("p.t"), " ").alias("line"))

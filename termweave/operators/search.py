@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termweave.model import KIND_ORDER, SKOS, Ontology, local_name
+from termweave.plans.tables import save
 
 PREF, ALT = SKOS + "prefLabel", SKOS + "altLabel"
 
@@ -45,25 +46,38 @@ def label_score(text: Column, q: Column, toks: Column) -> Column:
     return F.when(text == q, F.lit(100.0)).when(F.startswith(text, q), 50 - F.length(text) * 0.01).otherwise(fit / F.size(toks) * 5 - F.length(text) * 0.01)
 
 
+def words_with(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """word, token: the tokens inside distinct words, by equality of tokens and the words' parts of their lengths."""
+    sizes = tokens.agg(F.array_sort(F.collect_set(F.length("token"))).alias("_sizes"))
+    keyed = words.crossJoin(F.broadcast(sizes))  # one row: the distinct lengths of tokens
+    starts = lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substr("word", i, n))
+    parts = F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length("word")), starts))
+    return keyed.select("word", F.explode(F.array_distinct(parts)).alias("token")).join(tokens, "token").select("word", "token")
+
+
 def search(x: Ontology, queries: DataFrame, k: int = 50) -> DataFrame:
     """query_id, rank, iri, score: entities whose labels together hold every token, the best k of a query.
 
-    A local name equal to the query scores 200.  The queries are a small table; the labels are scanned
-    once and a label row meets a query only by the tokens it holds, so counts, not pairs, are shuffled.
+    A local name equal to the query scores 200.  No token spans words, so tokens are looked up in the
+    distinct words of all labels once; a query then meets only the entities that hold its rarest token.
     Ties go to the smaller IRI.
     """
-    q = query_tokens(queries)
-    texts = search_text(x)
-    toks = F.broadcast(q)  # a stated query set; the labels stream past it
-    hits = texts.join(toks, F.exists("tokens", lambda t: F.contains(F.col("text"), t)))
-    held = F.filter("tokens", lambda t: F.contains(F.col("text"), t))
-    whole = F.when(F.size(held) == F.size("tokens"), label_score(F.col("text"), F.col("q"), F.col("tokens")))
-    rows = hits.select("onto_id", "query_id", "iri", F.array_distinct(held).alias("held"), F.size(F.array_distinct("tokens")).alias("want"), whole.alias("whole"))
-    per = rows.groupBy("onto_id", "query_id", "iri").agg(F.size(F.array_distinct(F.flatten(F.collect_set("held")))).alias("got"), F.first("want").alias("want"), F.max("whole").alias("whole"))
-    per = per.where("got = want")
-    cross = per.where("whole is null").join(texts.groupBy("onto_id", "iri").agg(F.avg(F.length("text")).alias("n")), ["onto_id", "iri"])
-    scored = per.where("whole is not null").select("onto_id", "query_id", "iri", F.col("whole").alias("score")).unionByName(cross.select("onto_id", "query_id", "iri", (1 - F.col("n") * 0.001).alias("score")))
-    exact = x.entity.select("onto_id", "iri", F.lower(local_name(F.col("iri"))).alias("q")).join(F.broadcast(q), "q").select("onto_id", "query_id", "iri", F.lit(200.0).alias("score"))
+    q = query_tokens(queries).withColumn("want", F.array_distinct("tokens"))
+    texts = save(search_text(x), "texts")
+    tokens = q.select(F.explode("want").alias("token")).distinct()
+    post = texts.select("onto_id", "iri", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''")
+    hits = save(words_with(post.select("word").distinct(), tokens), "hits")
+    labels = post.join(hits, "word").groupBy("onto_id", "iri", "text").agg(F.collect_set("token").alias("held"))
+    entity = save(labels.groupBy("onto_id", "iri").agg(F.collect_list(F.struct("text", "held")).alias("labels"), F.array_distinct(F.flatten(F.collect_list("held"))).alias("held")), "held")
+    each = entity.withColumn("token", F.explode("held"))
+    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    asked = q.withColumn("token", F.explode("want")).join(often, "token").groupBy("query_id", "q", "tokens", "want").agg(F.count("*").alias("found"), F.min(F.struct("n", "token"))["token"].alias("token"))
+    met = each.join(asked.where(F.col("found") == F.size("want")), "token").where(F.forall("want", lambda t: F.array_contains("held", t)))
+    whole = F.transform(F.filter("labels", lambda one: F.forall("want", lambda t: F.array_contains(one["held"], t))), lambda one: label_score(one["text"], F.col("q"), F.col("tokens")))
+    per = met.select("onto_id", "query_id", "iri", F.array_max(whole).alias("score"))
+    size = texts.groupBy("onto_id", "iri").agg(F.avg(F.length("text")).alias("n"))
+    scored = per.join(size, ["onto_id", "iri"]).select("onto_id", "query_id", "iri", F.coalesce("score", 1 - F.col("n") * 0.001).alias("score"))
+    exact = x.entity.select("onto_id", "iri", F.lower(local_name(F.col("iri"))).alias("q")).join(q, "q").select("onto_id", "query_id", "iri", F.lit(200.0).alias("score"))
     best = scored.unionByName(exact).groupBy("onto_id", "query_id", "iri").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "iri"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "iri", "score")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import expressions as X
 from termweave.model import KIND_ORDER, TYPE, TYPE_IRI, is_named
-from termweave.plans.tables import fixpoint, save
+from termweave.plans.tables import save
 
 #: Keywords of functional syntax that are read (fixed values); all others are skipped.
 READ = ["Annotation", "Import", "Declaration", "SubClassOf", "EquivalentClasses", "DisjointClasses", "DisjointUnion", "AnnotationAssertion", "SubObjectPropertyOf", "SubDataPropertyOf", "SubAnnotationPropertyOf", "ObjectPropertyDomain", "ObjectPropertyRange", "DataPropertyDomain", "FunctionalObjectProperty", "InverseFunctionalObjectProperty", "TransitiveObjectProperty", "SymmetricObjectProperty", "ReflexiveObjectProperty", "IrreflexiveObjectProperty", "AsymmetricObjectProperty", "FunctionalDataProperty", "InverseObjectProperties", "EquivalentObjectProperties", "DisjointObjectProperties", "ClassAssertion", "ObjectPropertyAssertion", "DataPropertyAssertion"]
@@ -221,8 +221,17 @@ def assertions_from_triples(triples: DataFrame, entities: DataFrame) -> DataFram
 
 def rdf_lists(first: DataFrame, rest: DataFrame, heads: DataFrame) -> DataFrame:
     """Head, pos, item: members of lists from first (node, item), rest (node, next) and heads (head, and node where it differs); a node met again ends it, unnamed members go."""
-    start = heads.select("head", F.col("node" if "node" in heads.columns else "head").alias("node"), F.lit(0).alias("pos"))
-    seen = fixpoint(start, lambda new, _: new.join(rest, "node").select("head", F.col("next").alias("node"), (F.col("pos") + 1).alias("pos")), ["head", "node"])
+    # by doubling: after round k the first 2^k cells of every list are known, and where 2^k steps lead from any cell
+    seen = save(heads.select("head", F.col("node" if "node" in heads.columns else "head").alias("node"), F.lit(0).alias("pos")), "cells")
+    jump, step = save(rest.select("node", F.col("next").alias("to")).where("to is not null"), "jump"), 1
+    while True:
+        far = seen.join(jump, "node").select("head", F.col("to").alias("node"), (F.col("pos") + step).alias("pos"))
+        new = far.groupBy("head", "node").agg(F.min("pos").alias("pos")).join(seen, ["head", "node"], "left_anti")
+        new = save(new, "cells")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+        jump, step = save(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("_far")), "to").select("node", F.col("_far").alias("to")), "jump"), 2 * step
     return seen.join(first, "node").where(is_named(F.col("item"))).select("head", "pos", "item")
 
 

@@ -48,5 +48,8 @@ def triples(x: Ontology, distinct: bool = True) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, files: int = 8) -> None:
-    """The triples as Parquet, a folder for each predicate, so that a pattern's predicate prunes the scan."""
-    df.repartition(files, "p").write.partitionBy("p").parquet(path)
+    """The triples as Parquet, a folder for each predicate, so that a pattern's predicate prunes the scan.
+
+    Dealt by ranges of predicate and subject, so that a predicate of most triples is written by many tasks.
+    """
+    df.repartitionByRange(files, "p", "s").write.partitionBy("p").parquet(path)

@@ -100,18 +100,48 @@ def test_classification(spark):
     named = {(a.split("/")[-1], b.split("/")[-1]) for b, a in rows(edges.select("parent", "child"))}
     assert ("Koala", "Marsupial") in named and ("Koala", "ForestAnimal") in named
     assert ("Koala", "Mammal") not in named and ("Koala", "Animal") not in named
-    assert rows(reasoning.incoherent(facts)) == [(B + "Odd",)]
-    assert reasoning.consistent(facts, x).first()[0] is True
+    assert rows(reasoning.incoherent(facts)) == [("o", B + "Odd")]
+    assert rows(reasoning.consistent(facts, x)) == [("o", True)]
     assert not any(NOTHING in r for r in rows(edges))
 
 
 def test_class_expression_query(spark):
-    q = spark.createDataFrame([("q", f"{B}Mammal and ({B}habitat some {B}Forest)")], "query_id string, expr string")
-    got = {(c, i.split("/")[-1]) for _, c, i in rows(reasoning.dl_query(animals(spark), q))}
+    q = spark.createDataFrame([("o", "q", f"{B}Mammal and ({B}habitat some {B}Forest)")], "onto_id string, query_id string, expr string")
+    got = {(c, i.split("/")[-1]) for _, _, c, i in rows(reasoning.dl_query(animals(spark), q))}
     assert {("subClasses", "Koala"), ("directSubClasses", "Koala"), ("instances", "koko"), ("directSuperClasses", "Mammal"), ("directSuperClasses", "ForestAnimal"), ("superClasses", "Animal")} <= got
     assert ("directSuperClasses", "Animal") not in got
 
 
+def test_ontologies_are_classified_apart(spark):
+    """A below B in one and B below C in another says nothing of A and C; a contradiction stays in its own."""
+    make = lambda n, r: spark.createDataFrame(r, SCHEMAS[n])
+    x = onto(spark)
+    x.entity = make("entity", [(o, B + c, "class") for o in ("o1", "o2") for c in "ABC"] + [("o2", B + "i", "individual")])
+    x.class_edge = make("class_edge", [("o1", B + "A", B + "B", "sub", 0), ("o2", B + "B", B + "C", "sub", 0), ("o2", B + "A", B + "B", "disjoint", 0)])
+    x.type_assert = make("type_assert", [("o2", B + "i", B + "A"), ("o2", B + "i", B + "B")])
+    facts, edges = reasoning.classify(x)
+    assert rows(edges.select("onto_id", "child", "parent")) == [("o1", B + "A", B + "B"), ("o2", B + "B", B + "C")]
+    assert rows(reasoning.consistent(facts, x)) == [("o1", True), ("o2", False)]
+    q = make("class_edge", []).sparkSession.createDataFrame([("o2", "q", B + "B")], "onto_id string, query_id string, expr string")
+    got = rows(reasoning.dl_query(x, q))
+    assert ("o2", "q", "superClasses", B + "C") in got and {r[0] for r in got} == {"o2"}
+
+
+def test_chains_of_any_length_and_what_is_not_read(spark):
+    some = lambda a, p, b: (B + a, "super", 0, f"{B}{p} some {B}{b}")
+    x = onto(
+        spark,
+        entity=[(B + c, "class") for c in ("A", "C", "D", "E", "F", "Goal")] + [(B + p, "objectProperty") for p in "pqrst"],
+        class_expr=[some("A", "p", "C"), some("C", "q", "D"), some("D", "r", "E"), (B + "Goal", "equiv", 0, f"{B}t some {B}E"), some("F", "s", "E"), (B + "F", "super", 1, f"{B}p max 1 {B}C")],
+        prop_chain=[(B + "t", 0, [B + "p", B + "q", B + "r"]), (B + "t", 1, [B + "s"])],
+        prop_edge=[(B + "p", B + "C", "range"), (B + "p", B + "q", "disjoint")],
+        prop_flag=[(B + "p", "symmetric"), (B + "q", "transitive")],
+    )
+    _, edges = reasoning.classify(x)
+    assert {("o", B + "Goal", B + "A"), ("o", B + "Goal", B + "F")} == set(rows(edges))
+    assert {r["op"] for r in reasoning.normalise(x).unsupported.collect()} == {"max", "range", "disjoint", "symmetric"}
+
+
 def test_closure_ends_on_cycles(spark):
     from termweave.operators.hierarchy import closure
 
