@@ -59,7 +59,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import vectors
 
-    return vectors.top_k(table(spark, sf_dir, "embeddings"))
+    return vectors.top_k(table(spark, sf_dir, "embeddings")).drop("evaluated")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

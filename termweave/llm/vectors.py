@@ -188,51 +188,77 @@ def _near_duplicates(vectors: DataFrame, least: float, seed: int, id_col: str, v
 # ---------------------------------------------------------------- exact top-k
 
 
-PIVOTS, QUERIES, CANDIDATES, STEP = 32, 2048, 8192, 256
+#: Pivots, those of the first sieve, queries and candidates of a block, and candidates evaluated at first.
+PIVOTS, SIEVE, QUERIES, CANDIDATES, STEP = 32, 8, 2048, 8192, 256
 
 
 def whole(col: str, scale: int) -> Column:
     return F.transform(col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
 
 
-def _search(k: int, pivots: np.ndarray):
-    """A function over one block of candidates and queries: each query's best k in the block.
+def pivot_table(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """vec_id, x and d, the distances of every vector (vec_id, x) to all pivots; shorter vectors count as padded."""
+
+    def run(batches):
+        for b in batches:
+            m = matrix(b.column(1), pivots.shape[1])
+            piv = np.zeros((len(pivots), m.shape[1]))
+            piv[:, : pivots.shape[1]] = pivots
+            d = np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] + (piv * piv).sum(1) - 2 * m @ piv.T)).astype("<f4")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in d], pa.binary())], ["vec_id", "x", "d"])
+
+    return rows.mapInArrow(run, "vec_id long, x array<bigint>, d binary")
+
+
+def _search(k: int, pivots: int):
+    """A function over one block of candidates and queries: each query's best k in the block, and how many it evaluated.
 
     |q - c| is at least the largest difference of their distances to a pivot, which bounds the inner
-    product from above; candidates are evaluated in the order of that bound until it falls below the
-    k-th score found.
+    product from above.  Candidates whose bound by the first pivots falls below the query's floor (the
+    k-th score it has elsewhere) go at once; the others are bounded by all pivots and evaluated in the
+    order of that bound until it falls below the k-th score found.
     """
 
     def run(group: pa.Table) -> pa.Table:
         asks = np.array(group.column("ask").to_pylist(), bool)
         ids = group.column("vec_id").to_numpy()
-        exact = matrix(group.column("x"), pivots.shape[1])
-        piv = np.zeros((len(pivots), exact.shape[1]))
-        piv[:, : pivots.shape[1]] = pivots
+        exact = matrix(group.column("x"))
+        d = np.frombuffer(b"".join(group.column("d").to_pylist()), "<f4").reshape(len(ids), pivots)
+        floor = group.column("floor").to_numpy(zero_copy_only=False).astype(float)[asks]
         c_id, c, q_id, q = ids[~asks], exact[~asks], ids[asks], exact[asks]
         order = np.argsort(c_id, kind="stable")
         c_id, c = c_id[order], c[order]
-        far = lambda m: np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] + (piv * piv).sum(1) - 2 * m @ piv.T)).T
+        to_c, to_q = np.ascontiguousarray(d[~asks][order].T), d[asks].T
         most = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1]
-        to_c, to_q, c2, q2 = far(c).astype(np.float32), far(q).astype(np.float32), (c * c).sum(1), (q * q).sum(1)
+        c2, q2 = (c * c).sum(1), (q * q).sum(1)
+        root_c, root_q = np.sqrt(c2), np.sqrt(q2)
         exact_kind = np.float32 if most < 2**24 else float if most < 2**53 else np.int64  # sums stay whole numbers
         c, q = c.astype(exact_kind), q.astype(exact_kind)
-        out: list[list] = [[], [], []]
+
+        def bounds(n, some, first, last, apart):
+            """The largest distance to pivots first..last differs by, and the bound it gives."""
+            for p in range(first, last):
+                np.maximum(apart, np.abs(to_c[p][some] - to_q[p, n]), out=apart)
+            low = np.maximum(0, apart - 1e-5 * (root_c[some] + root_q[n]) - 1e-5).astype(float)  # rounding of the distances
+            return (c2[some] + q2[n] - low * low) / 2 + 1e-9 * (c2[some] + q2[n]) + 1e-6
+
+        out: list[list] = [[], [], [], []]
         for n in range(len(q)):
+            floor_n = floor[n] if floor[n] == floor[n] else -np.inf
+            every = slice(None)
             apart = np.abs(to_c[0] - to_q[0, n])
-            for p in range(1, len(piv)):
-                np.maximum(apart, np.abs(to_c[p] - to_q[p, n]), out=apart)
-            apart = np.maximum(0, apart - 1e-5 * (np.sqrt(c2) + np.sqrt(q2[n])) - 1e-5)  # rounding of the distances
-            bound = (c2 + q2[n] - apart.astype(float) ** 2) / 2 + 1e-9 * (c2 + q2[n]) + 1e-6
-            bound[c_id == q_id[n]] = -np.inf
+            some = np.flatnonzero((bounds(n, every, 1, min(SIEVE, pivots), apart) >= floor_n) & (c_id != q_id[n]))
+            bound = bounds(n, some, min(SIEVE, pivots), pivots, apart[some])
             best_s, best_i = np.zeros(0, exact_kind), np.zeros(0, np.int64)
-            size, todo = STEP, np.flatnonzero(bound > -np.inf)
+            size, todo, seen = STEP, np.flatnonzero(bound >= floor_n), 0
             while len(todo):
                 if len(todo) > size:  # the largest bounds come next
                     cut = np.argpartition(-bound[todo], size)
                     at, todo = todo[cut[:size]], todo[cut[size:]]
                 else:
                     at, todo = todo, todo[:0]
+                seen += len(at)
+                at = some[at]
                 s = c[at] @ q[n]
                 if len(best_s) >= k:
                     at, s = at[s >= best_s[k - 1]], s[s >= best_s[k - 1]]
@@ -242,20 +268,23 @@ def _search(k: int, pivots: np.ndarray):
                 if len(best_s) >= k:
                     todo = todo[bound[todo] >= best_s[k - 1]]  # none of the others can be among the best
                 size *= 4
-            out[0] += [q_id[n]] * len(best_i)
-            out[1] += best_i.tolist()
-            out[2] += [int(s) for s in best_s]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
+            out[0] += [q_id[n]] * (len(best_i) + 1)
+            out[1] += [*best_i.tolist(), None]
+            out[2] += [*(int(s) for s in best_s), None]
+            out[3] += [0] * len(best_i) + [seen]  # one row tells the work
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64()), "evaluated": pa.array(out[3], pa.int64())})
 
     return run
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows of largest integer inner product with each query.
+    """query_id, rank, vec_id, score: the k rows of largest integer inner product with each query; and evaluated,
+    the number of candidates whose product with the query was formed.
 
     Queries are the ids divisible by `every`; candidates all rows but those of the query's own id.
-    Both sides are dealt into blocks of bounded size and every pair of blocks is one group.  Pivots
-    are the PIVOTS rows with the least hash of their id.
+    Distances to pivots, the PIVOTS rows with the least hash of their id, are a table made once.  Both
+    sides are dealt into blocks of bounded size.  Every query meets one block of candidates first; the
+    k-th score found there is its floor in all other blocks, each pair of which is one group.
 
     Cases: a null vector, null or non-finite components, or a null id take no part; a query id with
     several rows is asked once, with its least vector; shorter vectors count as padded with zeros;
@@ -268,19 +297,30 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
 def _top_k(vectors: DataFrame, k: int, every: int, scale: int, id_col: str, vec_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
     rows = save(rows.select("vec_id", whole("v", scale).alias("x")), "whole")
-    asks = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
-    n, m = rows.count(), asks.count()
     picked = [r["x"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()]
     width = max(map(len, picked), default=0)
     pivots = np.array([x + [0] * (width - len(x)) for x in picked], float).reshape(len(picked), width)
-    c_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
+    table = save(pivot_table(rows, pivots), "pivots")
+    asks = save(table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("x", "d")).alias("_r")).select("vec_id", "_r.*"), "asks")
+    c_blocks, q_blocks = max(1, -(-table.count() // CANDIDATES)), max(1, -(-asks.count() // QUERIES))
     block = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    every_block = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("vec_id", "x", F.lit(False).alias("ask"), block(c_blocks).alias("cb"), every_block(q_blocks).alias("qb"))
-    right = asks.select("vec_id", "x", F.lit(True).alias("ask"), every_block(c_blocks).alias("cb"), block(q_blocks).alias("qb"))
-    best = left.unionByName(right).groupBy("cb", "qb").applyInArrow(_search(k, pivots), "query_id long, vec_id long, score long")
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    each = lambda first, last: F.explode(F.sequence(F.lit(first), F.lit(last - 1)))
+    none = F.lit(None).cast("long").alias("floor")
+    left = table.select("vec_id", "x", "d", F.lit(False).alias("ask"), none, block(c_blocks).alias("cb"), each(0, q_blocks).alias("qb"))
+
+    def met(first: int, last: int, asked: DataFrame) -> DataFrame:
+        right = asked.select("vec_id", "x", "d", F.lit(True).alias("ask"), "floor", each(first, last).alias("cb"), block(q_blocks).alias("qb"))
+        own = left.where(F.col("cb").between(first, last - 1)).unionByName(right)
+        return save(own.groupBy("cb", "qb").applyInArrow(_search(k, len(pivots)), "query_id long, vec_id long, score long, evaluated long"), "best")
+
+    best = met(0, 1, asks.withColumn("floor", none))
+    if c_blocks > 1:
+        floors = best.where("vec_id is not null").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+        told = asks.join(floors.select(F.col("query_id").alias("vec_id"), "floor"), "vec_id", "left")
+        best = best.unionByName(met(1, c_blocks, told))
+    work = best.groupBy("query_id").agg(F.sum("evaluated").alias("evaluated"))
+    ranked = best.where("vec_id is not null").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    return ranked.where(F.col("rank") <= k).drop("evaluated").join(work, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "evaluated")
 
 
 TOP_K_SQL = """

@@ -529,6 +529,22 @@ def test_top_k(spark):
     assert vectors.top_k(df.where("vec_id < 3")).count() == 2 and vectors.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CANDIDATES", 100)
+    monkeypatch.setattr(vectors, "QUERIES", 16)
+    test_top_k(spark)
+
+
+def test_floors_and_pivots_spare_products(spark, monkeypatch):
+    """Clustered vectors in few dimensions: most candidates are never multiplied with a query."""
+    monkeypatch.setattr(vectors, "CANDIDATES", 500)
+    monkeypatch.setattr(vectors, "STEP", 32)
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(size=3) * 0.02 + [math.cos(i % 40), math.sin(i % 40), i % 3]]) for i in range(4000)]
+    got = vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().drop_duplicates("query_id")
+    assert len(got) == 200 and got["evaluated"].mean() < 0.4 * 4000
+
+
 # ---------------------------------------------------------------- 10
 
 
