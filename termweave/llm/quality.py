@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, scratch
+from .common import lean, save, scratch
 from .kernels import U64, class_runs, mix, slices, text_bytes
 
 #: Words with a vector at most, and words that a task gathers before it sends partial counts.
-VOCABULARY, FLUSH = 1 << 15, 2_000_000
+VOCABULARY, FLUSH = 1 << 15, 1_000_000
 DIM, NONZERO, WINDOW, BLOCKS = 48, 4, 2, 16
 #: Distances at which a word's vector is multiplied with a later one's, and numbers that describe a document.
 LAGS = (1, 2, 3, 4, 6)
@@ -78,8 +78,17 @@ def vocabulary(texts: DataFrame, most: int = VOCABULARY) -> np.ndarray:
         if n:
             yield flush()
 
-    per = texts.mapInArrow(partial, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = per.orderBy(F.col("n").desc(), "word").limit(most).select("word").collect()  # at most `most` numbers
+    per = texts.mapInArrow(lean(partial), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # what is asked of each partition in order must not grow with their number: only words of the top
+    # counts, told by a histogram of few rows, are ordered
+    per = save(per.withColumn("b", F.floor(F.log2("n") * 16).cast("int")), "words")
+    held, least = 0, None
+    for r in sorted(per.groupBy("b").count().collect(), reverse=True):
+        held, least = held + r["count"], r["b"]
+        if held >= most:
+            break
+    some = per.where(F.col("b") >= least) if least is not None else per
+    top = some.orderBy(F.col("n").desc(), "word").limit(most).select("word").collect()  # at most `most` numbers
     return np.sort(np.array([r["word"] for r in top], np.int64).view(U64))
 
 
@@ -121,8 +130,8 @@ def word_vectors(docs: DataFrame, known: np.ndarray, text_col: str = "text") ->
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in total.values()], pa.binary())], ["block", "part"])
 
-    parts = docs.select(text_col).mapInArrow(gather, "block int, part binary")
-    summed = parts.repartition(BLOCKS, "block").mapInArrow(add, "block int, part binary")
+    parts = docs.select(text_col).mapInArrow(lean(gather), "block int, part binary")
+    summed = parts.repartition(BLOCKS, "block").mapInArrow(lean(add), "block int, part binary")
     m = np.zeros((BLOCKS, size * DIM // BLOCKS), np.float32)
     for r in summed.collect():  # BLOCKS rows, whatever the corpus
         m[r["block"]] = np.frombuffer(r["part"], "<f4")
@@ -229,7 +238,7 @@ def fit(rows: DataFrame, known: np.ndarray, vectors: np.ndarray) -> Network:
             x = _pooled(b.column(2), known, vectors)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["_id", "_y", "x"])
 
-    got = rows.select("_id", "_y", "_text").mapInArrow(vector, f"_id {kind}, _y int, x binary")
+    got = rows.select("_id", "_y", "_text").mapInArrow(lean(vector), f"_id {kind}, _y int, x binary")
     # repeated ids: one of equal vectors, else the least; in an order of the id, so that reruns agree
     got = got.groupBy("_id", "_y").agg(F.min("x").alias("x")).orderBy(F.xxhash64("_id"), "_id").collect()  # at most `sample` rows
     x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float32).reshape(len(got), WIDTH)
@@ -252,4 +261,4 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             cols = [b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), *([b.column(3)] if keep_row else [])]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "row"][: len(cols)])
 
-    return rows.mapInArrow(judge, schema)
+    return rows.mapInArrow(lean(judge), schema)
