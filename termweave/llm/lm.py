@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep, shared_path
+from .common import drop, keep, lean, shared_path
 from .compact import EliasFano, bits_for, ef_encode, pack, read_arrays, unpack, write_arrays
 from .kernels import U64, slices, text_bytes, words
 
@@ -340,8 +340,8 @@ TOLD = "shard int, size long, total long"
 
 
 def _count(rows: DataFrame, shards: int, arrays_of, bundles, finish, base: int) -> dict[int, tuple[int, int]]:
-    parts = rows.mapInArrow(_partial(arrays_of, bundles), "shard int, part binary")
-    told = parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_assemble(finish, base), TOLD)
+    parts = rows.mapInArrow(lean(_partial(arrays_of, bundles)), "shard int, part binary")
+    told = parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(_assemble(finish, base)), TOLD)
     return {r["shard"]: (r["size"], r["total"]) for r in told.collect()}  # three numbers a shard
 
 
@@ -455,7 +455,7 @@ def build(docs: DataFrame, training, order: int = ORDER, text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([int(more.sum())], pa.int64())], ["shard", "size", "total"])
 
     # a shard a task; its counts stay until all are done, so a lost task starts again
-    sizes = {r["shard"]: r["size"] for r in spark.range(0, shards, 1, shards).mapInArrow(third, TOLD).collect()}
+    sizes = {r["shard"]: r["size"] for r in spark.range(0, shards, 1, shards).mapInArrow(lean(third), TOLD).collect()}
     drop(spark, f"{root}/counts")
     return Trie(v, [two, Level(f"{root}/3", [sizes[s] for s in range(shards)], two.first)])
 
@@ -492,4 +492,4 @@ def _score(docs: DataFrame, trie: Trie, id_col: str, text_col: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(total), pa.array(base.astype(float)), pa.array(full.astype(float))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

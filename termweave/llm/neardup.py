@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, hot_join, keep, least_members, save, scratch
+from .common import components, hot_join, keep, lean, least_members, save, scratch
 from .kernels import U64, mix, slices, text_bytes, words
 
 TREES, DEPTH, REGION, NEAR, PARTNERS = 20, 12, 24, 3, 3
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, size: int, seed: int, id_col: str, text_col: str
                 sig.append(signature(s, a).astype(">u4").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), *b.columns[2:]], ["doc_id", "n", "node", "sig", *carry])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, f"doc_id {kind}, n long, node long, sig binary{more}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(lean(run), f"doc_id {kind}, n long, node long, sig binary{more}")
 
 
 def _pairs(g, key, n, least: int, share: tuple[int, int], first: int, last: int):
@@ -181,11 +181,11 @@ def candidates(reps: DataFrame, share: tuple[int, int]) -> DataFrame:
     rows = reps.select("node", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
     rows = rows.select(F.col("t").cast("long").alias("g"), F.expr(f"substring(sig, t * {width} + 1, {width})").alias("key"), "node", "n")
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), TREES * reps.count() // 20_000))
-    found = rows.repartitionByRange(parts, "g", "key", "node").sortWithinPartitions("g", "key", "node").mapInArrow(_scan(least, share, True), PAIR_ROWS)
+    found = rows.repartitionByRange(parts, "g", "key", "node").sortWithinPartitions("g", "key", "node").mapInArrow(lean(_scan(least, share, True)), PAIR_ROWS)
     found = save(found, "forest")
     # a partition's last rows and the next one's first: a few rows for each partition
     seam = found.where("part is not null").select((F.col("part") * 64 + F.col("g")).alias("g"), "key", F.col("a").alias("node"), "n")
-    seam = seam.repartition(parts, "g").sortWithinPartitions("g", "key", "node").mapInArrow(_scan(least, share, False), PAIR_ROWS)
+    seam = seam.repartition(parts, "g").sortWithinPartitions("g", "key", "node").mapInArrow(lean(_scan(least, share, False)), PAIR_ROWS)
     both = found.where("part is null").select("a", "b").unionByName(seam.select("a", "b"))
     return both.where("a < b").groupBy("a", "b").agg(F.count("*").alias("trees"))
 
@@ -207,7 +207,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     """The pairs (a, b) whose full sets are similar enough."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(share), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_confirm(share)), "a long, b long")
 
 
 def crowds(reps: DataFrame, least: int) -> DataFrame:
@@ -352,7 +352,7 @@ def _near_duplicates(docs: DataFrame, size: int, share: tuple[int, int], seed: i
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left_semi")
-    sets = save(texts.select("_text").mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = save(texts.select("_text").mapInArrow(lean(shingled), "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     votes = [F.col("trees").desc(), F.xxhash64("a", "b")]
     ranked = pairs.withColumn("ra", F.row_number().over(W.partitionBy("a").orderBy(*votes))).withColumn("rb", F.row_number().over(W.partitionBy("b").orderBy(*votes)))

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, save, scratch
+from .common import keep, lean, save, scratch
 
 #: Pieces of a group, and the least share of open bins that a round must save for another to follow.
 GROUP, SAVED = 8192, 100
 #: Words, and runs of letters or signs in them, whose ids a task keeps at most, and the longest kept.
-KEPT_WORDS, KEPT_LENGTH = 600_000, 40
+KEPT_WORDS, KEPT_LENGTH = 200_000, 40
 
 
 def _latin(kind: str) -> str:
@@ -148,7 +148,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), schema)
 
 
 def best_fit(items: np.ndarray, caps: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import lean, save
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents and windows that the tagger is fitted on, at most, and disguised copies of each document.
@@ -370,7 +370,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, id_col: s
                     y += [np.pad(tags[s : s + SPAN], (0, max(0, SPAN - len(tags[s : s + SPAN])))).tobytes() for s in starts]
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(y, pa.binary())], ["w", "y"])
 
-    got = rows.where("_text is not null").join(marked, "_id").select("_text").mapInArrow(label, "w binary, y binary").distinct()
+    got = rows.where("_text is not null").join(marked, "_id").select("_text").mapInArrow(lean(label), "w binary, y binary").distinct()
     held = F.length(F.replace(F.hex("y"), F.lit("00"), F.lit(""))) > 0
     got = save(got.withColumn("held", held), "windows")
     order = [F.xxhash64("w"), "w", "y"]
@@ -430,7 +430,7 @@ def find(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_co
                 rows = [[{"kind": KINDS[k], "start": s, "end": e, "base": x} for s, e, k, x in r] for r in spans]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, struct)], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, spans {SPANS}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, spans {SPANS}")
 
 
 def redact(docs: DataFrame, tagger: Tagger | None, text_col: str = "text") -> DataFrame:
@@ -454,7 +454,7 @@ def redact(docs: DataFrame, tagger: Tagger | None, text_col: str = "text") -> Da
                 cols = [pa.array(out, pa.string()) if i == at else part.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, hot_join, keep, least_members, save, scratch
+from .common import components, hot_join, keep, lean, least_members, save, scratch
 
 #: Vectors of one bucket that are compared in one group at most; larger buckets are split into blocks.
 BLOCK = 1024
@@ -164,16 +164,16 @@ def _near_duplicates(vectors: DataFrame, least: float, seed: int, id_col: str, v
     classes = save(classes, "classes")
     bits, tables = table_sizes(classes.count(), least)
     base = classes.select("node", "lab", "mult", "vec")
-    codes = base.mapInArrow(_hashed(bits, tables, seed, False), "code long, t long, width long, lab long")
+    codes = base.mapInArrow(lean(_hashed(bits, tables, seed, False)), "code long, t long, width long, lab long")
     key = ["t", "code", "lab", "width"]
     hot = save(codes.groupBy(*key).count().where(F.col("count") > BLOCK).select(*key, F.ceil(F.col("count") / BLOCK).alias("blocks")), "hot")
-    hashed = base.mapInArrow(_hashed(bits, tables, seed, True), "code long, t long, width long, node long, lab long, mult long, vec binary")
+    hashed = base.mapInArrow(lean(_hashed(bits, tables, seed, True)), "code long, t long, width long, node long, lab long, mult long, vec binary")
     dealt = hashed.join(hot, key, "left").withColumn("blk", F.pmod(F.xxhash64("node", F.lit(seed)), F.coalesce("blocks", F.lit(1))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
     dealt = dealt.select(*key, F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "node", "mult", "blk", "vec")
     order = [*key, "p", "q"]
     spread = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = dealt.repartition(spread, *order).sortWithinPartitions(*order).mapInArrow(_compare(least, bits, tables, seed), "node long, links long, root long")
+    found = dealt.repartition(spread, *order).sortWithinPartitions(*order).mapInArrow(lean(_compare(least, bits, tables, seed)), "node long, links long, root long")
     found = save(found, "met")
     comp = components(found.select("node", "root"), "node", "root")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -207,7 +207,7 @@ def pivot_table(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             d = np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] + (piv * piv).sum(1) - 2 * m @ piv.T)).astype("<f4")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in d], pa.binary())], ["vec_id", "x", "d"])
 
-    return rows.mapInArrow(run, "vec_id long, x array<bigint>, d binary")
+    return rows.mapInArrow(lean(run), "vec_id long, x array<bigint>, d binary")
 
 
 def _search(k: int, pivots: int):
