@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from termweave import catalogs
-from termweave.catalogs import flows, graph, ingest, lifecycle, reason, terms
+from termweave.catalogs import flows, graph, ingest, lifecycle, reason, syntaxes, terms
 
 flagship = graph.flagship
-__all__ = ["flagship", "flows", "graph", "ingest", "lifecycle", "oracle_sql", "queries", "reason", "terms"]
+__all__ = ["flagship", "flows", "graph", "ingest", "lifecycle", "oracle_sql", "queries", "reason", "syntaxes", "terms"]
 
 
 def queries() -> dict:

@@ -129,7 +129,7 @@ def s05(spark, sf_dir):
     return S.owlxml_subclasses(spark, documents_of(c.select(block().alias("n"), F.explode(F.array(x, y)).alias("value")), "Ontology", "owlxml"))
 
 
-@query("s06_manchester", f"SELECT {CUSTOMER} AS frame, 'SubClassOf' AS section, '<{B}nation/' || c_nationkey || '>' AS item FROM customer UNION ALL SELECT {CUSTOMER}, 'Annotations', 'rdfs:label \"' || c_name || '\"@en' FROM customer UNION ALL SELECT {NATION}, 'SubClassOf', '<{B}region/' || n_regionkey || '>' FROM nation UNION ALL SELECT {NATION}, 'Annotations', 'rdfs:label \"' || n_name || '\"@en' FROM nation")
+@query("s06_manchester", f"SELECT {CUSTOMER} AS frame, 'SubClassOf' AS section, '<{B}nation/' || c_nationkey || '>' AS item FROM customer UNION ALL SELECT {CUSTOMER}, 'Annotations', 'rdfs:label \"' || c_name || '\"@en' FROM customer UNION ALL SELECT {NATION}, 'SubClassOf', '<{B}region/' || n_regionkey || '>' FROM nation UNION ALL SELECT {NATION}, 'Annotations', 'rdfs:label \"' || n_name || '\"@en' FROM nation UNION ALL SELECT {CUSTOMER}, 'Facts', '<{B}acctbal> \"' || CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) || '\"^^<http://www.w3.org/2001/XMLSchema#decimal>' FROM customer")
 def s06(spark, sf_dir):
     """Frames written by K03 and read back."""
     x = shop(spark, sf_dir)

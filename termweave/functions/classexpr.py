@@ -119,6 +119,49 @@ def _text(node) -> str:
     return " ".join(x for x in (prop, op, None if card is None else str(card), *inner) if x)
 
 
+#: Names of the forms in functional syntax (fixed values), those of restrictions without Object or Data.
+_FUNCTIONAL = {"and": "ObjectIntersectionOf", "or": "ObjectUnionOf", "not": "ObjectComplementOf", "oneOf": "ObjectOneOf", "some": "SomeValuesFrom", "only": "AllValuesFrom", "value": "HasValue", "self": "HasSelf", "min": "MinCardinality", "max": "MaxCardinality", "exactly": "ExactCardinality"}
+_DATATYPE = re.compile(r'"|[+-]?\d|<?(http://www\.w3\.org/2001/XMLSchema#|xsd:|rdfs:Literal|http://www\.w3\.org/2000/01/rdf-schema#Literal)')
+_WHOLE_IRI = re.compile("(https?://|urn:|file:)")
+
+
+def _functional(node) -> str:
+    """A tree in functional syntax; a restriction to a datatype or literal is one of a data property."""
+    op, prop, card, iri, kids = node
+    name = lambda x: f"<{x}>" if _WHOLE_IRI.match(x) else x
+    if op == "class":
+        return name(iri)
+    inner = [_functional(k) for k in kids]
+    if prop is None:
+        return f"{_FUNCTIONAL[op]}({' '.join(inner)})"
+    kind = "Data" if kids and kids[0][0] == "class" and _DATATYPE.match(kids[0][3]) else "Object"
+    return f"{kind}{_FUNCTIONAL[op]}({' '.join([*([] if card is None else [str(card)]), name(prop), *inner])})"
+
+
+def functional_text(exprs: DataFrame) -> DataFrame:
+    """expr, functional: the distinct expressions of column expr in functional syntax; null if one cannot be read."""
+
+    def read(batches):
+        for pdf in batches:
+            out = []
+            for e in pdf["expr"]:
+                try:
+                    r = _Reader(e)
+                    tree = r.union()
+                    out.append(None if r.peek() else _functional(tree))
+                except (ValueError, IndexError, RecursionError):
+                    out.append(None)
+            yield pd.DataFrame({"expr": pdf["expr"], "functional": out})
+
+    return exprs.select("expr").where("expr is not null").distinct().mapInPandas(read, "expr string, functional string")
+
+
+def manchester_text(exprs: DataFrame) -> DataFrame:
+    """expr, manchester: the distinct expressions of column expr in canonical Manchester syntax; null if one cannot be read."""
+    n = flatten(exprs)
+    return n.where("node_id = 0").selectExpr("expr", "case when op <> 'error' then text end AS manchester")
+
+
 def flatten(exprs: DataFrame) -> DataFrame:
     """Node rows of the distinct expressions of column expr; unreadable ones give one `error` node."""
 

@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.functions.classexpr import functional_text
 from termweave.functions.expressions import literal, written_iri
 from termweave.model import LABEL, OWL, THING, TYPE_IRI, Ontology
 
 DECLARED = {"class": "Class", "objectProperty": "ObjectProperty", "dataProperty": "DataProperty", "annotationProperty": "AnnotationProperty", "individual": "NamedIndividual"}
 FLAGS = {"functional": "Functional", "inverseFunctional": "InverseFunctional", "transitive": "Transitive", "symmetric": "Symmetric", "reflexive": "Reflexive", "irreflexive": "Irreflexive", "asymmetric": "Asymmetric"}
+#: Turtle names of property edges and flags (fixed values).
+EDGES = {"sub": "rdfs:subPropertyOf", "domain": "rdfs:domain", "range": "rdfs:range", "inverse": "owl:inverseOf", "equiv": "owl:equivalentProperty", "disjoint": "owl:propertyDisjointWith"}
+FLAG_TYPES = {k: f"owl:{v}Property" for k, v in FLAGS.items()}
 FRAME = {"class": "Class", "objectProperty": "ObjectProperty", "dataProperty": "DataProperty", "annotationProperty": "AnnotationProperty", "individual": "Individual"}
 
 
@@ -31,8 +35,9 @@ def _axiom(keyword, *parts) -> Column:
 def axiom_lines(x: Ontology, expressions: bool = True) -> DataFrame:
     """onto_id, iri, section, ord, line: every axiom of every entity in functional syntax.
 
-    Super owl:Thing is left out, a disjoint pair is written once, expressions are written as they are
-    stored if they are functional, and left out with expressions=False.
+    Super owl:Thing is left out, a disjoint pair is written once.  Expressions are written from their
+    tree, so whatever syntax they are stored in; those that cannot be read are left out, and all with
+    expressions=False.
     """
     row = lambda df, iri, section, line, ord_=F.lit(0): df.select("onto_id", F.col(iri).alias("iri"), F.lit(section).alias("section"), ord_.cast("int").alias("ord"), line.alias("line"))
     kind = F.col("kind")
@@ -52,6 +57,8 @@ def axiom_lines(x: Ontology, expressions: bool = True) -> DataFrame:
         row(pe.where(kind == "domain"), "prop", "4property", _axiom(F.concat("_k", F.lit("PropertyDomain")), _b("prop"), _b("target"))),
         row(pe.where(kind == "range"), "prop", "4property", _axiom(F.concat("_k", F.lit("PropertyRange")), _b("prop"), _b("target"))),
         row(pe.where((kind == "inverse")), "prop", "4property", _axiom("InverseObjectProperties", _b("prop"), _b("target"))),
+        row(pe.where(kind == "equiv"), "prop", "4property", _axiom(F.concat(F.lit("Equivalent"), "_k", F.lit("Properties")), _b("prop"), _b("target"))),
+        row(pe.where((kind == "disjoint") & (F.col("prop") < F.col("target"))), "prop", "4property", _axiom(F.concat(F.lit("Disjoint"), "_k", F.lit("Properties")), _b("prop"), _b("target"))),
         row(pf.where(F.col("flag").isin(*FLAGS)), "prop", "4property", _axiom(F.concat(_case(F.col("flag"), FLAGS), "_k", F.lit("Property")), _b("prop"))),
         row(x.prop_chain, "prop", "7chain", _axiom("SubObjectPropertyOf", _axiom("ObjectPropertyChain", F.array_join(F.transform("members", lambda m: F.concat(F.lit("<"), m, F.lit(">"))), " ")), _b("prop")), F.col("chain_no")),
         row(x.type_assert, "ind", "5individual", _axiom("ClassAssertion", _b("class"), _b("ind"))),
@@ -59,10 +66,10 @@ def axiom_lines(x: Ontology, expressions: bool = True) -> DataFrame:
         row(x.data_assert, "ind", "5individual", _axiom("DataPropertyAssertion", _b("prop"), _b("ind"), literal(F.col("value"), F.lit(""), F.col("datatype")))),
     ]
     if expressions:
-        some = r"^(\S+) some (\S+)$"  # the stored Manchester form of an existential
-        body = F.when(F.col("expr").rlike(some), F.regexp_replace("expr", some, "ObjectSomeValuesFrom(<$1> <$2>)")).otherwise(F.col("expr"))
+        said = x.class_expr.join(functional_text(x.class_expr), "expr").where("functional is not null")
+        body = F.col("functional")
         line = F.when(F.col("role") == "gci", _axiom("SubClassOf", body, _b("iri"))).when(F.col("role") == "equiv", _axiom("EquivalentClasses", _b("iri"), body)).otherwise(_axiom("SubClassOf", _b("iri"), body))
-        parts.append(x.class_expr.select("onto_id", "iri", F.when(F.col("role") == "gci", "6gci").otherwise("3class").alias("section"), F.col("ord").cast("int").alias("ord"), line.alias("line")))
+        parts.append(said.select("onto_id", "iri", F.when(F.col("role") == "gci", "6gci").otherwise("3class").alias("section"), F.col("ord").cast("int").alias("ord"), line.alias("line")))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -81,15 +88,32 @@ def functional_document(x: Ontology, iri: str, prefixes: dict[str, str] | None =
 
 
 def write_functional(x: Ontology, iri: str, path: str, expressions: bool = True) -> None:
-    """K01 to text files in order (their names sort as their lines do)."""
-    functional_document(x, iri, None, expressions).orderBy("section", "kind_rank", "iri", "ord", "line").select("line").write.text(path)
+    """K01 to text files in order (their names sort as their lines do), one ontology's document after another."""
+    functional_document(x, iri, None, expressions).orderBy("onto_id", "section", "kind_rank", "iri", "ord", "line").select("line").write.text(path)
+
+
+#: Section names of property edges and flags in Manchester frames (fixed values).
+SECTIONS = {"sub": "SubPropertyOf", "domain": "Domain", "range": "Range", "inverse": "InverseOf", "equiv": "EquivalentTo", "disjoint": "DisjointWith"}
 
 
 def manchester_sections(x: Ontology) -> DataFrame:
     """onto_id, iri, frame, section, items: comma-joined items of each frame section."""
+    row = lambda d, iri, section, item: d.select("onto_id", F.col(iri).alias("iri"), (F.lit(section) if isinstance(section, str) else section).alias("section"), item.alias("item"))
     e = x.class_edge.where(~((F.col("kind") == "sub") & (F.col("sup") == THING)))
     name = _case(F.col("kind"), {"sub": "SubClassOf", "equiv": "EquivalentTo", "disjoint": "DisjointWith"})
-    items = [e.select("onto_id", F.col("sub").alias("iri"), name.alias("section"), _b("sup").alias("item")), x.class_expr.where("role in ('super', 'equiv')").select("onto_id", "iri", F.when(F.col("role") == "super", "SubClassOf").otherwise("EquivalentTo").alias("section"), F.col("expr").alias("item")), x.type_assert.select("onto_id", F.col("ind").alias("iri"), F.lit("Types").alias("section"), _b("class").alias("item")), x.obj_assert.select("onto_id", F.col("ind").alias("iri"), F.lit("Facts").alias("section"), F.concat_ws(" ", _b("prop"), _b("target")).alias("item")), x.label.select("onto_id", "iri", F.lit("Annotations").alias("section"), F.concat(F.lit("rdfs:label "), literal(F.col("text"), F.col("lang"), F.lit(""))).alias("item"))]
+    text = lambda prop, dt=F.lit(""): F.concat(written_iri(prop), F.lit(" "), literal(F.col("text"), F.col("lang"), dt))
+    items = [
+        row(e, "sub", name, _b("sup")),
+        row(x.class_expr.where("role in ('super', 'equiv')"), "iri", F.when(F.col("role") == "super", "SubClassOf").otherwise("EquivalentTo"), F.col("expr")),
+        row(x.type_assert, "ind", "Types", _b("class")),
+        row(x.obj_assert, "ind", "Facts", F.concat_ws(" ", _b("prop"), _b("target"))),
+        row(x.data_assert, "ind", "Facts", F.concat_ws(" ", _b("prop"), literal(F.col("value"), F.lit(""), F.col("datatype")))),
+        row(x.label, "iri", "Annotations", text(F.lit(LABEL))),
+        row(x.annotation, "iri", "Annotations", text(F.col("prop"))),
+        row(x.prop_edge.where(F.col("kind").isin(*SECTIONS)), "prop", _case(F.col("kind"), SECTIONS), _b("target")),
+        row(x.prop_flag.where(F.col("flag").isin(*FLAGS)), "prop", "Characteristics", _case(F.col("flag"), FLAGS)),
+        row(x.prop_chain, "prop", "SubPropertyChain", F.array_join(F.transform("members", lambda m: F.concat(F.lit("<"), m, F.lit(">"))), " o ")),
+    ]
     rows = reduce(DataFrame.unionByName, items).groupBy("onto_id", "iri", "section").agg(F.array_join(F.array_sort(F.collect_set("item")), ", ").alias("items"))
     kinds = x.entity.groupBy("onto_id", "iri").agg(F.min_by("type", _case(F.col("type"), {k: str(i) for i, k in enumerate(FRAME)})).alias("type"))
     return rows.join(kinds, ["onto_id", "iri"]).select("onto_id", "iri", _case(F.col("type"), FRAME).alias("frame"), "section", "items")
@@ -112,5 +136,9 @@ def turtle_lines(x: Ontology) -> DataFrame:
     typ = x.type_assert.select("onto_id", F.col("ind").alias("iri"), F.concat(F.lit("a "), _b("class")).alias("seg"), F.lit("1").alias("k"))
     obj = x.obj_assert.select("onto_id", F.col("ind").alias("iri"), F.concat(_b("prop"), F.lit(" "), _b("target")).alias("seg"), F.lit("4").alias("k"))
     val = x.data_assert.select("onto_id", F.col("ind").alias("iri"), F.concat(_b("prop"), F.lit(" "), literal(F.col("value"), F.lit(""), F.col("datatype"))).alias("seg"), F.lit("5").alias("k"))
-    rows = reduce(DataFrame.unionByName, [a, e, lab, ann, typ, obj, val]).groupBy("onto_id", "iri").agg(F.array_sort(F.collect_set(F.struct("k", "seg"))).alias("p"))
+    seg = lambda d, k, text: d.select("onto_id", F.col("prop").alias("iri"), text.alias("seg"), F.lit(k).alias("k"))
+    flag = seg(x.prop_flag.where(F.col("flag").isin(*FLAG_TYPES)), "0", F.concat(F.lit("a "), _case(F.col("flag"), FLAG_TYPES)))
+    edge = seg(x.prop_edge.where(F.col("kind").isin(*EDGES)), "1", F.concat(_case(F.col("kind"), EDGES), F.lit(" "), _b("target")))
+    chain = seg(x.prop_chain, "1", F.concat(F.lit("owl:propertyChainAxiom ( "), F.array_join(F.transform("members", lambda m: F.concat(F.lit("<"), m, F.lit(">"))), " "), F.lit(" )")))
+    rows = reduce(DataFrame.unionByName, [a, e, lab, ann, typ, obj, val, flag, edge, chain]).groupBy("onto_id", "iri").agg(F.array_sort(F.collect_set(F.struct("k", "seg"))).alias("p"))
     return rows.select("onto_id", "iri", F.concat(_b("iri"), F.lit(" "), F.array_join("p.seg", " ; "), F.lit(" .")).alias("line"))

@@ -142,6 +142,34 @@ def test_chains_of_any_length_and_what_is_not_read(spark):
     assert {r["op"] for r in reasoning.normalise(x).unsupported.collect()} == {"max", "range", "disjoint", "symmetric"}
 
 
+def test_expressions_are_written_from_their_tree(spark):
+    from termweave.sources import sinks
+
+    said = [f"{B}B and ({B}p some {B}C)", f"not ({B}A or {B}B)", f"{B}p min 2 {B}C", f"{B}v some http://www.w3.org/2001/XMLSchema#integer", "ObjectHasSelf(<" + B + "p>)", "A and ("]
+    x = onto(spark, entity=[(B + "A", "class")], class_expr=[(B + "A", "super" if i else "gci", i, e) for i, e in enumerate(said)])
+    got = {r["line"] for r in sinks.axiom_lines(x).where("section <> '1declaration'").collect()}
+    assert got == {
+        f"SubClassOf(ObjectIntersectionOf(<{B}B> ObjectSomeValuesFrom(<{B}p> <{B}C>)) <{B}A>)",
+        f"SubClassOf(<{B}A> ObjectComplementOf(ObjectUnionOf(<{B}A> <{B}B>)))",
+        f"SubClassOf(<{B}A> ObjectMinCardinality(2 <{B}p> <{B}C>))",
+        f"SubClassOf(<{B}A> DataSomeValuesFrom(<{B}v> <http://www.w3.org/2001/XMLSchema#integer>))",
+        f"SubClassOf(<{B}A> ObjectHasSelf(<{B}p>))",
+    }
+
+
+def test_class_elements_of_xml(spark):
+    from termweave.sources.tables import _expression
+
+    owl = lambda tag, body: f"<owl:{tag}>{body}</owl:{tag}>"
+    ref = lambda tag, n: f'<{tag} rdf:resource="{B}{n}"/>'
+    some = owl("Restriction", ref("owl:onProperty", "p") + ref("owl:someValuesFrom", "C"))
+    assert _expression(some) == f"{B}p some {B}C"
+    assert _expression(owl("Class", owl("unionOf", f'<rdf:Description rdf:about="{B}A"/>{some}'))) == f"{B}A or ({B}p some {B}C)"
+    assert _expression(owl("Class", owl("complementOf", some))) == f"not ({B}p some {B}C)"
+    assert _expression(owl("Restriction", ref("owl:onProperty", "p") + owl("cardinality", "3"))) == f"{B}p exactly 3"
+    assert _expression(owl("Restriction", ref("owl:onProperty", "p"))) is None and _expression("<owl:Class>") is None
+
+
 def test_closure_ends_on_cycles(spark):
     from termweave.operators.hierarchy import closure
 
