@@ -9,20 +9,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (as in tests)."""
+    """spark.checkpoint.dir, or a folder of our own where it is unset (as in tests).
+
+    Executors of a cluster don't see a folder of the driver's machine, so there the setting is asked for.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="termweave-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table written so far; results that read them must have been written elsewhere."""
+    while _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def save(df: DataFrame, name: str = "step") -> DataFrame:

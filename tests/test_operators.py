@@ -237,3 +237,17 @@ def test_empty_ontology(spark):
     x = onto(spark)
     assert reasoning.classify(x)[1].count() == 0
     assert search.preferred(x).count() == 0
+
+
+def test_written_tables_are_cleared(spark):
+    import os
+
+    from termweave.plans import tables
+
+    before, tables._made[:] = list(tables._made), []
+    tables.save(spark.range(3), "cleared")
+    path = tables._made[0].removeprefix("file://")
+    assert os.path.isdir(path)
+    tables.clear(spark)
+    assert not os.path.exists(path) and not tables._made
+    tables._made[:] = before
