@@ -56,18 +56,23 @@ def slices(offs: np.ndarray, most: int = 1 << 20):
         i = j
 
 
-def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def running(raw: np.ndarray) -> np.ndarray:
+    """Sums from which run_hashes() takes the hash of any run."""
+    total = np.zeros(len(raw) + 1, U64)
+    np.cumsum((raw.astype(U64) + U64(1)) * powers(_R, len(raw)), out=total[1:])
+    return total
+
+
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each byte run raw[start:end]."""
-    n = len(raw)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * powers(_R, n), out=total[1:])
-    own = (total[ends] - total[starts]) * powers(_R_INV, n + 1)[starts]
+    total = running(raw) if total is None else total
+    own = (total[ends] - total[starts]) * powers(_R_INV, len(raw) + 1)[starts]
     return mix(own ^ ((ends - starts).astype(U64) << U64(48)))
 
 
-def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased (A-Z) words of all texts in order, and where each text's words start."""
-    gap = SPACE[raw]
+def word_spans(raw: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all texts start and end; bytes marked in `space` are between words."""
+    gap = space[raw]
     first, last = ~gap, ~gap
     if len(raw):
         first[1:] &= gap[:-1] | False
@@ -75,10 +80,23 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inner = offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(raw))]  # texts touch without a space
         first[inner] |= ~gap[inner]
         last[inner - 1] |= ~gap[inner - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased (A-Z) words of all texts in order, and where each text's words start."""
+    starts, ends = word_spans(raw, offs)
     return run_hashes(LOWER[raw], starts, ends), np.searchsorted(starts, offs)
 
 
+def cut_out(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: pa.DataType = pa.large_binary()) -> pa.Array:
+    """The byte runs raw[start:end] as a column; for texts, runs are whole characters."""
+    size = ends - starts
+    offs = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(offs[-1]) + np.repeat(starts - offs[:-1], size)
+    return pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[at]))])
+
+
 def class_runs(raw: np.ndarray, offs: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As words(), for runs of bytes of one class; class 0 separates.  Case is kept."""
     c = classes[raw]

@@ -74,15 +74,37 @@ def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op12_ns_bounds_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import clusters
+
+    return clusters.assign(table(spark, sf_dir, "embeddings")).drop("evaluated")
+
+
+def op13_era_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import phrases
+
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, licences, vectors
+    from . import chat, clusters, licences, phrases, vectors
 
     return {
         "op5_license_digests": licences.scan_sql(),
         "op7_chat_format": chat.DIGEST_SQL,
         "op8_exact_top_k": vectors.TOP_K_SQL,
+        "op12_ns_bounds_clusters": clusters.ASSIGN_SQL,
+        "op13_era_phrases": phrases.COLLOCATIONS_SQL,
     }
