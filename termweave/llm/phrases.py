@@ -33,7 +33,7 @@ from .kernels import LOWER, U64, cut_out, mix, run_hashes, slices, text_bytes, w
 #: Words of a phrase at most, and suffixes of a group at most unless SPLITS groups are too few.
 DEPTH, BUDGET, SPLITS = 5, 1 << 20, 1 << 17
 #: Bits of the map of frequent words, and bytes of text whose suffixes are added up before they leave a task.
-MAP_BITS, SLICE = 1 << 26, 1 << 23
+MAP_BITS, SLICE = 1 << 26, 1 << 21
 #: Space and tab end a word; the others end a piece too.
 BORDER = np.zeros(256, bool)
 BORDER[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
