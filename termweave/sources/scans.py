@@ -12,12 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termweave.functions import expressions as X
-from termweave.model import KIND_ORDER, TYPE, TYPE_IRI, is_named
+from termweave.model import KIND_ORDER, OWL, RDF, RDFS, THING, TYPE, TYPE_IRI, is_named
 from termweave.plans.tables import save
 
 #: Keywords of functional syntax that are read (fixed values); all others are skipped.
 READ = ["Annotation", "Import", "Declaration", "SubClassOf", "EquivalentClasses", "DisjointClasses", "DisjointUnion", "AnnotationAssertion", "SubObjectPropertyOf", "SubDataPropertyOf", "SubAnnotationPropertyOf", "ObjectPropertyDomain", "ObjectPropertyRange", "DataPropertyDomain", "FunctionalObjectProperty", "InverseFunctionalObjectProperty", "TransitiveObjectProperty", "SymmetricObjectProperty", "ReflexiveObjectProperty", "IrreflexiveObjectProperty", "AsymmetricObjectProperty", "FunctionalDataProperty", "InverseObjectProperties", "EquivalentObjectProperties", "DisjointObjectProperties", "ClassAssertion", "ObjectPropertyAssertion", "DataPropertyAssertion"]
 SKIPPED = ["DataPropertyRange", "EquivalentDataProperties", "DisjointDataProperties", "NegativeObjectPropertyAssertion", "NegativeDataPropertyAssertion", "SameIndividual", "DifferentIndividuals", "HasKey", "DatatypeDefinition", "SWRL"]
+#: Types that are characteristics of a property (fixed values).
+CHARACTERISTICS = [f"{OWL}{x}Property" for x in ("Functional", "InverseFunctional", "Transitive", "Symmetric", "Reflexive", "Irreflexive", "Asymmetric")]
 KINDS = {"Class": "class", "ObjectProperty": "objectProperty", "DataProperty": "dataProperty", "AnnotationProperty": "annotationProperty", "NamedIndividual": "individual"}
 
 
@@ -79,9 +81,54 @@ def bad_lines(rows: DataFrame) -> DataFrame:
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
-    """Path, name, expansion of the Prefix(name:=<iri>) lines."""
-    p = r"^\s*Prefix\(\s*([^:=\s]*):\s*=\s*<([^>]*)>\s*\)"
-    return rows.where(F.col("text").rlike(p)).select("path", F.regexp_extract("text", p, 1).alias("name"), F.regexp_extract("text", p, 2).alias("expansion"))
+    """Path, name, expansion, line_no of the lines Prefix(name:=<iri>), and of Prefix: name: <iri> in frames."""
+    p = r"^\s*Prefix\s*(?:\(|:)\s*([^:=\s]*):\s*=?\s*<([^>]*)>"
+    return rows.where(F.col("text").rlike(p)).select("path", F.regexp_extract("text", p, 1).alias("name"), F.regexp_extract("text", p, 2).alias("expansion"), "line_no")
+
+
+#: Files whose prefixes are joined by broadcast at most; of more, the lines are shuffled.
+BROADCAST_FILES = 10_000
+
+
+def with_prefixes(rows: DataFrame, declared: DataFrame) -> DataFrame:
+    """rows with `prefixes`, a map of what their file declares; of a name declared again the last counts."""
+    last = declared.groupBy("path", "name").agg(F.max_by("expansion", "line_no").alias("x"))
+    maps = save(last.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "x"))).alias("prefixes")), "prefixes")
+    return rows.join(F.broadcast(maps) if maps.count() <= BROADCAST_FILES else maps, "path", "left")
+
+
+def _full(token: Column, known: Column) -> Column:
+    """A token with its prefixed name (or that of a datatype) written out in brackets; unknown prefixes stay."""
+    m = r"^(\^\^)?([^:\s^\"<]*):(.*)$"
+    name = F.regexp_extract(token, m, 2)
+    built_in = F.element_at(F.create_map(*[F.lit(x) for k, v in X.BUILTIN.items() for x in (k[:-1], v)]), name)
+    base = F.coalesce(F.try_element_at(known, name), built_in)
+    full = F.concat(F.regexp_extract(token, m, 1), F.lit("<"), base, F.regexp_extract(token, m, 3), F.lit(">"))
+    return F.when(token.rlike(m) & base.isNotNull(), full).otherwise(token)
+
+
+def resolved(axioms: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """axioms with names written out and without their annotations, so that an operand's place tells what it is.
+
+    declared: S11's rows, or none for the built-in prefixes alone.  Names inside literals stay; white
+    space between operands becomes one space, and goes before a parenthesis.
+    """
+    own = axioms.withColumn("prefixes", F.lit(None).cast("map<string,string>")) if declared is None else with_prefixes(axioms, declared)
+    toks = X.tokens(F.regexp_replace("args", r"^\s+|\s+$", ""))
+    word = lambda t: F.coalesce(t.rlike("^[A-Z][A-Za-z]*$"), F.lit(False))
+    gap = lambda t, i: t.rlike(r"^\s+$") & (F.get("_t", i + 1) == "(") & word(F.get("_t", i - 1))
+    said = F.transform("_t", lambda t, i: F.when(gap(t, i), "").when(t.rlike(r"^\s+$"), " ").otherwise(_full(t, F.col("prefixes"))))
+    own = own.withColumn("_t", toks).withColumn("_s", F.array_join(said, ""))
+    kept = F.filter(operands(F.col("_s")), lambda o: ~o.startswith("Annotation("))
+    # only axioms with annotations are taken apart
+    bare = F.when(F.col("_s").startswith("Annotation(") & (F.col("keyword") != "Annotation"), F.array_join(kept, " ")).otherwise(F.col("_s"))
+    return own.withColumn("args", bare).select(*axioms.columns)
+
+
+def functional_axioms(spark: SparkSession, path: str) -> DataFrame:
+    """The axiom lines of functional files with their names written out and without their annotations."""
+    raw = lines(spark, path)
+    return resolved(functional(joined_lines(raw)), prefixes(raw))
 
 
 def operands(args: Column) -> Column:
@@ -203,12 +250,21 @@ def owlxml_subclasses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def entities_from_triples(triples: DataFrame) -> DataFrame:
-    """onto_id, iri, type of named subjects, by their rdf:type; class before property before individual."""
-    back = {v: k for k, v in TYPE_IRI.items()}
+    """onto_id, iri, type of named subjects, by their rdf:type; class before property before individual.
+
+    rdfs:Class is a class too; what has no other kind than a characteristic is an object property.  Any
+    type outside the vocabulary makes an individual, as does owl:Thing; other words of the vocabulary
+    make nothing, and an ontology is no entity whatever else it is.
+    """
+    back = {v: k for k, v in TYPE_IRI.items()} | {RDFS + "Class": "class", THING: "individual"} | dict.fromkeys(CHARACTERISTICS, "characteristic")
     t = triples.where((F.col("p") == TYPE) & is_named(F.col("s")))
-    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in back.items() for x in kv]), F.col("o")), F.lit("individual"))
-    rank = F.array_position(F.array(*map(F.lit, KIND_ORDER)), kind)
-    return t.groupBy("onto_id", F.col("s").alias("iri")).agg(F.min_by(kind, rank).alias("type"))
+    told = F.element_at(F.create_map(*[F.lit(x) for kv in back.items() for x in kv]), F.col("o"))
+    word = F.exists(F.array(*map(F.lit, (OWL, RDF, RDFS))), lambda ns: F.startswith(F.col("o"), ns))
+    kind = F.coalesce(told, F.when(F.col("o") == OWL + "Ontology", "ontology").when(~word, "individual"))
+    order = ["ontology", *KIND_ORDER[:-1], "characteristic", "individual"]
+    rank = F.array_position(F.array(*map(F.lit, order)), kind)
+    found = t.where(kind.isNotNull()).groupBy("onto_id", F.col("s").alias("iri")).agg(F.min_by(kind, rank).alias("type")).where("type <> 'ontology'")
+    return found.withColumn("type", F.when(F.col("type") == "characteristic", "objectProperty").otherwise(F.col("type")))
 
 
 def assertions_from_triples(triples: DataFrame, entities: DataFrame) -> DataFrame:

@@ -45,14 +45,17 @@ def _numbered(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(W.partitionBy(*keys).orderBy(by)) - 1)
 
 
-def from_axioms(axioms: DataFrame, onto_id: Column | None = None) -> Ontology:
+def from_axioms(axioms: DataFrame, onto_id: Column | None = None, prefixes: DataFrame | None = None) -> Ontology:
     """S01 rows (path, line_no, keyword, args) as tables; an ontology is a path, or what onto_id says.
 
+    Names are written out by S11's prefixes (of the file, then the built-in ones) and annotations of
+    axioms are passed over, if S.functional_axioms() has not done so.
+
     Entities that axioms use as subjects without a declaration are declared by it.  Expressions are
     stored in Manchester form; what cannot be read is left out, as are axioms between two expressions,
     which S02's routes report.
     """
-    a = axioms.withColumn(O, F.col("path") if onto_id is None else onto_id).withColumn("o", S.operands(F.col("args")))
+    a = S.resolved(axioms, prefixes).withColumn(O, F.col("path") if onto_id is None else onto_id).withColumn("o", S.operands(F.col("args")))
     a = a.withColumn("p", F.transform("o", S.plain)).withColumn("n", F.size("o"))
     a = save(a.select(O, "line_no", "keyword", "args", "o", "p", "n"), "axioms")  # every table reads it
     at = lambda c, i: F.get(c, F.lit(i))
@@ -90,12 +93,12 @@ def from_axioms(axioms: DataFrame, onto_id: Column | None = None) -> Ontology:
     declared = key("Declaration").select(O, F.regexp_extract("args", r"^\s*\w+\s*\(\s*<([^>]*)>", 1).alias("iri"), _of(F.regexp_extract("args", r"^\s*(\w+)", 1), S.KINDS).alias("type")).where("type is not null and iri <> ''")
     used = lambda d, c, kind: d.select(O, F.col(c).alias("iri"), F.lit(kind).alias("type"))
     kind_of = F.when(F.col("keyword").contains("Data"), "dataProperty").when(F.col("keyword").contains("Annotation"), "annotationProperty").otherwise("objectProperty")
-    props = a.where(F.col("keyword").rlike("Propert(y|ies|yOf|yDomain|yRange)$") & at("p", 0).isNotNull()).select(O, at("p", 0).alias("iri"), kind_of.alias("type"))
+    subject = F.coalesce(at("p", 0), F.when(at("o", 0).startswith("ObjectPropertyChain("), at("p", 1)))
+    props = a.where(F.col("keyword").rlike("Propert(y|ies|yOf|yDomain|yRange)$") & subject.isNotNull()).select(O, subject.alias("iri"), kind_of.alias("type"))
     seen = reduce(DataFrame.unionByName, [used(class_edge, "sub", "class"), used(class_expr, "iri", "class"), props, used(types, "ind", "individual"), used(objects, "ind", "individual")]).distinct()
     entity = declared.unionByName(seen.join(declared.select(O, "iri"), [O, "iri"], "left_anti"))
 
-    head = at("o", 0)
-    prop = F.when(head.startswith("rdfs:"), F.concat(F.lit(RDFS), F.substr(head, F.lit(6)))).otherwise(F.regexp_replace(head, "[<>]", ""))
+    prop = F.regexp_replace(at("o", 0), "[<>]", "")
     text, lang, _ = _literal(at("o", 2))
     notes = key("AnnotationAssertion").where("n = 3").select(O, "line_no", at("p", 1).alias("iri"), prop.alias("prop"), text.alias("text"), lang.alias("lang"))
     notes = _numbered(notes.join(entity.select(O, "iri").distinct(), [O, "iri"], "left_semi"), [O, "iri", "prop"], "line_no")

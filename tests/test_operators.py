@@ -251,3 +251,47 @@ def test_written_tables_are_cleared(spark):
     tables.clear(spark)
     assert not os.path.exists(path) and not tables._made
     tables._made[:] = before
+
+
+MIXED = r'''# Prefix(no:=<http://no/>)
+Prefix(:=<http://e/>)
+Prefix( ex: = <http://x/> )
+Ontology(<http://o>
+Annotation(rdfs:comment "of the ontology")
+Declaration(Class(:C))
+Declaration(Annotation(rdfs:comment "why") Class(<http://e/B>))
+SubClassOf(:C <http://e/B>)
+SubClassOf(Annotation(rdfs:comment "why (not) :x") <http://e/B> ex:D)
+SubClassOf(Annotation(Annotation(:p "a") rdfs:label "b") Annotation (:p ex:q) :C ObjectSomeValuesFrom (:p owl:Thing))
+AnnotationAssertion(Annotation(rdfs:comment "x") rdfs:label :C "a :b <c> Annotation("@en)
+AnnotationAssertion(ex:note :C "1"^^xsd:int)
+EquivalentClasses(Annotation(:p "x") :C ex:E)
+SubObjectPropertyOf(Annotation(:p "x") ObjectPropertyChain(:p ex:q) :p)
+DataPropertyAssertion(Annotation(:p "x") :d :i "5"^^xsd:integer)
+ClassAssertion(:C unknown:i)
+)
+'''
+
+
+def test_prefixed_names_and_axiom_annotations(spark, tmp_path):
+    from termweave.sources import tables
+
+    (tmp_path / "a.ofn").write_text(MIXED)
+    for axioms, known in ((scans.functional_axioms(spark, str(tmp_path)), None), (scans.functional(scans.joined_lines(scans.lines(spark, str(tmp_path)))), scans.prefixes(scans.lines(spark, str(tmp_path))))):
+        x = tables.from_axioms(axioms, F.lit("o"), known)
+        assert {("o", "http://e/C", "class"), ("o", "http://e/B", "class"), ("o", "http://e/p", "objectProperty")} <= set(rows(x.entity))
+        assert rows(x.class_edge.drop("ord")) == [("o", "http://e/B", "http://x/D", "sub"), ("o", "http://e/C", "http://e/B", "sub"), ("o", "http://e/C", "http://x/E", "equiv"), ("o", "http://x/E", "http://e/C", "equiv")]
+        assert rows(x.class_expr.drop("ord")) == [("o", "http://e/C", "super", "http://e/p some http://www.w3.org/2002/07/owl#Thing")]
+        assert rows(x.label.drop("ord")) == [("o", "http://e/C", "en", "a :b <c> Annotation(")]
+        assert rows(x.annotation.select("prop", "text")) == [("http://x/note", "1")]
+        assert rows(x.prop_chain.select("prop", "members")) == [("http://e/p", ["http://e/p", "http://x/q"])]
+        assert rows(x.data_assert) == [("o", "http://e/i", "http://e/d", "5", "http://www.w3.org/2001/XMLSchema#integer")]
+        assert rows(x.type_assert) == []  # a name with an unknown prefix is none
+
+
+def test_kinds_of_triples(spark):
+    owl, rdfs, rdf = "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    types = [("onto", owl + "Ontology"), ("onto", "http://e/C"), ("c", rdfs + "Class"), ("t", owl + "TransitiveProperty"), ("d", owl + "DatatypeProperty"), ("d", owl + "FunctionalProperty"), ("i", "http://e/C"), ("j", owl + "NamedIndividual"), ("k", owl + "Thing"), ("x", rdf + "Property"), ("y", rdfs + "Datatype"), ("both", owl + "NamedIndividual"), ("both", owl + "Class")]
+    t = spark.createDataFrame([("o", "http://e/" + s, rdf + "type", o) for s, o in types], "onto_id string, s string, p string, o string")
+    got = {r["iri"][9:]: r["type"] for r in scans.entities_from_triples(t).collect()}
+    assert got == {"c": "class", "t": "objectProperty", "d": "dataProperty", "i": "individual", "j": "individual", "k": "individual", "both": "class"}
