@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.classexpr import functional_text
 from termweave.functions.expressions import literal, written_iri
-from termweave.model import LABEL, OWL, THING, TYPE_IRI, Ontology
+from termweave.model import LABEL, OWL, RDFS, THING, TYPE_IRI, Ontology
 
 DECLARED = {"class": "Class", "objectProperty": "ObjectProperty", "dataProperty": "DataProperty", "annotationProperty": "AnnotationProperty", "individual": "NamedIndividual"}
 FLAGS = {"functional": "Functional", "inverseFunctional": "InverseFunctional", "transitive": "Transitive", "symmetric": "Symmetric", "reflexive": "Reflexive", "irreflexive": "Irreflexive", "asymmetric": "Asymmetric"}
@@ -142,3 +142,22 @@ def turtle_lines(x: Ontology) -> DataFrame:
     chain = seg(x.prop_chain, "1", F.concat(F.lit("owl:propertyChainAxiom ( "), F.array_join(F.transform("members", lambda m: F.concat(F.lit("<"), m, F.lit(">"))), " "), F.lit(" )")))
     rows = reduce(DataFrame.unionByName, [a, e, lab, ann, typ, obj, val, flag, edge, chain]).groupBy("onto_id", "iri").agg(F.array_sort(F.collect_set(F.struct("k", "seg"))).alias("p"))
     return rows.select("onto_id", "iri", F.concat(_b("iri"), F.lit(" "), F.array_join("p.seg", " ; "), F.lit(" .")).alias("line"))
+
+
+#: Prefixes of the names that turtle_lines() writes short (fixed values).
+TURTLE_HEAD = [f"@prefix {k}: <{v}> ." for k, v in (("owl", OWL), ("rdfs", RDFS))]
+
+
+def write_turtle(x: Ontology, path: str) -> None:
+    """K04 to text files, each ontology's statements in order; every file starts with the prefixes it needs."""
+    head = "\n".join(TURTLE_HEAD)
+    rows = turtle_lines(x).repartitionByRange("onto_id", "iri").sortWithinPartitions("onto_id", "iri")
+    own = rows.withColumn("n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    own.select(F.when(F.col("n") == 0, F.concat(F.lit(head + "\n"), "line")).otherwise(F.col("line")).alias("line")).write.text(path)
+
+
+def ntriples_lines(t: DataFrame) -> DataFrame:
+    """onto_id, line: triples (S13's columns) as N-Triples; blank nodes by their own names."""
+    term = lambda c: F.when(F.startswith(c, F.lit("_:")), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+    text = F.replace(F.replace(literal(F.col("o"), F.col("o_lang"), F.col("o_dt")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return t.select("onto_id", F.concat_ws(" ", term(F.col("s")), term(F.col("p")), F.when(F.col("o_kind") == "lit", text).otherwise(term(F.col("o"))), F.lit(".")).alias("line"))

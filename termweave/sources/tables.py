@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import expressions as X
 from termweave.functions.classexpr import manchester_text
-from termweave.model import BUILT_IN, KIND_ORDER, LABEL, OWL, RDFS, SCHEMAS, SKOS, TYPE, TYPE_IRI, Ontology, is_named
+from termweave.model import BUILT_IN, KIND_ORDER, LABEL, OWL, RDF, RDFS, SCHEMAS, SKOS, TYPE, TYPE_IRI, Ontology, is_named
 from termweave.plans.tables import save
 from termweave.sources import scans as S
 from termweave.sources.store import EDGE, PROP
@@ -121,7 +121,7 @@ def from_axioms(axioms: DataFrame, onto_id: Column | None = None, prefixes: Data
 def from_triples(t: DataFrame) -> Ontology:
     """Triples as tables: kinds by rdf:type, named subjects only, an individual's assertions by the predicate's kind.
 
-    Triples hold no expressions and no chains, so these tables are empty.
+    Property chains are lists of two properties or more; chain_no follows their members.  Expressions are not read.
     """
     named = save(t.where(is_named(F.col("s"))), "named")  # every table reads both
     entity = save(S.entities_from_triples(named), "entities")
@@ -148,13 +148,29 @@ def from_triples(t: DataFrame) -> Ontology:
         class_expr=none("class_expr"),
         prop_edge=_shaped("prop_edge", properties.where(F.col("p").isin(*ALL_EDGES.values())).select(O, F.col("s").alias("prop"), F.col("o").alias("target"), _of(F.col("p"), back(ALL_EDGES)).alias("kind"))),
         prop_flag=_shaped("prop_flag", properties.where((F.col("p") == TYPE) & F.col("o").isin(*FLAG_IRI)).select(O, F.col("s").alias("prop"), _of(F.col("o"), FLAG_IRI).alias("flag"))),
-        prop_chain=none("prop_chain"),
+        prop_chain=_shaped("prop_chain", chains_of(t, of("objectProperty"))),
         type_assert=_shaped("type_assert", types.select(O, F.col("s").alias("ind"), F.col("o").alias("class"))),
         obj_assert=_shaped("obj_assert", facts.where("kind = 'object'").withColumnRenamed("value", "target")),
         data_assert=_shaped("data_assert", facts.where("kind = 'data'").join(dt, [O, "ind", "prop", "value"])),
     )
 
 
+def chains_of(t: DataFrame, properties: DataFrame) -> DataFrame:
+    """onto_id, prop, chain_no, members of the property chains of object properties, from their lists."""
+    cell = lambda c: F.concat_ws("\u0001", O, c)
+    is_p = lambda p: t.where(F.col("p") == p)
+    said = is_p(OWL + "propertyChainAxiom").where("o_kind <> 'lit'").join(properties.select(O, F.col("iri").alias("s")), [O, "s"], "left_semi")
+    said = save(said.select(O, F.col("s").alias("prop"), cell("o").alias("head")), "chains")
+    if said.isEmpty():
+        return t.sparkSession.createDataFrame([], SCHEMAS["prop_chain"])
+    first = is_p(RDF + "first").select(cell("s").alias("node"), F.col("o").alias("item"))
+    rest = is_p(RDF + "rest").select(cell("s").alias("node"), cell("o").alias("next"))
+    found = S.rdf_lists(first, rest, said.select("head").distinct())
+    lists = found.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("members")).where(F.size("members") >= 2)
+    rows = said.join(lists, "head").select(O, "prop", "members").distinct().withColumn("_k", F.array_join("members", " "))
+    return _numbered(rows, [O, "prop"], "_k").withColumnRenamed("ord", "chain_no")
+
+
 # ---------------------------------------------------------------- XML
 
 #: Children of node elements (fixed values): annotation properties, and the edges of classes and properties.

@@ -295,3 +295,61 @@ def test_kinds_of_triples(spark):
     t = spark.createDataFrame([("o", "http://e/" + s, rdf + "type", o) for s, o in types], "onto_id string, s string, p string, o string")
     got = {r["iri"][9:]: r["type"] for r in scans.entities_from_triples(t).collect()}
     assert got == {"c": "class", "t": "objectProperty", "d": "dataProperty", "i": "individual", "j": "individual", "k": "individual", "both": "class"}
+
+
+TURTLE = '''@base <http://b/dir/doc> .
+@prefix : <http://e/> .   # a note with "quotes" and """
+PREFIX ex: <ns#>
+:s a ex:T ; :p "x", 'y'@en-GB , """long "text"
+with 'lines' . # and """ , \'\'\'a """ b\'\'\' ;
+   :n 5 , -5.5, 1e3 , true ;; :q <> , <#f> , <r> , </abs> ,<http://w/h>.
+@prefix : <http://other/> .
+:s :p [ :p ( 1 ( ) [] :x ) ] , _:b1 . _:b1 :p "q\\\\u0041\\\\"\\\\n"^^ex:t , "e\\\\\\\\" .
+[ :p :o ] .
+() :p :o .
+:a\\\\,b.c :p :o.1.
+:e :p .
+:bad "x" .
+'''.replace("\\\\", "\\")
+
+
+def test_turtle_text(spark, tmp_path):
+    from termweave.sources import turtle
+
+    (tmp_path / "a.ttl").write_text(TURTLE)
+    (tmp_path / "b.nt").write_text('<http://e/s> <http://e/p> _:b1 .\n_:b1 <http://e/p> "x"@en .\n')
+    got = turtle.triples(spark, str(tmp_path), F.lit("o")).collect()
+    xsd, rdf = "http://www.w3.org/2001/XMLSchema#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    named = {(r["s"], r["p"], r["o"], r["o_lang"], r["o_dt"]) for r in got if r["o_kind"] != "bnode" and not r["s"].startswith("_:")}
+    s, p = "http://e/s", "http://e/p"
+    want = {(s, rdf + "type", "http://b/dir/ns#T", "", ""), (s, p, "x", "", ""), (s, p, "y", "en-GB", ""), (s, p, 'long "text"\nwith \'lines\' . # and ', "", ""), (s, p, 'a """ b', "", "")}
+    want |= {(s, "http://e/n", "5", "", xsd + "integer"), (s, "http://e/n", "-5.5", "", xsd + "decimal"), (s, "http://e/n", "1e3", "", xsd + "double"), (s, "http://e/n", "true", "", xsd + "boolean")}
+    want |= {(s, "http://e/q", o, "", "") for o in ("http://b/dir/doc", "http://b/dir/doc#f", "http://b/dir/r", "http://b/abs", "http://w/h")}
+    want |= {(rdf + "nil", "http://other/p", "http://other/o", "", ""), ("http://other/a,b.c", "http://other/p", "http://other/o.1", "", "")}
+    assert named == want
+    blank = [r for r in got if r["s"].startswith("_:") and r["o_kind"] == "lit"]
+    assert {(r["o"], r["o_lang"], r["o_dt"]) for r in blank} == {('qA"\n', "", "http://b/dir/ns#t"), ("e\\", "", ""), ("x", "en", ""), ("1", "", xsd + "integer")}
+    assert len({r["s"] for r in blank if r["o"] in ("e\\", "x")}) == 2  # _:b1 of two files
+    cells = {r["s"]: r["o"] for r in got if r["p"] == rdf + "rest"}
+    assert len(cells) == 4 and list(cells.values()).count(rdf + "nil") == 1
+    assert {r["o"] for r in got if r["p"] == rdf + "first"} >= {"1", rdf + "nil", "http://other/x"}
+    assert {(r["stmt"], r["error"]) for r in turtle.bad_statements(spark, str(tmp_path)).collect()} == {(10, "no object"), (11, "a predicate that is no IRI")}
+
+
+def test_long_strings_over_blocks(spark):
+    """The state at a line is carried over blocks whatever state a block starts in."""
+    from termweave.sources import turtle
+
+    texts = [':a :p """x', "''' . # not a note", '""" , \'\'\'y', 'z """', "''' .", ':b :p "it\'s" .', ":c :p '''t", '"""', "'''.", "# '''", ":d :p 'x' ."]
+    for size in (1, 2, 3, 11):
+        df = spark.createDataFrame([("f", i, 0, t, i // size) for i, t in enumerate(texts)], "path string, line_no long, char_start long, text string, block long")
+        got = sorted((r["stmt"], r["toks"]) for r in turtle.statements(df).collect())
+        assert [t for _, t in got] == [[":a", ":p", '"""x\n\'\'\' . # not a note\n"""', ",", "'''y\nz \"\"\"\n'''"], [":b", ":p", '"it\'s"'], [":c", ":p", "'''t\n\"\"\"\n'''"], [":d", ":p", "'x'"]]
+
+
+def test_chains_of_turtle(spark, tmp_path):
+    from termweave.sources import tables, turtle
+
+    (tmp_path / "a.ttl").write_text("@prefix : <http://e/> . @prefix owl: <http://www.w3.org/2002/07/owl#> .\n:p a owl:ObjectProperty ; owl:propertyChainAxiom ( :p :q ) , ( :q\n :q :p ), ( :p ) .\n:C a owl:Class ; owl:propertyChainAxiom ( :p :q ) .")
+    x = tables.from_triples(turtle.triples(spark, str(tmp_path), F.lit("o")))
+    assert rows(x.prop_chain) == [("o", "http://e/p", 0, ["http://e/p", "http://e/q"]), ("o", "http://e/p", 1, ["http://e/q", "http://e/q", "http://e/p"])]
