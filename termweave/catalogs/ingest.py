@@ -136,7 +136,7 @@ def s06(spark, sf_dir):
     y = replace(x, label=onto(spark, sf_dir).label.where("iri like '%/customer/%' or iri like '%/nation/%'"), annotation=x.annotation.where("false"))
     path = shared_path(spark, "manchester")
     K.manchester_lines(y).orderBy("iri", "ord", "line").select("line").write.text(path)
-    return S.manchester(S.lines(spark, path)).select("frame", "section", "item")
+    return S.manchester(S.lines(spark, path)).where("section <> ''").select("frame", "section", "item")
 
 
 @query("s07_triples_to_entities", f"SELECT {CUSTOMER} AS iri, 'class' AS type FROM customer UNION ALL SELECT '{B}part/' || p_partkey, 'individual' FROM part UNION ALL SELECT unnest(['{B}hasPart', '{B}partOf', '{B}madeOf']), 'objectProperty'")

@@ -26,12 +26,12 @@ def tokens(expr: Column) -> Column:
 
 
 def depths(toks: Column) -> Column:
-    """Array of (tok, depth): depth counts the parentheses open before a token; a stray closing one is ignored."""
+    """Array of (tok, depth): depth counts the parentheses and braces open before a token; a stray closing one is ignored."""
     start = F.struct(F.lit(0).alias("d"), F.array().cast("array<struct<tok:string,depth:int>>").alias("out"))
 
     def step(a, t):
-        d = F.when(t == ")", F.greatest(a["d"] - 1, F.lit(0))).otherwise(a["d"])
-        return F.struct(F.when(t == "(", d + 1).otherwise(d).alias("d"), F.concat(a["out"], F.array(F.struct(t.alias("tok"), d.alias("depth")))).alias("out"))
+        d = F.when(t.isin(")", "}"), F.greatest(a["d"] - 1, F.lit(0))).otherwise(a["d"])
+        return F.struct(F.when(t.isin("(", "{"), d + 1).otherwise(d).alias("d"), F.concat(a["out"], F.array(F.struct(t.alias("tok"), d.alias("depth")))).alias("out"))
 
     return F.aggregate(toks, start, step)["out"]
 

@@ -97,7 +97,7 @@ def with_prefixes(rows: DataFrame, declared: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(maps) if maps.count() <= BROADCAST_FILES else maps, "path", "left")
 
 
-def _full(token: Column, known: Column) -> Column:
+def full_name(token: Column, known: Column) -> Column:
     """A token with its prefixed name (or that of a datatype) written out in brackets; unknown prefixes stay."""
     m = r"^(\^\^)?([^:\s^\"<]*):(.*)$"
     name = F.regexp_extract(token, m, 2)
@@ -117,7 +117,7 @@ def resolved(axioms: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     toks = X.tokens(F.regexp_replace("args", r"^\s+|\s+$", ""))
     word = lambda t: F.coalesce(t.rlike("^[A-Z][A-Za-z]*$"), F.lit(False))
     gap = lambda t, i: t.rlike(r"^\s+$") & (F.get("_t", i + 1) == "(") & word(F.get("_t", i - 1))
-    said = F.transform("_t", lambda t, i: F.when(gap(t, i), "").when(t.rlike(r"^\s+$"), " ").otherwise(_full(t, F.col("prefixes"))))
+    said = F.transform("_t", lambda t, i: F.when(gap(t, i), "").when(t.rlike(r"^\s+$"), " ").otherwise(full_name(t, F.col("prefixes"))))
     own = own.withColumn("_t", toks).withColumn("_s", F.array_join(said, ""))
     kept = F.filter(operands(F.col("_s")), lambda o: ~o.startswith("Annotation("))
     # only axioms with annotations are taken apart
@@ -211,19 +211,41 @@ def segments(axioms: DataFrame) -> DataFrame:
     return o.groupBy("path", "iri", "map").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.min("char_start").alias("first_char"), F.array_sort(F.collect_list("line_no")).alias("lines"))
 
 
-_FRAME = r"^(Class|ObjectProperty|DataProperty|AnnotationProperty|Individual):\s*<?([^>\s]+)>?"
-_SECTION = r"^\s+([A-Z][A-Za-z]*):\s*(.*)$"
+#: Words that open a frame, a list of classes or a header, and the sections of frames (fixed values).
+FRAMES = ["Class", "ObjectProperty", "DataProperty", "AnnotationProperty", "Individual"]
+LISTS = ["DisjointClasses", "EquivalentClasses"]
+HEADERS = ["Prefix", "Ontology", "Import"]
+SECTIONS = ["Annotations", "SubClassOf", "EquivalentTo", "DisjointWith", "SubPropertyOf", "Domain", "Range", "Characteristics", "InverseOf", "SubPropertyChain", "Types", "Facts", "SameAs", "DifferentFrom"]
 
 
 def manchester(rows: DataFrame) -> DataFrame:
-    """Path, line_no, frame, kind, section, item: a row for each comma-separated item under a frame's section."""
-    frame = F.when(F.col("text").rlike(_FRAME), F.struct(F.regexp_extract("text", _FRAME, 1).alias("kind"), F.regexp_extract("text", _FRAME, 2).alias("iri")))
-    section = F.when(F.col("text").rlike(_FRAME), "").when(F.col("text").rlike(_SECTION), F.regexp_extract("text", _SECTION, 1))
-    own = carried(carried(rows, frame, "frame"), section, "section")
-    body = F.when(F.col("text").rlike(_FRAME), "").when(F.col("text").rlike(_SECTION), F.regexp_extract("text", _SECTION, 2)).otherwise(F.trim("text"))
-    marked = F.transform(X.depths(X.tokens(body)), lambda t: F.when((t["depth"] == 0) & (t["tok"] == ","), F.lit("\u0002")).otherwise(t["tok"]))
+    """Path, line_no (where the section starts), frame, kind, section, item: the comma-separated items of sections.
+
+    A frame's own row has an empty section and item.  Frames and sections may start anywhere in a line and
+    go on over lines; comments go; commas inside parentheses, braces and quotes part nothing.  Lists of
+    classes are frames of their kind, without a name and with their word as section.
+    """
+    toks = X.tokens(F.col("text"))
+    note = F.array_position(F.transform(toks, lambda t: t.startswith("#")), True)
+    toks = F.when(note > 0, F.slice(toks, F.lit(1), F.greatest(note - 1, F.lit(0)).cast("int"))).otherwise(toks)
+    opens = F.transform(toks, lambda t: F.when(t.isin(*[w + ":" for w in (*FRAMES, *LISTS, *HEADERS, *SECTIONS)]), F.concat(F.lit("\u0003"), t)).otherwise(t))
+    pieces = rows.select("path", "block", "line_no", F.posexplode(F.split(F.array_join(opens, ""), "\u0003")).alias("i", "piece")).where(F.trim("piece") != "")
+    # places of pieces in a file take the line's number; there are fewer than 2**20 in a line
+    pieces = pieces.withColumn("line_no", F.shiftleft("line_no", 20) + F.col("i"))
+    word = F.regexp_extract("piece", r"^([A-Z][A-Za-z]*):", 1)
+    pieces = save(pieces.select("path", "block", "line_no", "piece", F.when(word.isin(*FRAMES, *LISTS, *HEADERS, *SECTIONS), word).alias("word")), "pieces")
+    said = F.trim(F.regexp_replace("piece", r"^[A-Za-z]*:", ""))
+    name = F.regexp_replace(F.regexp_extract(said, r"^(<[^>]*>|\S+)", 1), "[<>]", "")
+    frame = F.when(F.col("word").isin(*FRAMES), F.struct(F.col("word").alias("kind"), name.alias("iri"))).when(F.col("word").isin(*LISTS), F.struct(F.col("word").alias("kind"), F.lit("").alias("iri"))).when(F.col("word").isin(*HEADERS), F.struct(F.lit("").alias("kind"), F.lit("").alias("iri")))
+    own = carried(carried(pieces, frame, "frame"), F.when(F.col("word").isNotNull(), F.struct("word", F.col("line_no").alias("start"))), "section")
+    body = F.when(F.col("word").isNotNull(), said).otherwise(F.trim("piece"))
+    own = own.where("frame.kind <> ''").groupBy("path", "frame", "section").agg(F.array_sort(F.collect_list(F.struct("line_no", body.alias("b")))).alias("p"))
+    text = F.array_join("p.b", " ")
+    marked = F.transform(X.depths(X.tokens(text)), lambda t: F.when((t["depth"] == 0) & (t["tok"] == ","), F.lit("\u0002")).otherwise(t["tok"]))
     items = F.filter(F.transform(F.split(F.array_join(marked, ""), "\u0002"), lambda p: F.trim(p)), lambda p: p != "")
-    return own.select("path", "line_no", F.col("frame.iri").alias("frame"), F.col("frame.kind").alias("kind"), "section", F.explode(items).alias("item")).where("frame is not null and section <> ''")
+    is_frame = F.col("section.word").isin(*FRAMES)
+    out = own.select("path", F.shiftright("section.start", 20).alias("line_no"), F.col("frame.iri").alias("frame"), F.col("frame.kind").alias("kind"), F.when(is_frame, "").otherwise(F.col("section.word")).alias("section"), F.explode(F.when(is_frame, F.array(F.lit(""))).otherwise(items)).alias("item"))
+    return out
 
 
 RDF_CLASS = "`_rdf:about` string, `_rdf:ID` string, `rdfs:label` array<struct<_VALUE:string,`_xml:lang`:string>>, `rdfs:subClassOf` array<struct<`_rdf:resource`:string,`owl:Restriction`:struct<`owl:onProperty`:struct<`_rdf:resource`:string>,`owl:someValuesFrom`:struct<`_rdf:resource`:string>,`owl:allValuesFrom`:struct<`_rdf:resource`:string>>>>"

@@ -120,12 +120,18 @@ def manchester_sections(x: Ontology) -> DataFrame:
 
 
 def manchester_lines(x: Ontology) -> DataFrame:
-    """onto_id, iri, ord, line: frames of Manchester text."""
+    """onto_id, iri, ord, line: frames of Manchester text, also of entities without a section."""
     s = manchester_sections(x)
-    head = s.select("onto_id", "iri", F.lit(0).alias("ord"), F.concat("frame", F.lit(": "), _b("iri")).alias("line")).distinct()
+    kinds = x.entity.groupBy("onto_id", "iri").agg(F.min_by("type", _case(F.col("type"), {k: str(i) for i, k in enumerate(FRAME)})).alias("type"))
+    head = kinds.select("onto_id", "iri", F.lit(0).alias("ord"), F.concat(_case(F.col("type"), FRAME), F.lit(": "), _b("iri")).alias("line"))
     return head.unionByName(s.select("onto_id", "iri", F.lit(1).alias("ord"), F.concat(F.lit("    "), "section", F.lit(": "), "items").alias("line")))
 
 
+def write_manchester(x: Ontology, path: str) -> None:
+    """K03 to text files in order; a frame is never in two of them."""
+    manchester_lines(x).repartitionByRange("onto_id", "iri").sortWithinPartitions("onto_id", "iri", "ord", "line").select("line").write.text(path)
+
+
 def turtle_lines(x: Ontology) -> DataFrame:
     """onto_id, iri, line: a Turtle statement for each entity, its predicates in order; expressions are left out."""
     a = x.entity.select("onto_id", "iri", F.concat(F.lit("a <"), _case(F.col("type"), TYPE_IRI), F.lit(">")).alias("seg"), F.lit("0").alias("k"))

@@ -18,6 +18,8 @@ from termweave.sources.store import EDGE, PROP
 O = "onto_id"
 #: Flags by their name in axioms and types (fixed values).
 FLAGS = {"Functional": "functional", "InverseFunctional": "inverseFunctional", "Transitive": "transitive", "Symmetric": "symmetric", "Reflexive": "reflexive", "Irreflexive": "irreflexive", "Asymmetric": "asymmetric"}
+#: Kinds by the word of a frame (fixed values).
+MANCHESTER_KINDS = {"Class": "class", "ObjectProperty": "objectProperty", "DataProperty": "dataProperty", "AnnotationProperty": "annotationProperty", "Individual": "individual"}
 FLAG_IRI = {OWL + k + "Property": v for k, v in FLAGS.items()}
 ALL_EDGES = {**PROP, "equiv": OWL + "equivalentProperty", "disjoint": OWL + "propertyDisjointWith"}
 
@@ -118,6 +120,79 @@ def from_axioms(axioms: DataFrame, onto_id: Column | None = None, prefixes: Data
     )
 
 
+def _labelled(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """items with the quoted labels in them as <IRI>, by the labels of the same ontology; unknown ones stay."""
+    named = save(labels.groupBy(O, F.col("text").alias("t")).agg(F.min("iri").alias("iri")), "names")
+    quoted = F.col("item").contains("'") & ~F.col("section").isin("Annotations", "Facts")
+    items = save(items, "items")
+    toks = items.where(quoted).select(O, "item").distinct().select(O, "item", F.posexplode(X.tokens(F.col("item"))).alias("i", "tok"))
+    toks = toks.withColumn("t", F.when(F.col("tok").rlike("(?s)^'.*'$"), F.regexp_replace("tok", "^'|'$", ""))).join(named, [O, "t"], "left")
+    full = F.coalesce(F.concat(F.lit("<"), "iri", F.lit(">")), "tok")
+    read = toks.groupBy(O, "item").agg(F.array_sort(F.collect_list(F.struct("i", full.alias("x")))).alias("p")).select(O, "item", F.array_join("p.x", "").alias("read"))
+    out = items.where(quoted).join(read, [O, "item"]).withColumn("item", F.col("read")).drop("read")
+    return items.where(~quoted).unionByName(out)
+
+
+def from_manchester(items: DataFrame, onto_id: Column | None = None, prefixes: DataFrame | None = None) -> Ontology:
+    """S06's rows as tables; an ontology is a path, or what onto_id says.
+
+    Names are written out by S11's prefixes, quoted labels by the labels of the ontology.  Classes are
+    equivalent and disjoint as their frames say, in lists each with each.  Types that are expressions,
+    negative facts, SameAs and DifferentFrom have no table; expressions that cannot be read are left out.
+    """
+    own = items.withColumn("prefixes", F.lit(None).cast("map<string,string>")) if prefixes is None else S.with_prefixes(items, prefixes)
+    full = lambda c: F.array_join(F.transform(X.tokens(c), lambda t: S.full_name(t, F.col("prefixes"))), "")
+    bare = F.regexp_replace(full(F.when(is_named(F.col("frame")), F.concat(F.lit("<"), "frame", F.lit(">"))).otherwise(F.col("frame"))), "[<>]", "")
+    own = own.withColumn(O, F.col("path") if onto_id is None else onto_id).withColumn("frame", bare).withColumn("item", full(F.col("item")))
+    own = save(own.select(O, "path", "line_no", "frame", "kind", "section", "item"), "frames")
+    sec = lambda d, *names: d.where(F.col("section").isin(*names))
+    entity = own.where("section = ''").select(O, F.col("frame").alias("iri"), _of(F.col("kind"), MANCHESTER_KINDS).alias("type"))
+
+    head = r"(?s)^<([^>]*)>\s+(.*)$"
+    noted = sec(own, "Annotations").select(O, "line_no", F.col("frame").alias("iri"), F.regexp_extract("item", head, 1).alias("prop"), F.regexp_extract("item", head, 2).alias("v")).where("prop <> ''")
+    text, lang, _ = _literal(F.col("v"))
+    notes = _numbered(noted.select(O, "iri", "prop", text.alias("text"), lang.alias("lang"), F.struct("line_no", "v").alias("_k")), [O, "iri", "prop"], "_k")
+    raw = F.when(F.col("lang") != "", F.concat("text", F.lit("@"), "lang")).otherwise(F.col("text"))
+    label = save(_shaped("label", notes.where(F.col("prop") == LABEL)), "labels")
+
+    own = save(_labelled(own.where("section <> '' and section <> 'Annotations'"), label), "items")
+    plain = F.coalesce(S.plain(F.col("item")), F.when(is_named(F.col("item")) & ~F.col("item").rlike(r"[\s({]"), F.col("item")))
+    own = own.withColumn("x", plain)
+    of_class, of_prop = own.where("kind = 'Class'"), own.where(F.col("kind").endswith("Property"))
+    link = _of(F.col("section"), {"SubClassOf": "sub", "EquivalentTo": "equiv", "DisjointWith": "disjoint"})
+    edges = sec(of_class, "SubClassOf", "EquivalentTo", "DisjointWith").where("x is not null").select(O, F.col("frame").alias("sub"), F.col("x").alias("sup"), link.alias("kind"))
+    lists = own.where(F.col("kind").isin(*S.LISTS) & F.col("x").isNotNull()).select(O, "path", "line_no", "kind", "x")
+    both = lists.join(lists.select("path", "line_no", "kind", F.col("x").alias("y")), ["path", "line_no", "kind"]).where("x <> y")
+    pairs = both.select(O, F.col("x").alias("sub"), F.col("y").alias("sup"), _of(F.col("kind"), {"EquivalentClasses": "equiv", "DisjointClasses": "disjoint"}).alias("kind"))
+    said = sec(of_class, "SubClassOf", "EquivalentTo").where("x is null").select(O, F.col("frame").alias("iri"), F.when(F.col("section") == "SubClassOf", "super").otherwise("equiv").alias("role"), F.col("item").alias("said"))
+    read = manchester_text(said.select(F.col("said").alias("expr"))).where("manchester is not null").select(F.col("expr").alias("said"), F.col("manchester").alias("expr"))
+    edge = _of(F.col("section"), {"SubPropertyOf": "sub", "Domain": "domain", "Range": "range", "InverseOf": "inverse", "EquivalentTo": "equiv", "DisjointWith": "disjoint"})
+    prop_edge = of_prop.where(edge.isNotNull() & F.col("x").isNotNull()).select(O, F.col("frame").alias("prop"), F.col("x").alias("target"), edge.alias("kind"))
+    flags = sec(of_prop, "Characteristics").select(O, F.col("frame").alias("prop"), _of(F.col("item"), FLAGS).alias("flag")).where("flag is not null")
+    chain = sec(of_prop, "SubPropertyChain").select(O, F.struct("line_no", "item").alias("_k"), F.col("frame").alias("prop"), F.regexp_extract_all("item", F.lit("<([^>]*)>"), F.lit(1)).alias("members")).where(F.size("members") >= 2)
+    chains = _numbered(chain, [O, "prop"], "_k").select(O, "prop", F.col("ord").alias("chain_no"), "members")
+    of_ind = own.where("kind = 'Individual'")
+    types = sec(of_ind, "Types").where("x is not null").select(O, F.col("frame").alias("ind"), F.col("x").alias("class"))
+    facts = sec(of_ind, "Facts").select(O, F.col("frame").alias("ind"), F.regexp_extract("item", head, 1).alias("prop"), F.regexp_extract("item", head, 2).alias("v")).where("prop <> ''")
+    value, _, dt = _literal(F.col("v"))
+    is_text = F.col("v").startswith('"')
+    # classes that stand in lists only are classes too
+    listed = pairs.select(O, F.col("sub").alias("iri"), F.lit("class").alias("type")).distinct()
+    return Ontology(
+        entity=_shaped("entity", entity, listed.join(entity.select(O, "iri"), [O, "iri"], "left_anti")),
+        label=label,
+        annotation=_shaped("annotation", notes.where(F.col("prop") != LABEL).withColumn("raw", raw)),
+        class_edge=_shaped("class_edge", edges.unionByName(pairs).withColumn("ord", F.lit(0))),
+        class_expr=_shaped("class_expr", said.join(read, "said").withColumn("ord", F.lit(0))),
+        prop_edge=_shaped("prop_edge", prop_edge),
+        prop_flag=_shaped("prop_flag", flags),
+        prop_chain=_shaped("prop_chain", chains),
+        type_assert=_shaped("type_assert", types),
+        obj_assert=_shaped("obj_assert", facts.where(~is_text & S.plain(F.col("v")).isNotNull()).select(O, "ind", "prop", S.plain(F.col("v")).alias("target"))),
+        data_assert=_shaped("data_assert", facts.where(is_text).select(O, "ind", "prop", value.alias("value"), dt.alias("datatype"))),
+    )
+
+
 def from_triples(t: DataFrame) -> Ontology:
     """Triples as tables: kinds by rdf:type, named subjects only, an individual's assertions by the predicate's kind.
 

@@ -353,3 +353,67 @@ def test_chains_of_turtle(spark, tmp_path):
     (tmp_path / "a.ttl").write_text("@prefix : <http://e/> . @prefix owl: <http://www.w3.org/2002/07/owl#> .\n:p a owl:ObjectProperty ; owl:propertyChainAxiom ( :p :q ) , ( :q\n :q :p ), ( :p ) .\n:C a owl:Class ; owl:propertyChainAxiom ( :p :q ) .")
     x = tables.from_triples(turtle.triples(spark, str(tmp_path), F.lit("o")))
     assert rows(x.prop_chain) == [("o", "http://e/p", 0, ["http://e/p", "http://e/q"]), ("o", "http://e/p", 1, ["http://e/q", "http://e/q", "http://e/p"])]
+
+
+FRAMES = '''Prefix: : <http://e/>
+Prefix: x: <http://x/>
+Ontology: <http://o>
+Annotations: rdfs:comment "of the ontology, Class: not"
+Import: <http://other>
+
+Class: :A  # Class: :No
+    Annotations: rdfs:label "a thing"@en, x:note "1, 2"
+    SubClassOf: :B, :p some (:B and {:i, :j}),
+        'a label' , x:q min 2
+        :B
+Class: <http://e/B> Annotations: rdfs:label "a label" EquivalentTo: :p only not 'a thing' DisjointWith: x:C
+Class: x:C
+DisjointClasses: :A, :B, x:D
+ObjectProperty: :p
+    Characteristics: Functional, Transitive
+    SubPropertyOf: x:q
+    SubPropertyChain: :p o x:q
+    SubPropertyChain: :p
+    Domain: :A  Range: :B InverseOf: x:r
+DataProperty: :d
+    Characteristics: Functional
+Individual: :i
+    Types: :A, :p some :B
+    Facts: :p :j, :d "5"^^xsd:integer, not :p :i
+'''
+
+
+def test_frames_as_tables(spark, tmp_path):
+    from termweave.sources import tables
+
+    (tmp_path / "a.omn").write_text(FRAMES)
+    raw = scans.lines(spark, str(tmp_path))
+    x = tables.from_manchester(scans.manchester(raw), F.lit("o"), scans.prefixes(raw))
+    e, q = "http://e/", "http://x/"
+    assert rows(x.entity.drop("onto_id")) == [(e + "A", "class"), (e + "B", "class"), (e + "d", "dataProperty"), (e + "i", "individual"), (e + "p", "objectProperty"), (q + "C", "class"), (q + "D", "class")]
+    assert rows(x.label.select("iri", "lang", "text")) == [(e + "A", "en", "a thing"), (e + "B", "", "a label")]
+    assert rows(x.annotation.select("iri", "prop", "text")) == [(e + "A", q + "note", "1, 2")]
+    pairs = [(a, b, "disjoint") for a in (e + "A", e + "B", q + "D") for b in (e + "A", e + "B", q + "D") if a != b]
+    assert rows(x.class_edge.select("sub", "sup", "kind")) == sorted([(e + "A", e + "B", "sub"), (e + "B", q + "C", "disjoint"), *pairs])
+    assert rows(x.class_expr.select("iri", "role", "expr")) == [(e + "A", "super", f"{e}p some ({e}B and ({{{e}i, {e}j}}))"), (e + "A", "super", f"{q}q min 2 {e}B"), (e + "B", "equiv", f"{e}p only (not {e}A)")]
+    assert rows(x.prop_edge.drop("onto_id")) == [(e + "p", e + "A", "domain"), (e + "p", e + "B", "range"), (e + "p", q + "q", "sub"), (e + "p", q + "r", "inverse")]
+    assert rows(x.prop_flag.drop("onto_id")) == [(e + "d", "functional"), (e + "p", "functional"), (e + "p", "transitive")]
+    assert rows(x.prop_chain.drop("onto_id")) == [(e + "p", 0, [e + "p", q + "q"])]
+    assert rows(x.type_assert.drop("onto_id")) == [(e + "i", e + "A")]
+    assert rows(x.obj_assert.drop("onto_id")) == [(e + "i", e + "p", e + "j")]
+    assert rows(x.data_assert.drop("onto_id")) == [(e + "i", e + "d", "5", "http://www.w3.org/2001/XMLSchema#integer")]
+
+
+def test_convert_finds_the_syntax(spark, tmp_path):
+    from termweave.sources import convert
+
+    (tmp_path / "a.x").write_text("# note\nPrefix(:=<http://e/>)\nOntology(<http://o>\nDeclaration(Class(:A))\nDeclaration(Class(:B))\nSubClassOf(:A :B)\n)\n")
+    source = str(tmp_path / "a.x")
+    want = [("o", "http://e/A", "http://e/B", "sub", 0)]
+    for i, to in enumerate(convert.WRITES):
+        x = convert.convert(spark, source, str(tmp_path / str(i)), to, None, "o")
+        assert rows(x.class_edge) == want
+        assert rows(convert.read(spark, str(tmp_path / str(i)), {"ntriples": "turtle"}.get(to, to), F.lit("o")).class_edge) == want
+    assert convert.format_of(spark, str(tmp_path / "1")) in ("functional", "manchester")  # no header there: by extension
+    with pytest.raises(ValueError, match="no writer"):
+        convert.write(x, str(tmp_path / "z"), "owl-xml")
