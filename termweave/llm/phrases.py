@@ -9,7 +9,7 @@ built on its own: sorted suffixes, their common prefixes, and counts from totals
 
 Words are 64-bit hashes of language and word; no two words of the corpus share one (else another seed
 is taken), so counts are exact.  Tasks tell rare words by a bitmap of fixed size, which may let a rare
-word pass but never drops another.
+word pass but never drops another; in blocks the CODES most frequent words have short codes.
 
 Cases: null and empty texts have no words; a null language is `und`; repeated rows count each; long
 texts are read whole; an empty table gives an empty result; equal scores and counts are ordered by
@@ -32,8 +32,9 @@ from .kernels import LOWER, U64, cut_out, mix, run_hashes, slices, text_bytes, w
 
 #: Words of a phrase at most, and suffixes of a group at most unless SPLITS groups are too few.
 DEPTH, BUDGET, SPLITS = 5, 1 << 20, 1 << 17
-#: Bits of the map of frequent words, and bytes of text whose suffixes are added up before they leave a task.
-MAP_BITS, SLICE = 1 << 26, 1 << 21
+#: Bits of the map of frequent words, words with a short code at most, bytes of text whose suffixes are added up
+#: before they leave a task, and distinct words that a task counts before it sends them.
+MAP_BITS, CODES, SLICE, FLUSH = 1 << 26, 1 << 20, 1 << 21, 1_000_000
 #: Space and tab end a word; the others end a piece too.
 BORDER = np.zeros(256, bool)
 BORDER[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -66,12 +67,26 @@ def _ids(lang: str, raw: np.ndarray, offs: np.ndarray, seed: int):
 def count_words(texts: DataFrame, seed: int) -> DataFrame:
     """id, lang, word, f; and clash: whether another word has the id."""
 
+    def added(lang: str, parts: list) -> pa.RecordBatch:
+        ids, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        own, at, code = np.unique(ids, return_index=True, return_inverse=True)
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, code, n)
+        word = pa.concat_arrays([p[2] for p in parts]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), word, pa.array(total)], ["lang", "id", "word", "f"])
+
     def run(batches):
+        held, size = {}, 0
         for lang, raw, offs in _by_language(batches):
             ids, starts, ends, _ = _ids(lang, raw, offs, seed)
             own, at, n = np.unique(ids, return_index=True, return_counts=True)
             word = cut_out(LOWER[raw], starts[at], ends[at], pa.large_string()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), word, pa.array(n)], ["lang", "id", "word", "f"])
+            held.setdefault(lang, []).append((own, n, word))
+            size += len(own)
+            if size >= FLUSH:
+                yield from (added(*x) for x in held.items())
+                held, size = {}, 0
+        yield from (added(*x) for x in held.items())
 
     return by_id(texts.mapInArrow(lean(run), "lang string, id long, word string, f long"))
 
@@ -92,12 +107,46 @@ def bitmap(words: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
     return out
 
 
+def most_frequent(words: DataFrame, most: int = CODES) -> np.ndarray:
+    """The ids of at most `most` words, the most frequent first: whole classes of counts, as many as fit."""
+    classed = words.withColumn("c", F.floor(F.log2("f") * 8).cast("int"))
+    held, least = 0, None
+    for r in sorted(classed.groupBy("c").count().collect(), reverse=True):  # a few hundred classes
+        held += r["count"]
+        if held > most:
+            break
+        least = r["c"]
+    if least is None:
+        return np.zeros(0, U64)
+    got = classed.where(F.col("c") >= least).select("id", "f").toArrow()
+    ids, f = (got.column(i).to_numpy() for i in (0, 1))
+    return ids[np.lexsort((ids, -f))].view(U64)
+
+
 class Suffixes:
-    """What tasks know: the map of frequent words and, by length, hashes of the prefixes above the budget."""
+    """What tasks know: the map of frequent words, the most frequent ones in order and, by length, hashes of the
+    prefixes above the budget."""
 
-    def __init__(self, seed: int, common: np.ndarray, groups: int, subs: int):
-        self.seed, self.common, self.groups, self.subs = seed, common, groups, subs
+    def __init__(self, seed: int, common: np.ndarray, top: np.ndarray, groups: int, subs: int):
+        self.seed, self.common, self.top, self.groups, self.subs = seed, common, top, groups, subs
         self.heavy: list[np.ndarray] = []
+        self.rank = np.argsort(top)
+        self.sorted = top[self.rank]
+
+    def codes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Small numbers for ids: 0 for none, places among the most frequent words, then among the others, which are given too."""
+        own, back = np.unique(ids, return_inverse=True)
+        at = np.searchsorted(self.sorted, own)
+        known = at < len(self.top)
+        known[known] = self.sorted[at[known]] == own[known]
+        code = np.zeros(len(own), np.int64)
+        code[known] = self.rank[at[known]] + 1
+        other = ~known & (own > 0)
+        code[other] = len(self.top) + 1 + np.arange(other.sum())
+        return code[back].reshape(ids.shape), own[other]
+
+    def words(self, codes: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, U64), self.top, other])[codes]
 
     def extend(self, keys: list[bytes]) -> None:
         """The prefixes above the budget that are one word longer than the last ones."""
@@ -166,25 +215,26 @@ def prefix_counts(texts: DataFrame, seen, size: int) -> DataFrame:
     return texts.mapInArrow(lean(run), "lang string, key binary, a long").groupBy("lang", "key").agg(F.sum("a").alias("a"))
 
 
-def _bundle(rows: np.ndarray, n: np.ndarray, depth: np.ndarray) -> bytes:
-    """Suffixes as compressed bytes: their distinct words, then small numbers for words, counts and depths."""
-    words, place = np.unique(rows, return_inverse=True)
-    parts = [words, *place.reshape(rows.shape).T, n, depth]
-    small = [p if i == 0 else p.astype(np.min_scalar_type(int(p.max(initial=0)))) for i, p in enumerate(parts)]
-    head = np.array([len(rows), len(words), *(p.itemsize for p in small[1:])], "<i8").tobytes()
-    return zstandard.ZstdCompressor(1).compress(head + b"".join(np.ascontiguousarray(p).tobytes() for p in small))
+def _bundle(rows: np.ndarray, n: np.ndarray, depth: np.ndarray, known: Suffixes) -> bytes:
+    """Suffixes as compressed bytes: words without a short code, then numbers for words, counts and depths, byte by byte."""
+    codes, other = known.codes(rows)
+    parts = [p.astype(np.min_scalar_type(int(p.max(initial=0)))) for p in (*codes.T, n, depth)]
+    head = np.array([len(rows), len(other), *(p.itemsize for p in parts)], "<i8").tobytes()
+    planes = [np.ascontiguousarray(p).view(np.uint8).reshape(len(rows), -1).T.tobytes() for p in parts]
+    return zstandard.ZstdCompressor(1).compress(head + other.tobytes() + b"".join(planes))
 
 
-def _unbundle(blob: bytes):
+def _unbundle(blob: bytes, known: Suffixes):
     raw = zstandard.ZstdDecompressor().decompress(blob)
     count, size, *widths = map(int, np.frombuffer(raw, "<i8", 2 + DEPTH + 2))
     at = 8 * (2 + DEPTH + 2)
-    words = np.frombuffer(raw, "<u8", size, at)
+    other = np.frombuffer(raw, "<u8", size, at)
     at, out = at + 8 * size, []
     for w in widths:
-        out.append(np.frombuffer(raw, f"<u{w}", count, at).astype(np.int64))
+        plane = np.frombuffer(raw, np.uint8, w * count, at).reshape(w, count)
+        out.append(np.ascontiguousarray(plane.T).view(f"<u{w}").ravel().astype(np.int64))
         at += w * count
-    return words[np.stack(out[:DEPTH], 1)], out[DEPTH], out[DEPTH + 1]
+    return known.words(np.stack(out[:DEPTH], 1), other), out[DEPTH], out[DEPTH + 1]
 
 
 def suffix_blocks(texts: DataFrame, seen) -> DataFrame:
@@ -205,20 +255,20 @@ def suffix_blocks(texts: DataFrame, seen) -> DataFrame:
             keyed, n, depth = added_up(keyed, np.ones(len(keyed), np.int64), depth)
             cut = np.flatnonzero(np.concatenate([[True], (keyed[1:, :2] != keyed[:-1, :2]).any(1)])) if len(keyed) else np.zeros(0, np.int64)
             ends = [*cut[1:].tolist(), len(keyed)]
-            blocks = [_bundle(keyed[i:j, 2:], n[i:j], depth[i:j]) for i, j in zip(cut.tolist(), ends)]
+            blocks = [_bundle(keyed[i:j, 2:], n[i:j], depth[i:j], known) for i, j in zip(cut.tolist(), ends)]
             at = keyed[cut].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array([lang] * len(cut), pa.string()), pa.array(blocks, pa.binary())], ["g", "sub", "lang", "block"])
 
     return texts.mapInArrow(lean(run), "g long, sub long, lang string, block binary")
 
 
-def _subtree(least: int):
+def _subtree(least: int, seen):
     """A function from the blocks of one group to its phrases beyond the group's prefixes with `least` leaves or more."""
 
     def run(group: pa.Table) -> pa.Table:
         held, size, limit = [], 0, BUDGET
         for blob in group.column("block"):
-            held.append(_unbundle(blob.as_py()))
+            held.append(_unbundle(blob.as_py(), seen.value))
             size += len(held[-1][0])
             if size > limit:  # equal suffixes of many blocks become one
                 rows, n, depth = (np.concatenate(x) for x in zip(*held))
@@ -297,8 +347,8 @@ def _collocations(docs: DataFrame, least: int, top: int, budget: int, text_col:
     often = save(words.where(F.col("f") >= least).drop("clash"), "frequent")
     suffixes = often.agg(F.coalesce(F.sum("f"), F.lit(0))).head()[0]
     share = max(budget, suffixes // SPLITS)  # so prefixes above it, which tasks hold, are SPLITS of a length at most
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes // share))
-    known = Suffixes(seed, bitmap(often), groups, -(-share // budget))
+    groups = max(2 * spark.sparkContext.defaultParallelism, -(-suffixes // share))
+    known = Suffixes(seed, bitmap(often), most_frequent(often), groups, -(-share // budget))
     single = often.select("lang", F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("key"), F.col("f").alias("a"))
     level, phrases = single, []
     for size in range(2, DEPTH + 2):
@@ -308,8 +358,9 @@ def _collocations(docs: DataFrame, least: int, top: int, budget: int, text_col:
             break
         level = save(prefix_counts(texts, spark.sparkContext.broadcast(known), size), "prefixes")
         phrases.append(level.where(F.col("a") >= least))
-    blocks = suffix_blocks(texts, spark.sparkContext.broadcast(known))
-    phrases.append(blocks.groupBy("g", "sub", "lang").applyInArrow(_subtree(least), "lang string, key binary, a long"))
+    told = spark.sparkContext.broadcast(known)
+    blocks = suffix_blocks(texts, told)
+    phrases.append(blocks.groupBy("g", "sub", "lang").applyInArrow(_subtree(least, told), "lang string, key binary, a long"))
     found = phrases[0]
     for p in phrases[1:]:
         found = found.unionByName(p)

@@ -225,8 +225,17 @@ def test_words_that_share_an_id_are_told(spark):
 
 def test_blocks_of_suffixes_read_back():
     rows = np.array([[1, 2, 3, 4, 5], [1, 2, 0, 0, 0], [2**63, 1, 1, 0, 0]], np.uint64)
-    back, n, depth = phrases._unbundle(phrases._bundle(rows, np.array([3, 10**12, 1]), np.array([1, 2, 1])))
-    assert (back == rows).all() and n.tolist() == [3, 10**12, 1] and depth.tolist() == [1, 2, 1]
+    for top in ([], [2**63, 5], [1, 2, 3, 4, 5, 2**63]):  # words without and with a short code
+        known = phrases.Suffixes(0, np.zeros(1, np.uint64), np.array(top, np.uint64), 1, 1)
+        back, n, depth = phrases._unbundle(phrases._bundle(rows, np.array([3, 10**12, 1]), np.array([1, 2, 1]), known), known)
+        assert (back == rows).all() and n.tolist() == [3, 10**12, 1] and depth.tolist() == [1, 2, 1]
+
+
+def test_words_with_short_codes_are_bounded(spark):
+    df = spark.createDataFrame([(i, 100 + i // 10) for i in range(1000)], "id long, f long")
+    assert len(phrases.most_frequent(df, 1000)) == 1000 and len(phrases.most_frequent(df, 0)) == 0
+    some = phrases.most_frequent(df, 300).tolist()
+    assert 0 < len(some) <= 300 and some == sorted(range(1000), key=lambda i: (-(100 + i // 10), i))[: len(some)]
 
 
 def test_phrases_of_odd_rows(spark, odd):
