@@ -91,10 +91,10 @@ def s03(spark, sf_dir):
     return S.annotations(a, known).select("iri", "prop", "text", "lang", "is_label")
 
 
-def documents_of(rows, root: str, name: str):
+def documents_of(rows, root: str, name: str, attributes: str = ""):
     """A document for each n, of bounded size: its elements (n, value) under one root element."""
     path = shared_path(rows.sparkSession, name)
-    whole = rows.groupBy("n").agg(F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list("value"), "\n"), F.lit(f"</{root}>")).alias("value"))
+    whole = rows.groupBy("n").agg(F.concat(F.lit(f"<{root}{attributes}>"), F.array_join(F.collect_list("value"), "\n"), F.lit(f"</{root}>")).alias("value"))
     whole.write.partitionBy("n").text(path)
     return path
 

@@ -194,9 +194,12 @@ def element(tag: str, body, **attrs):
     return F.concat(*head, F.lit("/>")) if body is None else F.concat(*head, F.lit(">"), *body, F.lit(f"</{tag}>"))
 
 
-@query("s04_all_tables", every(f"SELECT 'class_expr', {CUSTOMER}, CASE c_custkey % 3 WHEN 0 THEN 'super' ELSE 'equiv' END, '{B}hasPart some ({B}nation/' || c_nationkey || ' and ({B}madeOf min 2 {B}nation/0))', '' FROM customer WHERE c_custkey % 3 < 2", ASYMMETRIC).replace(f"SELECT 'annotation', {CUSTOMER}, '{B}segment', c_mktsegment, 'en' FROM customer", f"SELECT 'annotation', {CUSTOMER}, 'http://www.w3.org/2000/01/rdf-schema#comment', c_mktsegment, 'en' FROM customer"))
+RELATIVE = every(f"SELECT 'class_expr', {CUSTOMER}, CASE c_custkey % 3 WHEN 0 THEN 'super' ELSE 'equiv' END, '{B}hasPart some ({B}nation/' || c_nationkey || ' and ({B}madeOf min 2 {B}nation/0))', '' FROM customer WHERE c_custkey % 3 < 2", ASYMMETRIC, FACTS)
+
+
+@query("s04_all_tables", RELATIVE.replace(f"'{B}supplier/'", f"'{B}doc#s'") + f" UNION ALL SELECT 'annotation', {NATION}, 'http://www.w3.org/2000/01/rdf-schema#comment', '00' || n_nationkey, '' FROM nation UNION ALL SELECT 'annotation', '{B}doc#s' || s_suppkey, '{B}segment', {NATION.replace('n_nationkey', 's_nationkey')}, '' FROM supplier")
 def rdfxml(spark, sf_dir):
-    """The model as RDF/XML documents: nested restrictions and sets, typed properties, individuals."""
+    """The model as RDF/XML documents: nested restrictions and sets, typed properties, individuals by relative names, properties of any name."""
     c, n, s = (table(spark, sf_dir, t) for t in ("customer", "nation", "supplier"))
     own = lambda kind, k: F.concat(F.lit(f"{B}{kind}/"), F.col(k).cast("string"))
     ref = lambda tag, v: element(tag, None, rdf_resource=v)
@@ -206,19 +209,21 @@ def rdfxml(spark, sf_dir):
     some = element("owl:Restriction", [ref("owl:onProperty", B + "hasPart"), element("owl:someValuesFrom", [both])])
     k = F.col("c_custkey") % 3
     said = F.when(k == 0, element("rdfs:subClassOf", [some])).when(k == 1, element("owl:equivalentClass", [some])).otherwise(F.lit(""))
-    custom = element("owl:Class", [note("rdfs:label", "c_name"), note("rdfs:comment", "c_mktsegment"), ref("rdfs:subClassOf", own("nation", "c_nationkey")), said], rdf_about=own("customer", "c_custkey"))
+    custom = element("owl:Class", [note("rdfs:label", "c_name"), note("b:segment", "c_mktsegment"), ref("rdfs:subClassOf", own("nation", "c_nationkey")), said], rdf_about=own("customer", "c_custkey"))
     zero = F.col("n_nationkey") == 0
     apart = F.when(zero, F.lit("@")).otherwise(ref("owl:disjointWith", B + "nation/0"))
-    nation = element("owl:Class", [note("rdfs:label", "n_name"), ref("rdfs:subClassOf", own("region", "n_regionkey")), apart], rdf_about=own("nation", "n_nationkey"))
+    nation = element("owl:Class", [note("rdfs:label", "n_name"), element("rdfs:comment", [F.lit("00"), F.col("n_nationkey").cast("string")]), ref("rdfs:subClassOf", own("region", "n_regionkey")), apart], rdf_about=own("nation", "n_nationkey"))
     others = n.where(~zero).agg(F.array_join(F.array_sort(F.collect_list(ref("owl:disjointWith", own("nation", "n_nationkey")))), "").alias("_all"))
     nation = n.crossJoin(F.broadcast(others)).select(F.replace(nation, F.lit("@"), F.col("_all")).alias("value"))  # one row: 24 nations
-    supplier = element("owl:NamedIndividual", [ref("rdf:type", own("nation", "s_nationkey"))], rdf_about=own("supplier", "s_suppkey"))
+    rated = element("b:rating", [F.col("s_acctbal").cast("decimal(18,2)").cast("string")], rdf_datatype="http://www.w3.org/2001/XMLSchema#decimal")
+    home = own("nation", "s_nationkey")
+    supplier = element("owl:NamedIndividual", [ref("rdf:type", home), ref("b:locatedIn", home), rated, ref("b:segment", home), F.lit('<b:unknown>1</b:unknown>')], rdf_about=F.concat(F.lit("#s"), F.col("s_suppkey").cast("string")))
     tag = {"objectProperty": "owl:ObjectProperty", "dataProperty": "owl:DatatypeProperty", "annotationProperty": "owl:AnnotationProperty"}
     inside = {"hasPart": f'<rdf:type rdf:resource="{OWL}TransitiveProperty"/><owl:inverseOf rdf:resource="{B}partOf"/><rdfs:domain rdf:resource="{B}nation/0"/>', "partOf": f'<owl:inverseOf rdf:resource="{B}hasPart"/>', "madeOf": f'<rdf:type rdf:resource="{OWL}AsymmetricProperty"/><rdfs:subPropertyOf rdf:resource="{B}hasPart"/>', "locatedIn": f'<rdfs:range rdf:resource="{B}nation/1"/>'}
     props = n.where(zero).select(F.explode(F.array(*[F.lit(f'<{tag[t]} rdf:about="{B}{p}">{inside.get(p, "")}</{tag[t]}>') for p, t in PROPS])).alias("value"))
     one = lambda d: d.select(F.lit("rest").alias("n"), "value")
     elements = c.select(block().alias("n"), custom.alias("value")).unionByName(one(nation)).unionByName(s.select(F.concat(F.lit("s"), F.floor(F.col("s_suppkey") / 10_000).cast("string")).alias("n"), supplier.alias("value"))).unionByName(one(props))
-    return told(T.from_relations(T.rdfxml(spark, documents_of(elements, "rdf:RDF", "rdfxml"), B), F.lit("shop")))
+    return told(T.from_relations(T.rdfxml(spark, documents_of(elements, "rdf:RDF", "rdfxml", f' xmlns:b="{B}" xml:base="{B}doc"')), F.lit("shop")))
 
 
 @query("s05_all_tables", every(ASYMMETRIC, FACTS))

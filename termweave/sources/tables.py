@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -261,15 +262,18 @@ _REF = "array<struct<`_rdf:resource`:string>>"
 _HEAD = "".join(f' xmlns:{p}="{ns}"' for p, ns in (("rdf", TYPE[:-4]), ("rdfs", RDFS), ("owl", OWL)))
 
 
-def _expression(fragment: str) -> str | None:
-    """The Manchester text of a class element; None if it has forms without one."""
+def _expression(fragment: str, base: str = "") -> str | None:
+    """The Manchester text of a class element, relative names against base; None if it has forms without one."""
     from xml.etree import ElementTree
 
     rdf, owl = "{" + TYPE[:-4] + "}", "{" + OWL + "}"
     counts = {"minCardinality": "min", "maxCardinality": "max", "cardinality": "exactly", "minQualifiedCardinality": "min", "maxQualifiedCardinality": "max", "qualifiedCardinality": "exactly"}
 
     def name(e) -> str:
-        return e.get(rdf + "about") or e.get(rdf + "resource") or ""
+        own = e.get(rdf + "about") or e.get(rdf + "resource") or ""
+        if not own or own.startswith(("http", "urn", "file")):
+            return own
+        return base + own if own.startswith("#") else f"{base}#{own}"
 
     def inner(e) -> str:
         return name(e) if name(e) or not len(e) else part(e[0])
@@ -313,49 +317,123 @@ def _notes(child: str, iri: str) -> Column:
 
 
 def _expressions(fragments: DataFrame) -> DataFrame:
-    """fragment, expr of the distinct fragments."""
+    """fragment, base, expr of the distinct fragments."""
     import pandas as pd
 
     def read(batches):
         for b in batches:
-            yield pd.DataFrame({"fragment": b["fragment"], "expr": [_expression(f) for f in b["fragment"]]})
+            yield pd.DataFrame({"fragment": b["fragment"], "base": b["base"], "expr": [_expression(f, x) for f, x in zip(b["fragment"], b["base"])]})
+
+    return fragments.select("fragment", "base").distinct().mapInPandas(read, "fragment string, base string, expr string")
+
+
+def xml_heads(spark: SparkSession, path: str, base: str = "") -> DataFrame:
+    """path, base, namespaces of RDF/XML files: from xml:base, else the default namespace without its #, else the
+    ontology's IRI, else `base`; of a name that is declared again the first counts."""
+    q = r"""\s*=\s*["']([^"']*)["']"""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n")).alias("at"), F.col("value").alias("t"))
+    raw = save(raw.where(F.col("t").rlike("xmlns|xml:base|owl:Ontology|rdf:RDF")), "heads")
+    one = lambda kind, form: raw.where(F.col("t").rlike(form)).select("path", "at", F.lit(kind).alias("name"), F.regexp_extract("t", form, 1).alias("v"))
+    spaces = raw.select("path", "at", F.explode(F.arrays_zip(F.regexp_extract_all("t", F.lit(r"xmlns:([\w.-]+)" + q), F.lit(1)).alias("k"), F.regexp_extract_all("t", F.lit(r"xmlns:([\w.-]+)" + q), F.lit(2)).alias("v"))).alias("x")).select("path", "at", F.concat(F.col("x.k"), F.lit(":")).alias("name"), F.col("x.v").alias("v"))
+    parts = [spaces, one("1base", r"xml:base" + q), one("2default", r"xmlns" + q), one("3ontology", r"owl:Ontology\s[^>]*rdf:about" + q), raw.select("path", "at", F.lit("4none").alias("name"), F.lit(base).alias("v"))]
+    first = reduce(DataFrame.unionByName, parts).groupBy("path", "name").agg(F.min_by("v", "at").alias("v"))
+    got = first.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("m"))
+    base_ = F.coalesce(F.try_element_at("m", F.lit("1base")), F.try_element_at("m", F.lit("2default")), F.try_element_at("m", F.lit("3ontology")), F.col("m")["4none"])
+    return save(got.select("path", F.regexp_replace(base_, "#$", "").alias("base"), F.coalesce(F.try_element_at("m", F.lit("2default")), F.lit("")).alias("default"), F.col("m").alias("namespaces")), "heads")
+
+
+@contextlib.contextmanager
+def _exact_case(spark: SparkSession):
+    """Names of elements that differ in case only are different names; the session's setting comes back."""
+    key = "spark.sql.caseSensitive"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _other_children(spark: SparkSession, path: str, tag: str, known: list[str]) -> list[list[str]]:
+    """Names of the child elements of a node element but the known ones, as Spark's reader infers them: the properties
+    that the files use; in lists without names that differ in case only."""
+    with _exact_case(spark):
+        fields = spark.read.format("xml").option("rowTag", tag).option("inferSchema", "false").option("recursiveFileLookup", "true").load(path).schema.names
+    out: list[dict] = []
+    for n in fields:
+        if not n.startswith("_") and n not in known:
+            into = next((d for d in out if n.lower() not in d), None)
+            if into is None:
+                out.append(into := {})
+            into[n.lower()] = n
+    return [list(d.values()) for d in out]
+
+
+_SAID = "array<struct<_VALUE:string,`_xml:lang`:string,`_rdf:datatype`:string,`_rdf:resource`:string>>"
 
-    return fragments.select("fragment").distinct().mapInPandas(read, "fragment string, expr string")
 
+def _told_by(child: str) -> Column:
+    """n, v, l, t, r (name, text, language, datatype, resource) of the child elements of one name; none if there are none."""
+    each = F.transform(F.col(f"`{child}`"), lambda x: F.struct(F.lit(child).alias("n"), x["_VALUE"].alias("v"), x["_xml:lang"].alias("l"), x["_rdf:datatype"].alias("t"), x["_rdf:resource"].alias("r")))
+    return F.coalesce(each, F.array().cast("array<struct<n:string,v:string,l:string,t:string,r:string>>"))
 
-def rdfxml(spark: SparkSession, path: str, base: str) -> DataFrame:
+
+def rdfxml(spark: SparkSession, path: str, base: str = "") -> DataFrame:
     """Iri, kind, relation, value, lang of the node elements of RDF/XML files.
 
     relation: declared; label, or the IRI of an annotation property; super, equiv, disjoint with a named
     class, super_expr, equiv_expr with an expression; sub, domain, range, inverse, equiv, disjoint of
-    properties; flag; type of individuals.  Anonymous nodes are read where they stand, not by themselves.
+    properties; flag; type of individuals; and of elements of any other name `stated` (a resource, with
+    the property in lang) and `said` (a text, with property, language and datatype in lang), which
+    from_relations() reads by what the property is declared as.  Relative names count from their file's
+    base (xml_heads()), which `base` is where a file has none.  Anonymous nodes are read where they stand.
     """
     none = F.lit("").alias("lang")
+    heads = xml_heads(spark, path, base)
+    heads = F.broadcast(heads) if heads.count() <= S.BROADCAST_FILES else heads
+    prefix = lambda c: F.try_element_at("namespaces", F.regexp_extract(c, "^([^:#/]+:)", 1))
+    full = lambda c: F.when(is_named(c), c).when(c.startswith("#"), F.concat("base", c)).when(prefix(c).isNotNull(), F.concat(prefix(c), F.substring_index(c, ":", -1))).otherwise(F.concat("base", F.lit("#"), c))
+    own_names = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v in (("rdf:", RDF), ("rdfs:", RDFS), ("owl:", OWL), ("skos:", SKOS))]))
+    tag_iri = lambda t: F.when(t.contains(":"), F.concat(F.coalesce(F.try_element_at("namespaces", F.concat(F.substring_index(t, ":", 1), F.lit(":"))), F.try_element_at(own_names, F.concat(F.substring_index(t, ":", 1), F.lit(":")))), F.substring_index(t, ":", -1))).when(F.col("default") != "", F.concat("default", t))
     parts = []
     for tag, kind in NODE_KINDS.items():
-        cols = ["`_rdf:about` string", "`_rdf:ID` string", f"`rdf:type` {_REF}", *(f"`{n}` {_NOTE}" for n in NOTES)]
         children = {"class": CLASS_CHILDREN, "individual": {}}.get(kind, PROPERTY_CHILDREN)
+        cols = ["`_rdf:about` string", "`_rdf:ID` string", f"`rdf:type` {_REF}", *(f"`{n}` {_NOTE}" for n in NOTES)]
         cols += [f"`{c}` {_CHILD if kind == 'class' or c in ('rdfs:domain', 'rdfs:range') else _REF}" for c in children]
-        rows = spark.read.format("xml").option("rowTag", tag).schema(", ".join(cols)).load(path)
-        rows = rows.withColumn("iri", F.coalesce("`_rdf:about`", F.concat(F.lit(base), F.col("`_rdf:ID`")))).withColumn("kind", F.lit(kind)).where("iri is not null")
         out = lambda d, relation, value, lang=none: d.select("iri", "kind", (F.lit(relation) if isinstance(relation, str) else relation).alias("relation"), value.alias("value"), lang.alias("lang")).where("value is not null")
+
+        def read(fields: list[str], tag=tag, kind=kind) -> DataFrame:
+            """The elements with their IRI, written once: every relation reads them."""
+            with _exact_case(spark):
+                rows = save(spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", "true").schema(", ".join(fields)).load(path).select("*", F.col("_metadata.file_path").alias("path")), "elements")
+            rows = rows.join(heads, "path")
+            iri = F.coalesce(full(F.col("`_rdf:about`")), F.concat("base", F.lit("#"), "`_rdf:ID`"))
+            return rows.withColumn("iri", iri).withColumn("kind", F.lit(kind)).where("iri is not null")
+
+        rows = read(cols)
         parts.append(out(rows, "declared", F.col("kind")))
         notes = F.flatten(F.array(*[_notes(n, iri) for n, iri in NOTES.items()]))
         note = rows.select("iri", "kind", F.explode(notes).alias("n"))
         parts.append(out(note, F.when(F.col("n.p") == LABEL, "label").otherwise(F.col("n.p")), F.col("n.v"), F.col("n.l")))
-        typed = rows.select("iri", "kind", F.explode("`rdf:type`").alias("t")).select("iri", "kind", F.col("t.`_rdf:resource`").alias("t"))
+        typed = rows.select("iri", "kind", "base", "namespaces", F.explode("`rdf:type`").alias("t")).select("iri", "kind", full(F.col("t.`_rdf:resource`")).alias("t"))
         parts.append(out(typed.where(~F.col("t").isin(*TYPE_IRI.values(), *FLAG_IRI)), "type", F.col("t")))
         parts.append(out(typed, "flag", _of(F.col("t"), FLAG_IRI)))
         for child, relation in children.items():
-            c = rows.select("iri", "kind", F.explode(f"`{child}`").alias("c"))
+            c = rows.select("iri", "kind", "base", "namespaces", F.explode(f"`{child}`").alias("c"))
             if kind != "class" and child not in ("rdfs:domain", "rdfs:range"):
-                parts.append(out(c, relation, F.col("c.`_rdf:resource`")))
+                parts.append(out(c, relation, full(F.col("c.`_rdf:resource`"))))
                 continue
-            parts.append(out(c, relation, F.coalesce(F.col("c.`_rdf:resource`"), F.col("c.`owl:Class`.`_rdf:about`"), F.col("c.`rdf:Description`.`_rdf:about`"))))
+            parts.append(out(c, relation, full(F.coalesce(F.col("c.`_rdf:resource`"), F.col("c.`owl:Class`.`_rdf:about`"), F.col("c.`rdf:Description`.`_rdf:about`")))))
             wrap = lambda tag, body: F.concat(F.lit(f"<{tag}>"), body, F.lit(f"</{tag}>"))
             sets = F.coalesce(*[wrap("owl:Class", wrap(s, F.col(f"c.`owl:Class`.`{s}`"))) for s in _SETS])
             said = c.withColumn("fragment", F.coalesce(wrap("owl:Restriction", F.col("c.`owl:Restriction`")), sets)).where("fragment is not null")
-            parts.append(out(said.join(_expressions(said), "fragment"), f"{relation}_expr", F.col("expr")))
+            parts.append(out(said.join(_expressions(said), ["fragment", "base"]), f"{relation}_expr", F.col("expr")))
+        for names in _other_children(spark, path, tag, ["rdf:type", *NOTES, *children]):
+            more = read(["`_rdf:about` string", "`_rdf:ID` string", *(f"`{n}` {_SAID}" for n in names)])
+            each = F.flatten(F.array(*[_told_by(n) for n in names]))
+            got = more.select("iri", "kind", "base", "namespaces", "default", F.explode(each).alias("c")).withColumn("p", tag_iri(F.col("c.n"))).where("p is not null")
+            parts.append(out(got, "stated", full(F.col("c.r")), F.col("p")))
+            parts.append(out(got.where("c.r is null"), "said", F.col("c.v"), F.concat_ws("\u0001", "p", F.coalesce("c.l", F.lit("")), F.coalesce(full(F.col("c.t")), F.lit("")))))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -364,7 +442,17 @@ def from_relations(rows: DataFrame, onto_id: Column) -> Ontology:
     r = save(rows.withColumn(O, onto_id), "relations")  # every table reads it
     is_class, is_prop = F.col("kind") == "class", F.col("kind").isin("objectProperty", "dataProperty", "annotationProperty")
     rel = lambda *k: r.where(F.col("relation").isin(*k))
-    notes = _numbered(r.where((F.col("relation") == "label") | is_named(F.col("relation"))).withColumn("_k", F.struct("lang", "value")), [O, "iri", "relation"], "_k").withColumnRenamed("value", "text")
+    part = lambda n: F.split_part("lang", F.lit("\u0001"), F.lit(n))
+    # what elements of any name say, by what their property is declared as
+    props = rel("declared").where(is_prop).groupBy(O, F.col("iri").alias("prop")).agg(F.collect_set("kind").alias("kinds"))
+    any_ = save(rel("stated", "said").withColumn("prop", part(1)).join(props, [O, "prop"]), "any")
+    having = lambda kind, relation: any_.where(F.array_contains("kinds", kind) & (F.col("relation") == relation))
+    on_ind = F.col("kind") == "individual"
+    links = having("objectProperty", "stated").where(on_ind).select(O, F.col("iri").alias("ind"), "prop", F.col("value").alias("target"))
+    values = having("dataProperty", "said").where(on_ind).select(O, F.col("iri").alias("ind"), "prop", "value", part(3).alias("datatype"))
+    own_notes = any_.where(F.array_contains("kinds", "annotationProperty")).select(O, "iri", "kind", F.col("prop").alias("relation"), "value", F.when(F.col("relation") == "said", part(2)).otherwise("").alias("lang"))
+    noted = r.where((F.col("relation") == "label") | is_named(F.col("relation"))).unionByName(own_notes)
+    notes = _numbered(noted.withColumn("_k", F.struct("lang", "value")), [O, "iri", "relation"], "_k").withColumnRenamed("value", "text")
     raw = F.when(F.col("lang") != "", F.concat("text", F.lit("@"), "lang")).otherwise(F.col("text"))
     zero = F.lit(0).alias("ord")
     none = lambda name: rows.sparkSession.createDataFrame([], SCHEMAS[name])
@@ -379,8 +467,8 @@ def from_relations(rows: DataFrame, onto_id: Column) -> Ontology:
         prop_flag=_shaped("prop_flag", rel("flag").where(is_prop).select(O, F.col("iri").alias("prop"), F.col("value").alias("flag"))),
         prop_chain=none("prop_chain"),
         type_assert=_shaped("type_assert", rel("type").where("kind = 'individual'").select(O, F.col("iri").alias("ind"), F.col("value").alias("class"))),
-        obj_assert=_shaped("obj_assert", rel("object").select(O, F.col("iri").alias("ind"), F.col("lang").alias("prop"), F.col("value").alias("target"))),
-        data_assert=_shaped("data_assert", rel("data").select(O, F.col("iri").alias("ind"), F.split_part("lang", F.lit("\u0001"), F.lit(1)).alias("prop"), "value", F.split_part("lang", F.lit("\u0001"), F.lit(2)).alias("datatype"))),
+        obj_assert=_shaped("obj_assert", links, rel("object").select(O, F.col("iri").alias("ind"), F.col("lang").alias("prop"), F.col("value").alias("target"))),
+        data_assert=_shaped("data_assert", values, rel("data").select(O, F.col("iri").alias("ind"), part(1).alias("prop"), "value", part(2).alias("datatype"))),
     )
 
 

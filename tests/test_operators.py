@@ -417,3 +417,39 @@ def test_convert_finds_the_syntax(spark, tmp_path):
     assert convert.format_of(spark, str(tmp_path / "1")) in ("functional", "manchester")  # no header there: by extension
     with pytest.raises(ValueError, match="no writer"):
         convert.write(x, str(tmp_path / "z"), "owl-xml")
+
+
+RDF_XML = '''<?xml version="1.0"?>
+<rdf:RDF xmlns="http://d/onto#"
+     xmlns:ex="http://ex/"
+     xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#">
+<owl:Ontology rdf:about="http://o"/>
+<owl:Class rdf:about="#A"><rdfs:label xml:lang="en">a</rdfs:label><note>007</note><ex:Note xml:lang="de">x &amp; y</ex:Note><ex:note rdf:resource="#B"/>
+<rdfs:subClassOf rdf:resource="B"/><rdfs:subClassOf><owl:Restriction><owl:onProperty rdf:resource="#p"/><owl:someValuesFrom rdf:resource="#B"/></owl:Restriction></rdfs:subClassOf></owl:Class>
+<owl:Class rdf:ID="B"/>
+<owl:ObjectProperty rdf:about="ex:p"/><owl:DatatypeProperty rdf:about="http://d/onto#d"/>
+<owl:AnnotationProperty rdf:about="#note"/><owl:AnnotationProperty rdf:about="http://ex/Note"/><owl:AnnotationProperty rdf:about="http://ex/note"/>
+<owl:NamedIndividual rdf:about="#i"><rdf:type rdf:resource="#A"/><ex:p rdf:resource="#j"/><ex:p>text</ex:p><d rdf:datatype="http://x#int">1.10</d><d>z</d><ex:unknown>q</ex:unknown></owl:NamedIndividual>
+</rdf:RDF>
+'''
+
+
+def test_rdfxml_names_and_properties_of_any_name(spark, tmp_path):
+    from termweave.sources import tables
+
+    (tmp_path / "a.rdf").write_text(RDF_XML)
+    x = tables.from_relations(tables.rdfxml(spark, str(tmp_path), "http://unused"), F.lit("o"))
+    d = "http://d/onto#"
+    assert {(d + "A", "class"), (d + "B", "class"), (d + "d", "dataProperty"), (d + "i", "individual"), ("http://ex/p", "objectProperty")} <= set(rows(x.entity.drop("onto_id")))
+    assert rows(x.annotation.select("prop", "text", "lang")) == [("http://d/onto#note", "007", ""), ("http://ex/Note", "x & y", "de"), ("http://ex/note", d + "B", "")]
+    assert rows(x.class_edge.select("sub", "sup")) == [(d + "A", d + "B")]
+    assert rows(x.class_expr.select("iri", "expr")) == [(d + "A", f"{d}p some {d}B")]
+    assert rows(x.obj_assert.drop("onto_id")) == [(d + "i", "http://ex/p", d + "j")]
+    assert rows(x.data_assert.drop("onto_id")) == [(d + "i", d + "d", "1.10", "http://x#int"), (d + "i", d + "d", "z", "")]
+    bases = {"a": 'xml:base="http://base"', "b": 'xmlns="http://dflt#"', "c": "", "d": ""}
+    for name, attr in bases.items():
+        onto = '<owl:Ontology rdf:about="http://self"/>' if name != "d" else ""
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.rdf").write_text(f'<rdf:RDF {attr}>{onto}<owl:Class rdf:about="#A"/></rdf:RDF>')
+    got = {n: tables.xml_heads(spark, str(tmp_path / n), "http://given").head()["base"] for n in bases}
+    assert got == {"a": "http://base", "b": "http://dflt", "c": "http://self", "d": "http://given"}
