@@ -5,11 +5,13 @@ Each is a function over rows that serves a batch and a stream; the stateful one
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from termweave.functions.expressions import sctid
 
@@ -99,23 +101,100 @@ def history(events: DataFrame, step: Callable = navigate, depth: int = DEPTH) ->
     return rows.repartition("key").sortWithinPartitions("key", "ts", "seq").mapInPandas(replay, HISTORY)
 
 
-def history_stream(events: DataFrame, step: Callable = navigate, depth: int = DEPTH) -> DataFrame:
-    """T04, stream: as history(), the state kept for each key between batches; a batch's events in order of time."""
-    state_type = "back array<string>, forward array<string>, now string"
+class Stack:
+    """A list kept as positions in a state map: what a batch doesn't touch is neither read nor written."""
 
-    def replay(key, frames, state):
-        kept = state.get if state.exists else ([], [], None)
-        own = {"back": list(kept[0]), "forward": list(kept[1]), "now": kept[2]}
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+    def __init__(self, state, first: int, end: int):
+        self.state, self.first, self.end = state, first, end
+        self.own: dict[int, str | None] = {}
+        self.gone: set[int] = set()
+
+    def __len__(self) -> int:
+        return self.end - self.first
+
+    def __getitem__(self, i: int) -> str | None:
+        at = self.end + i
+        return self.own[at] if at in self.own else self.state.getValue((at,))[0]
+
+    def append(self, value: str | None) -> None:
+        self.own[self.end] = value
+        self.end += 1
+
+    def _drop(self, at: int) -> None:
+        self.own.pop(at, None)
+        self.gone.add(at)
+
+    def pop(self) -> str | None:
+        value = self[-1]
+        self.end -= 1
+        self._drop(self.end)
+        return value
+
+    def __delitem__(self, cut: slice) -> None:
+        """del stack[:-n]: the oldest go until n are left."""
+        while len(self) > -cut.stop:
+            self._drop(self.first)
+            self.first += 1
+
+    def clear(self) -> None:
+        while len(self):
+            self.end -= 1
+            self._drop(self.end)
+
+    def save(self) -> None:
+        for at in self.gone - self.own.keys():
+            if self.state.containsKey((at,)):
+                self.state.removeKey((at,))
+        for at, value in self.own.items():
+            self.state.updateValue((at,), (value,))
+
+
+class Replay(StatefulProcessor):
+    """The state of one key's history: two stacks, their bounds and the current value; it goes when idle for idle_ms."""
+
+    def __init__(self, step: Callable, depth: int, idle_ms: int | None):
+        self.step, self.depth, self.idle_ms = step, depth, idle_ms
+
+    def init(self, handle) -> None:
+        stack = lambda name: handle.getMapState(name, "at long", "value string", self.idle_ms)
+        self.back, self.forward = stack("back"), stack("forward")
+        self.bounds = handle.getValueState("bounds", "b0 long, b1 long, f0 long, f1 long, now string", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        b0, b1, f0, f1, now = self.bounds.get() if self.bounds.exists() else (0, 0, 0, 0, None)
+        back, forward = Stack(self.back, b0, b1), Stack(self.forward, f0, f1)
+        state = {"back": back, "forward": forward, "now": now}
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
         out = []
-        for seq, action, value in zip(rows["seq"], rows["action"], rows["value"]):
-            now = step(own, action, value, depth)
-            out.append((key[0], seq, now, len(own["back"]), len(own["forward"])))
-        state.update((own["back"], own["forward"], own.get("now")))
+        for seq, action, value in zip(batch["seq"], batch["action"], batch["value"]):
+            current = self.step(state, action, value, self.depth)
+            out.append((key[0], seq, current, len(back), len(forward)))
+        back.save()
+        forward.save()
+        self.bounds.update((back.first, back.end, forward.first, forward.end, state["now"]))
         yield pd.DataFrame(out, columns=["key", "seq", "current", "n_back", "n_forward"])
 
+
+def history_stream(events: DataFrame, step: Callable = navigate, depth: int = DEPTH, idle_ms: int | None = None) -> DataFrame:
+    """T04, stream: as history(), the state kept for each key between batches; a batch's events in order of time.
+
+    Each batch reads and writes only the places of the stacks that its events touch, and a key that is
+    idle for idle_ms is forgotten.  The state is in RocksDB: start the query with on_rocksdb(), as drain() does.
+    """
     rows = events.select(F.col("key").cast("string").alias("key"), "ts", "seq", "action", "value")
-    return rows.groupBy("key").applyInPandasWithState(replay, HISTORY, state_type, "append", "NoTimeout")
+    return rows.groupBy("key").transformWithStateInPandas(Replay(step, depth, idle_ms), HISTORY, "Append", "None" if idle_ms is None else "ProcessingTime")
+
+
+@contextlib.contextmanager
+def on_rocksdb(spark: SparkSession):
+    """Streaming queries started inside keep their state in RocksDB; the session's setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def route(messages: DataFrame, base: str = "http://snomed.info/id/") -> DataFrame:
@@ -136,6 +215,7 @@ def merge_feed(feed: DataFrame, apply: Callable[[DataFrame, int], None], checkpo
 
 def drain(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a streaming query over what is there into a Parquet table and read it."""
-    q = rows.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with on_rocksdb(rows.sparkSession):
+        q = rows.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

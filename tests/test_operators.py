@@ -453,3 +453,65 @@ def test_rdfxml_names_and_properties_of_any_name(spark, tmp_path):
         (tmp_path / name / "x.rdf").write_text(f'<rdf:RDF {attr}>{onto}<owl:Class rdf:about="#A"/></rdf:RDF>')
     got = {n: tables.xml_heads(spark, str(tmp_path / n), "http://given").head()["base"] for n in bases}
     assert got == {"a": "http://base", "b": "http://dflt", "c": "http://self", "d": "http://given"}
+
+
+class _Map:
+    """A state map that counts what it is asked for."""
+
+    def __init__(self):
+        self.kept, self.asked = {}, 0
+
+    def getValue(self, at):
+        self.asked += 1
+        return self.kept[at]
+
+    def updateValue(self, at, value):
+        self.kept[at] = value
+
+    def containsKey(self, at):
+        return at in self.kept
+
+    def removeKey(self, at):
+        del self.kept[at]
+
+
+def test_stacks_touch_what_changes():
+    import random
+
+    state, first, end, plain = _Map(), 0, 0, []
+    for seed in range(200):
+        rng, stack = random.Random(seed), flows.Stack(state, first, end)
+        for _ in range(rng.randrange(6)):
+            what = rng.choice(["append", "append", "pop", "cut", "clear"] if seed % 10 == 0 else ["append", "append", "pop"])
+            if what == "append":
+                stack.append(str(seed)), plain.append(str(seed))
+            elif what == "pop" and plain:
+                assert stack.pop() == plain.pop()
+            elif what == "cut":
+                del stack[:-5]
+                del plain[:-5]
+            elif what == "clear":
+                stack.clear(), plain.clear()
+        assert len(stack) == len(plain) and (not plain or stack[-1] == plain[-1])
+        stack.save()
+        first, end = stack.first, stack.end
+        assert sorted(state.kept) == [(i,) for i in range(first, end)] and [state.kept[k][0] for k in sorted(state.kept)] == plain
+    assert state.asked < 600
+
+
+def test_history_state_is_restored_after_a_restart(spark, tmp_path):
+    """Two runs over one checkpoint give what one replay of all events gives."""
+    import datetime
+
+    at = lambda i: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i)
+    acts = ["push", "push", "undo", "push", "undo", "undo", "redo", "redo", "push", "clear", "undo", "push", "push", "undo", "redo"]
+    events = [(f"k{k}", at(i), i, a, f"v{i % 4}") for k in range(3) for i, a in enumerate(acts)]
+    schema = "key string, ts timestamp, seq long, action string, value string"
+    source = str(tmp_path / "in")
+    for step in (flows.navigate, flows.edit):
+        got = None
+        for part in (0, 1):
+            spark.createDataFrame([e for e in events if (e[2] >= 7) == bool(part)], schema).coalesce(1).write.mode("overwrite" if not part else "append").parquet(source)
+            rows_ = flows.history_stream(spark.readStream.schema(schema).parquet(source), step, 3)
+            got = flows.drain(rows_, str(tmp_path / f"out-{step.__name__}"), str(tmp_path / f"log-{step.__name__}"))
+        assert rows(got) == rows(flows.history(spark.createDataFrame(events, schema), step, 3))
