@@ -515,3 +515,12 @@ def test_history_state_is_restored_after_a_restart(spark, tmp_path):
             rows_ = flows.history_stream(spark.readStream.schema(schema).parquet(source), step, 3)
             got = flows.drain(rows_, str(tmp_path / f"out-{step.__name__}"), str(tmp_path / f"log-{step.__name__}"))
         assert rows(got) == rows(flows.history(spark.createDataFrame(events, schema), step, 3))
+
+
+def test_queries_on_a_kept_saturation(spark):
+    """Questions of several forms give the same with and without what is kept."""
+    x = animals(spark)
+    asked = [f"{B}Mammal and ({B}habitat some {B}Forest)", f"{B}lives some {B}Dry", f"{B}Animal", f"{B}Animal and {B}Rock", f"{B}new some {B}New"]
+    q = spark.createDataFrame([("o", str(i), e) for i, e in enumerate(asked)], "onto_id string, query_id string, expr string")
+    want = rows(reasoning.dl_query(x, q))
+    assert rows(reasoning.dl_query(x, q, reasoning.keep(x))) == want and len({r[1] for r in want}) >= 4
