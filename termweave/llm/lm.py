@@ -96,15 +96,14 @@ def _bundle(keys: np.ndarray, counts: np.ndarray, fan: np.ndarray | None = None,
     none = np.zeros(0, np.int64)
     fan, succ, more = (none if x is None else x for x in (fan, succ, more))
     head = np.array([len(keys), len(fan), len(succ)], "<i8").tobytes()
-    most = lambda c: np.minimum(c, 2**32 - 1)
-    return zstandard.ZstdCompressor(1).compress(head + _bytes(_gaps(keys), 8) + _bytes(most(counts), 4) + _bytes(fan, 4) + _bytes(succ, 8) + _bytes(most(more), 4))
+    return zstandard.ZstdCompressor(1).compress(head + _bytes(_gaps(keys), 8) + _bytes(counts, 8) + _bytes(fan, 4) + _bytes(succ, 8) + _bytes(more, 8))
 
 
 def _unbundle(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     n, m, k = map(int, raw[:24].view("<i8"))
     at, out = 24, []
-    for size, width in ((n, 8), (n, 4), (m, 4), (k, 8), (k, 4)):
+    for size, width in ((n, 8), (n, 8), (m, 4), (k, 8), (k, 8)):
         out.append(_numbers(raw[at : at + size * width], width))
         at += size * width
     return np.cumsum(out[0]), *(x.astype(np.int64) for x in out[1:])

@@ -243,3 +243,14 @@ def test_phrases_of_odd_rows(spark, odd):
     rows = [(r["text"], r["lang"]) for r in odd.collect()]
     assert sorted(tuple(r) for r in got.collect()) == plain_phrases(rows, 2, 2000)
     assert phrases.collocations(odd.where("false")).count() == 0
+
+
+# ---------------------------------------------------------------- 10
+
+
+def test_counts_of_more_than_32_bits_are_kept():
+    from termweave.llm import lm
+
+    keys, counts = np.array([3, 5], np.uint64), np.array([2**40, 7])
+    back = lm._unbundle(lm._bundle(keys, counts, np.array([1, 2]), np.array([9, 1, 4], np.uint64), np.array([2**33, 1, 6])))
+    assert [x.tolist() for x in back] == [[3, 5], [2**40, 7], [1, 2], [9, 1, 4], [2**33, 1, 6]]
