@@ -1,15 +1,15 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network in numpy.
 
-Words are runs of letters, digits or signs.  The VOCABULARY most frequent ones of the corpus (counted
-over all texts) have a vector each: the sum of the sparse random index vectors of their neighbours in
-all texts, known words or not (one pass, one partial matrix a task, added in Spark by block), scaled to
-unit length.  A document is pooled from its known words' vectors alone: their mean, their root mean
+Words are runs of letters, digits or signs, and every word has a vector of unit length.  That of the
+VOCABULARY most frequent ones of the corpus (counted over all texts) is the sum of the sparse random
+index vectors of their neighbours in all texts (one pass, one partial matrix a task, added in a tree of
+two levels by block); a rarer word, whose few neighbours would tell little, has its own index vector, a
+function of its hash.  A document is pooled from all its words' vectors alone: their mean, their root mean
 square, and the mean product of each with the one a few words later, which tells running text from
 lists and repetitions.  The network is fitted on at most SAMPLE labelled rows,
 those with the least hash of their id; a fifth of them only sets the temperature of the probabilities.
 
-Cases: null and empty texts, and texts without a known word, have a zero vector and get the network's
-score for it; null ids are kept and not held out; repeated rows are scored each; labels that are null
+Cases: null and empty texts have a zero vector and get the network's score for it; null ids are kept and not held out; repeated rows are scored each; labels that are null
 or not 0/1 are left out, several labels of one id count as their minimum; with labels of one kind only
 the score is their smoothed share, with none 0.5; empty tables give an empty result.  Other columns are
 ignored.
@@ -20,13 +20,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, save, scratch
 from .kernels import U64, class_runs, mix, slices, text_bytes
 
-#: Words with a vector at most, and words that a task gathers before it sends partial counts.
+#: Words with a vector of their neighbours, at most, and words that a task gathers before it sends partial counts.
 VOCABULARY, FLUSH = 1 << 15, 1_000_000
 DIM, NONZERO, WINDOW, BLOCKS = 48, 4, 2, 16
 #: Distances at which a word's vector is multiplied with a later one's, and numbers that describe a document.
@@ -98,9 +99,21 @@ def index_vectors(hashes: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.nda
     return (draws >> U64(32)).astype(np.int64) % DIM, (draws & U64(1)).astype(np.float32) * 2 - 1
 
 
+def own_vectors(hashes: np.ndarray) -> np.ndarray:
+    """The index vectors of words, scaled to unit length."""
+    place, sign = index_vectors(hashes)
+    v = np.zeros((len(hashes), DIM), np.float32)
+    np.add.at(v, (np.arange(len(hashes))[:, None], place), sign)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
 def word_vectors(docs: DataFrame, known: np.ndarray, text_col: str = "text") -> np.ndarray:
-    """A unit vector for each known word from all its neighbours in all texts, and a zero one at the end."""
+    """A unit vector for each known word from all its neighbours in all texts, and a zero one at the end.
+
+    Tasks' matrices are added in as many tasks as a shuffle has partitions, then their sums by block.
+    """
     size = -(-max(1, len(known)) // BLOCKS) * BLOCKS
+    fan = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BLOCKS)
 
     def gather(batches):
         whole, any_rows = np.zeros(size * DIM, np.float32), False
@@ -118,23 +131,28 @@ def word_vectors(docs: DataFrame, known: np.ndarray, text_col: str = "text") ->
                         for k in range(NONZERO):
                             np.add.at(whole, to + place[other, k][ok], sign[other, k][ok])
         if any_rows:
-            parts = whole.reshape(BLOCKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "part"])
+            slot = TaskContext.get().partitionId() % fan
+            parts = whole.astype("<f8").reshape(BLOCKS, -1)
+            for k in range(BLOCKS):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([slot], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], ["block", "slot", "part"])
 
     def add(batches):
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}  # whole numbers, whose sums are exact in any order
         for b in batches:
-            for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(p, "<f4")
-                total[k] = total[k] + part if k in total else part.astype(float)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in total.values()], pa.binary())], ["block", "part"])
-
-    parts = docs.select(text_col).mapInArrow(lean(gather), "block int, part binary")
-    summed = parts.repartition(BLOCKS, "block").mapInArrow(lean(add), "block int, part binary")
-    m = np.zeros((BLOCKS, size * DIM // BLOCKS), np.float32)
+            for k, slot, p in zip(*(c.to_pylist() for c in b.columns)):
+                part = np.frombuffer(p, "<f8")
+                total[k, slot] = total[k, slot] + part if (k, slot) in total else part
+        for (k, slot), v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([slot], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["block", "slot", "part"])
+
+    schema = "block int, slot int, part binary"
+    parts = docs.select(text_col).mapInArrow(lean(gather), schema)
+    if fan > 1:
+        parts = parts.repartition(BLOCKS * fan, "block", "slot").mapInArrow(lean(add), schema)
+    summed = parts.withColumn("slot", F.lit(0)).repartition(BLOCKS, "block").mapInArrow(lean(add), schema)
+    m = np.zeros((BLOCKS, size * DIM // BLOCKS))
     for r in summed.collect():  # BLOCKS rows, whatever the corpus
-        m[r["block"]] = np.frombuffer(r["part"], "<f4")
+        m[r["block"]] = np.frombuffer(r["part"], "<f8")
     m = m.reshape(size, DIM)[: len(known)]
     m = np.sign(m) * np.log1p(np.abs(m))
     m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
@@ -152,6 +170,8 @@ def _pooled(col, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         for i in range(0, len(row), 1 << 16):  # few vectors in memory at a time, whatever a text's length
             j = min(len(row), i + (1 << 16))
             part = vectors[row[i : j + max(LAGS)]]
+            rare = np.flatnonzero(row[i : j + max(LAGS)] == len(known))
+            part[rare] = own_vectors(h[i : j + max(LAGS)][rare])
             own = part[: j - i]
             cut = np.clip(at - i, 0, j - i)
             some = np.flatnonzero(np.diff(cut))
@@ -163,7 +183,7 @@ def _pooled(col, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
                     dots = np.einsum("ij,ij->i", own[:m], part[lag : lag + m])
                     inside = text[i : i + m] == text[i + lag : i + lag + m]
                     sums[:, 2 * DIM + k] += np.bincount(text[i : i + m][inside], dots[inside], len(n)).astype(np.float32)
-        sums /= np.maximum(np.bincount(text[row < len(known)], minlength=len(n)), 1)[:, None]
+        sums /= np.maximum(n, 1)[:, None]
         sums[:, DIM : 2 * DIM] = np.sqrt(sums[:, DIM : 2 * DIM])
         out.append(sums)
     return np.concatenate(out) if out else np.zeros((0, WIDTH), np.float32)

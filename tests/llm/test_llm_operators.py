@@ -92,15 +92,41 @@ def test_word_vectors_and_pooling_by_brute_force(spark):
         want[w] = v / max(np.linalg.norm(v), 1e-9)
     got = quality.word_vectors(df, known)
     assert np.allclose(got[:-1], [want[w] for w in sorted(top, key=code.get)], atol=1e-5) and not got[-1].any()
+    for w in count:  # rarer words have their own index vectors
+        if w not in want:
+            want[w] = np.zeros(quality.DIM)
+            np.add.at(want[w], place[w], sign[w])
+            want[w] /= np.linalg.norm(want[w])
     pooled = quality._pooled(pa.array(texts), known, got)
     zero = np.zeros(quality.DIM)
     for t, row in zip(runs, pooled):
-        v = [want.get(w, zero) for w in t]
-        n = max(1, sum(w in want for w in t))
+        v = [want[w] for w in t]
+        n = max(1, len(t))
         lag = [sum(float(a @ b) for a, b in zip(v, v[k:])) / n for k in quality.LAGS]
         assert np.allclose(row, [*(sum(v, zero) / n), *np.sqrt(sum((x * x for x in v), zero) / n), *lag], atol=1e-5)
 
 
+def test_word_vectors_are_the_same_however_parts_are_added(spark):
+    df = table(spark, "documents").select("text").repartition(12)
+    known = quality.vocabulary(df, 500)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for n in (8, 64):  # one level, and two
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(quality.word_vectors(df, known))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (got[0] == got[1]).all() and np.abs(got[0]).max() > 0
+
+
+def test_texts_of_rare_words_alone_have_features(spark):
+    known = np.zeros(0, np.uint64)
+    rows = quality._pooled(pa.array(["xqzv wrtk", "plmq", ""]), known, np.zeros((1, quality.DIM), np.float32))
+    assert np.abs(rows[0]).max() > 0 and np.abs(rows[1]).max() > 0 and not rows[2].any()
+    assert not np.allclose(rows[0], rows[1])
+
+
 def test_quality_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (3, None), (4, 7), (99, 0)], "doc_id long, quality int")
     got = quality.score(odd, labels).collect()
