@@ -55,6 +55,27 @@ def words_with(words: DataFrame, tokens: DataFrame) -> DataFrame:
     return keyed.select("word", F.explode(F.array_distinct(parts)).alias("token")).join(tokens, "token").select("word", "token")
 
 
+def met_by(q: DataFrame, entity: DataFrame) -> DataFrame:
+    """onto_id, iri, query_id, score: entities (onto_id, iri, labels, held, others stay) that hold all tokens of a query.
+
+    A query meets the entities that hold its rarest token; the score is null where no label holds all tokens.
+    """
+    each = entity.withColumn("token", F.explode("held"))
+    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    asked = q.withColumn("token", F.explode("want")).join(often, "token").groupBy("query_id", "q", "tokens", "want").agg(F.count("*").alias("found"), F.min(F.struct("n", "token"))["token"].alias("token"))
+    met = each.join(asked.where(F.col("found") == F.size("want")), "token").where(F.forall("want", lambda t: F.array_contains("held", t)))
+    whole = F.transform(F.filter("labels", lambda one: F.forall("want", lambda t: F.array_contains(one["held"], t))), lambda one: label_score(one["text"], F.col("q"), F.col("tokens")))
+    return met.select(*[c for c in entity.columns if c not in ("labels", "held")], "query_id", F.array_max(whole).alias("score"))
+
+
+def best_of(scored: DataFrame, names: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, iri, score: the k best of scored rows and of names (onto_id, iri, q) equal to the query."""
+    exact = names.join(q, "q").select("onto_id", "query_id", "iri", F.lit(200.0).alias("score"))
+    best = scored.unionByName(exact).groupBy("onto_id", "query_id", "iri").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "iri"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "iri", "score")
+
+
 def search(x: Ontology, queries: DataFrame, k: int = 50) -> DataFrame:
     """query_id, rank, iri, score: entities whose labels together hold every token, the best k of a query.
 
@@ -69,18 +90,11 @@ def search(x: Ontology, queries: DataFrame, k: int = 50) -> DataFrame:
     hits = save(words_with(post.select("word").distinct(), tokens), "hits")
     labels = post.join(hits, "word").groupBy("onto_id", "iri", "text").agg(F.collect_set("token").alias("held"))
     entity = save(labels.groupBy("onto_id", "iri").agg(F.collect_list(F.struct("text", "held")).alias("labels"), F.array_distinct(F.flatten(F.collect_list("held"))).alias("held")), "held")
-    each = entity.withColumn("token", F.explode("held"))
-    often = each.groupBy("token").agg(F.count("*").alias("n"))
-    asked = q.withColumn("token", F.explode("want")).join(often, "token").groupBy("query_id", "q", "tokens", "want").agg(F.count("*").alias("found"), F.min(F.struct("n", "token"))["token"].alias("token"))
-    met = each.join(asked.where(F.col("found") == F.size("want")), "token").where(F.forall("want", lambda t: F.array_contains("held", t)))
-    whole = F.transform(F.filter("labels", lambda one: F.forall("want", lambda t: F.array_contains(one["held"], t))), lambda one: label_score(one["text"], F.col("q"), F.col("tokens")))
-    per = met.select("onto_id", "query_id", "iri", F.array_max(whole).alias("score"))
+    per = met_by(q, entity)
     size = texts.groupBy("onto_id", "iri").agg(F.avg(F.length("text")).alias("n"))
     scored = per.join(size, ["onto_id", "iri"]).select("onto_id", "query_id", "iri", F.coalesce("score", 1 - F.col("n") * 0.001).alias("score"))
-    exact = x.entity.select("onto_id", "iri", F.lower(local_name(F.col("iri"))).alias("q")).join(q, "q").select("onto_id", "query_id", "iri", F.lit(200.0).alias("score"))
-    best = scored.unionByName(exact).groupBy("onto_id", "query_id", "iri").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "iri"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "iri", "score")
+    names = x.entity.select("onto_id", "iri", F.lower(local_name(F.col("iri"))).alias("q"))
+    return best_of(scored, names, q, k)
 
 
 def exact_label(x: Ontology, wanted: DataFrame) -> DataFrame:

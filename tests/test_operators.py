@@ -8,7 +8,7 @@ from termweave.functions import expressions as E
 from termweave.functions.classexpr import _rows
 from termweave.model import NOTHING, SCHEMAS, Ontology, term_key
 from termweave.operators import patterns as P
-from termweave.operators import reasoning, search
+from termweave.operators import labelindex, reasoning, search
 from termweave.operators import versions as V
 from termweave.sources import scans
 from termweave.streaming import flows
@@ -187,6 +187,41 @@ def test_search_order(spark):
     assert [i for i, _ in got["b"]] == ["1", "3"] and "c" not in got
 
 
+def test_written_label_index_follows_changes(spark, tmp_path):
+    """After each change the index answers as a search of the whole ontology does; folders may lose all their rows."""
+    from termweave.model import SKOS
+
+    q = spark.createDataFrame([(s, s) for s in ("liver", "lobe LIVER", "  ", "e", "iv", "x", "delivery", "ünï", "gone", "word word", "3", "a%b")] + [("none", None)], "query_id string, query string")
+    label = {"1": ["liver lobe"], "2": ["delivery"], "3": ["Liver", "x lobe"], "4": ["Ünïcode a%b", None, ""], "5": ["gone for good"], "liver": []}
+
+    def make(labels):
+        return onto(spark, entity=[(B + c, "class") for c in labels], label=[(B + c, "en", i, t) for c, ts in labels.items() for i, t in enumerate(ts)], annotation=[(B + c, SKOS + "altLabel", 0, f"word {c}@en", f"word {c}", "en") for c in labels])
+
+    rows = lambda d: sorted(tuple(r)[:3] + (round(r["score"], 6),) for r in d.collect())
+    old = make(label)
+    index = labelindex.build(old, labelindex.LabelIndex(spark, f"file://{tmp_path}/index", 8))
+    assert rows(labelindex.search(index, q)) == rows(search.search(old, q)) != []
+    for changed in ({**label, "5": ["liver"], "6": ["new lobe of a delivery"]}, {"2": ["delivery"], "liver": ["x"]}, {}):
+        new = make(changed)
+        touched = [("o", B + c) for c in {*label, *changed} if label.get(c) != changed.get(c)]
+        touched = spark.createDataFrame(touched, "onto_id string, iri string")
+        for _ in range(2 if len(changed) > 2 else 1):  # an update may be run again
+            labelindex.update(index, old, new, touched)
+        assert rows(labelindex.search(index, q)) == rows(search.search(new, q))
+        old, label = new, changed
+    assert index.read("postings").where("word is not null").isEmpty()
+
+
+def test_label_search_reads_the_folders_of_its_words(spark, tmp_path):
+    x = onto(spark, entity=[(f"{B}{i}", "class") for i in range(200)], label=[(f"{B}{i}", "en", 0, f"thing{i} kind{i % 7}") for i in range(200)])
+    index = labelindex.build(x, labelindex.LabelIndex(spark, f"file://{tmp_path}/index", 32))
+    post = index.read("postings", index.numbers(spark.createDataFrame([("kind3",)], "word string")))
+    assert "PartitionFilters: [isnotnull(part" in post._jdf.queryExecution().executedPlan().toString()
+    assert post.select("part").distinct().count() == 1
+    got = labelindex.search(index, spark.createDataFrame([("q", "kind3 thing1")], "query_id string, query string"))
+    assert {int(r["iri"].split("/")[-1]) for r in got.collect()} == {i for i in range(200) if i % 7 == 3 and "thing1" in f"thing{i}"}
+
+
 @pytest.mark.parametrize(
     "old, new, want",
     [(["a", "b", "c"], ["a", "x", "c"], (False, 1, 2, 2)), (["a"], ["a"], (True, 0, 0, 0)), (["a", "b"], ["a", "b", "c"], (False, 2, 2, 3)), (["a", "a", "a"], ["a"], (False, 1, 3, 1)), ([], ["z"], (False, 0, 0, 1))],
