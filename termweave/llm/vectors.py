@@ -197,17 +197,17 @@ def whole(col: str, scale: int) -> Column:
 
 
 def pivot_table(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """vec_id, x and d, the distances of every vector (vec_id, x) to all pivots; shorter vectors count as padded."""
+    """rid, vec_id, x and d, the distances of every vector (rid, vec_id, x) to all pivots; shorter vectors count as padded."""
 
     def run(batches):
         for b in batches:
-            m = matrix(b.column(1), pivots.shape[1])
+            m = matrix(b.column(2), pivots.shape[1])
             piv = np.zeros((len(pivots), m.shape[1]))
             piv[:, : pivots.shape[1]] = pivots
             d = np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] + (piv * piv).sum(1) - 2 * m @ piv.T)).astype("<f4")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in d], pa.binary())], ["vec_id", "x", "d"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in d], pa.binary())], ["rid", "vec_id", "x", "d"])
 
-    return rows.mapInArrow(lean(run), "vec_id long, x array<bigint>, d binary")
+    return rows.select("rid", "vec_id", "x").mapInArrow(lean(run), "rid long, vec_id long, x array<bigint>, d binary")
 
 
 def _search(k: int, pivots: int):
@@ -221,13 +221,13 @@ def _search(k: int, pivots: int):
 
     def run(group: pa.Table) -> pa.Table:
         asks = np.array(group.column("ask").to_pylist(), bool)
-        ids = group.column("vec_id").to_numpy()
+        ids, rids = group.column("vec_id").to_numpy(), group.column("rid").to_numpy()
         exact = matrix(group.column("x"))
         d = np.frombuffer(b"".join(group.column("d").to_pylist()), "<f4").reshape(len(ids), pivots)
         floor = group.column("floor").to_numpy(zero_copy_only=False).astype(float)[asks]
-        c_id, c, q_id, q = ids[~asks], exact[~asks], ids[asks], exact[asks]
+        c_id, c, q_id, q, c_rid, q_rid = ids[~asks], exact[~asks], ids[asks], exact[asks], rids[~asks], rids[asks]
         order = np.argsort(c_id, kind="stable")
-        c_id, c = c_id[order], c[order]
+        c_id, c, c_rid = c_id[order], c[order], c_rid[order]
         to_c, to_q = np.ascontiguousarray(d[~asks][order].T), d[asks].T
         most = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1]
         c2, q2 = (c * c).sum(1), (q * q).sum(1)
@@ -242,12 +242,12 @@ def _search(k: int, pivots: int):
             low = np.maximum(0, apart - 1e-5 * (root_c[some] + root_q[n]) - 1e-5).astype(float)  # rounding of the distances
             return (c2[some] + q2[n] - low * low) / 2 + 1e-9 * (c2[some] + q2[n]) + 1e-6
 
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for n in range(len(q)):
             floor_n = floor[n] if floor[n] == floor[n] else -np.inf
             every = slice(None)
             apart = np.abs(to_c[0] - to_q[0, n])
-            some = np.flatnonzero((bounds(n, every, 1, min(SIEVE, pivots), apart) >= floor_n) & (c_id != q_id[n]))
+            some = np.flatnonzero((bounds(n, every, 1, min(SIEVE, pivots), apart) >= floor_n) & (c_rid != q_rid[n]))
             bound = bounds(n, some, min(SIEVE, pivots), pivots, apart[some])
             best_s, best_i = np.zeros(0, exact_kind), np.zeros(0, np.int64)
             size, todo, seen = STEP, np.flatnonzero(bound >= floor_n), 0
@@ -272,7 +272,8 @@ def _search(k: int, pivots: int):
             out[1] += [*best_i.tolist(), None]
             out[2] += [*(int(s) for s in best_s), None]
             out[3] += [0] * len(best_i) + [seen]  # one row tells the work
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64()), "evaluated": pa.array(out[3], pa.int64())})
+            out[4] += [q_rid[n]] * (len(best_i) + 1)
+        return pa.table({"rid": pa.array(out[4], pa.int64()), "query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64()), "evaluated": pa.array(out[3], pa.int64())})
 
     return run
 
@@ -281,13 +282,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     """query_id, rank, vec_id, score: the k rows of largest integer inner product with each query; and evaluated,
     the number of candidates whose product with the query was formed.
 
-    Queries are the ids divisible by `every`; candidates all rows but those of the query's own id.
+    Queries are the rows whose id is divisible by `every`; candidates all rows but the query's own.
     Distances to pivots, the PIVOTS rows with the least hash of their id, are a table made once.  Both
     sides are dealt into blocks of bounded size.  Every query meets one block of candidates first; the
     k-th score found there is its floor in all other blocks, each pair of which is one group.
 
-    Cases: a null vector, null or non-finite components, or a null id take no part; a query id with
-    several rows is asked once, with its least vector; shorter vectors count as padded with zeros;
+    Cases: a null vector, null or non-finite components, or a null id take no part; an id that several
+    rows hold is asked once for each, and each finds the others; shorter vectors count as padded with zeros;
     equal scores go to the smaller id; an empty table gives an empty result.
     """
     with scratch(vectors.sparkSession):
@@ -296,43 +297,44 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
 
 def _top_k(vectors: DataFrame, k: int, every: int, scale: int, id_col: str, vec_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
-    rows = save(rows.select("vec_id", whole("v", scale).alias("x")), "whole")
+    # rows are told apart by a number that is written with them: ids may repeat
+    rows = save(rows.select(F.monotonically_increasing_id().alias("rid"), "vec_id", whole("v", scale).alias("x")), "whole")
     picked = [r["x"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()]
     width = max(map(len, picked), default=0)
     pivots = np.array([x + [0] * (width - len(x)) for x in picked], float).reshape(len(picked), width)
     table = save(pivot_table(rows, pivots), "pivots")
-    asks = save(table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("x", "d")).alias("_r")).select("vec_id", "_r.*"), "asks")
+    asks = save(table.where(F.col("vec_id") % every == 0), "asks")
     c_blocks, q_blocks = max(1, -(-table.count() // CANDIDATES)), max(1, -(-asks.count() // QUERIES))
-    block = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    block = lambda blocks: F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int")
     each = lambda first, last: F.explode(F.sequence(F.lit(first), F.lit(last - 1)))
     none = F.lit(None).cast("long").alias("floor")
-    left = table.select("vec_id", "x", "d", F.lit(False).alias("ask"), none, block(c_blocks).alias("cb"), each(0, q_blocks).alias("qb"))
+    left = table.select("rid", "vec_id", "x", "d", F.lit(False).alias("ask"), none, block(c_blocks).alias("cb"), each(0, q_blocks).alias("qb"))
 
     def met(first: int, last: int, asked: DataFrame) -> DataFrame:
-        right = asked.select("vec_id", "x", "d", F.lit(True).alias("ask"), "floor", each(first, last).alias("cb"), block(q_blocks).alias("qb"))
+        right = asked.select("rid", "vec_id", "x", "d", F.lit(True).alias("ask"), "floor", each(first, last).alias("cb"), block(q_blocks).alias("qb"))
         own = left.where(F.col("cb").between(first, last - 1)).unionByName(right)
-        return save(own.groupBy("cb", "qb").applyInArrow(_search(k, len(pivots)), "query_id long, vec_id long, score long, evaluated long"), "best")
+        return save(own.groupBy("cb", "qb").applyInArrow(_search(k, len(pivots)), "rid long, query_id long, vec_id long, score long, evaluated long"), "best")
 
     best = met(0, 1, asks.withColumn("floor", none))
     if c_blocks > 1:
-        floors = best.where("vec_id is not null").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-        told = asks.join(floors.select(F.col("query_id").alias("vec_id"), "floor"), "vec_id", "left")
+        floors = best.where("vec_id is not null").groupBy("rid").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+        told = asks.join(floors.select("rid", "floor"), "rid", "left")
         best = best.unionByName(met(1, c_blocks, told))
-    work = best.groupBy("query_id").agg(F.sum("evaluated").alias("evaluated"))
-    ranked = best.where("vec_id is not null").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
-    return ranked.where(F.col("rank") <= k).drop("evaluated").join(work, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "evaluated")
+    work = best.groupBy("rid").agg(F.sum("evaluated").alias("evaluated"))
+    ranked = best.where("vec_id is not null").withColumn("rank", F.row_number().over(W.partitionBy("rid").orderBy(F.col("score").desc(), "vec_id")))
+    return ranked.where(F.col("rank") <= k).drop("evaluated").join(work, "rid").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "evaluated")
 
 
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -561,6 +561,23 @@ def test_top_k_in_blocks(spark, monkeypatch):
     test_top_k(spark)
 
 
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    """Every row of a repeated id is a query, and a candidate of the others; equal rows count each."""
+    monkeypatch.setattr(vectors, "CANDIDATES", 60)
+    monkeypatch.setattr(vectors, "QUERIES", 16)
+    r = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in r.normal(size=6)]) for i in [*range(150), *[40] * 60, *[7] * 30]]
+    rows += rows[40:41] * 5
+    whole = [np.floor(64 * np.array(v)).astype(int) for _, v in rows]
+    want = []
+    for a, (i, _) in enumerate(rows):
+        if i % 20 == 0:
+            best = sorted((-int(whole[a] @ whole[b]), j) for b, (j, _) in enumerate(rows) if b != a)[:20]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    got = vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want)
+
+
 def test_floors_and_pivots_spare_products(spark, monkeypatch):
     """Clustered vectors in few dimensions: most candidates are never multiplied with a query."""
     monkeypatch.setattr(vectors, "CANDIDATES", 500)
