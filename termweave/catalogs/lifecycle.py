@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from termweave.catalogs import query
 from termweave.catalogs.graph import CUSTOMER, onto
 from termweave.model import BASE, Ontology, local_name, table
+from termweave.operators import stored as K
 from termweave.operators import versions as V
+from termweave.plans.tables import shared_path
 
 B = BASE
 
@@ -76,17 +78,46 @@ def v03(spark, sf_dir):
     return V.changed_region(old, new)
 
 
-@query("v04_changed_entities", f"SELECT {CUSTOMER} AS iri, c_custkey % 10 IN (0, 2) AS logical, c_custkey % 10 IN (0, 1) AS textual FROM customer WHERE c_custkey % 10 IN (0, 1, 2)")
+def kept_lines(spark, sf_dir) -> tuple[K.StoredLines, K.StoredLines]:
+    return tuple(K.write_lines(d, K.StoredLines(spark, shared_path(spark, "lines"))) for d in documents(spark, sf_dir))
+
+
+@query("v03_stored_region", LINE_SQL + "SELECT * FROM r")
+def v03_stored(spark, sf_dir):
+    """Both versions are kept in blocks of lines; blocks that agree by digest are not read."""
+    return K.changed_region(*kept_lines(spark, sf_dir))
+
+
+CHANGED_SQL = f"SELECT {CUSTOMER} AS iri, c_custkey % 10 IN (0, 2) AS logical, c_custkey % 10 IN (0, 1) AS textual FROM customer WHERE c_custkey % 10 IN (0, 1, 2)"
+
+
+@query("v04_stored_entities", CHANGED_SQL)
+def v04_stored(spark, sf_dir):
+    """Both versions are kept apart; their folders, then entities are compared by digest."""
+    old, new = (K.write(x, K.StoredOntology(spark, shared_path(spark, "version"))) for x in versions(spark, sf_dir))
+    return K.changed_entities(old, new).drop("onto_id")
+
+
+@query("v04_changed_entities", CHANGED_SQL)
 def v04(spark, sf_dir):
     return V.changed_entities(*versions(spark, sf_dir)).drop("onto_id")
 
 
-@query("v05_incremental_safe", LINE_SQL + ", z AS (SELECT r.path, identical, (SELECT coalesce(sum(length(t) + 1), 0) FROM o WHERE o.path = r.path AND n >= start_line AND n < old_end) AS a, (SELECT sum(length(t) + 1) FROM o WHERE o.path = r.path) AS aa, (SELECT coalesce(sum(length(t) + 1), 0) FROM m WHERE m.path = r.path AND n >= start_line AND n < new_end) AS b, (SELECT coalesce(sum(length(t) + 1), 1) FROM m WHERE m.path = r.path) AS bb FROM r) SELECT path, identical OR NOT ((a > 50 AND a / aa > 0.9) OR (b > 50 AND b / bb > 0.9)) AS safe FROM z")
+SAFE_SQL = LINE_SQL + ", z AS (SELECT r.path, identical, (SELECT coalesce(sum(length(t) + 1), 0) FROM o WHERE o.path = r.path AND n >= start_line AND n < old_end) AS a, (SELECT sum(length(t) + 1) FROM o WHERE o.path = r.path) AS aa, (SELECT coalesce(sum(length(t) + 1), 0) FROM m WHERE m.path = r.path AND n >= start_line AND n < new_end) AS b, (SELECT coalesce(sum(length(t) + 1), 1) FROM m WHERE m.path = r.path) AS bb FROM r) SELECT path, identical OR NOT ((a > 50 AND a / aa > 0.9) OR (b > 50 AND b / bb > 0.9)) AS safe FROM z"
+
+
+@query("v05_incremental_safe", SAFE_SQL)
 def v05(spark, sf_dir):
     old, new = documents(spark, sf_dir)
     return V.incremental_safe(old, new, V.changed_region(old, new), 0.9, 50)
 
 
+@query("v05_stored_safe", SAFE_SQL)
+def v05_stored(spark, sf_dir):
+    old, new = kept_lines(spark, sf_dir)
+    return K.incremental_safe(old, new, K.changed_region(old, new), 0.9, 50)
+
+
 @query("v06_affected_entities", LINE_SQL + f"SELECT r.path, '{B}customer/' || k AS iri FROM r JOIN o ON o.path = r.path AND NOT identical AND n >= start_line AND n < old_end")
 def v06(spark, sf_dir):
     old, new = documents(spark, sf_dir)
@@ -94,13 +125,27 @@ def v06(spark, sf_dir):
     return V.affected(owners, V.changed_region(old, new), "old_end")
 
 
-@query("v07_merge", f"SELECT {CUSTOMER} AS iri, CASE WHEN c_custkey % 10 = 1 THEN c_name || ' new' ELSE c_name END AS label, CASE WHEN c_custkey % 10 = 2 THEN 2 ELSE 1 END AS edges FROM customer WHERE c_custkey % 10 <> 0")
+MERGED_SQL = f"SELECT {CUSTOMER} AS iri, CASE WHEN c_custkey % 10 = 1 THEN c_name || ' new' ELSE c_name END AS label, CASE WHEN c_custkey % 10 = 2 THEN 2 ELSE 1 END AS edges FROM customer WHERE c_custkey % 10 <> 0"
+
+
+def merged(m: Ontology):
+    edges = m.class_edge.groupBy(F.col("sub").alias("iri")).agg(F.count("*").alias("edges"))
+    return m.entity.select("iri").join(m.label.select("iri", F.col("text").alias("label")), "iri").join(edges, "iri")
+
+
+@query("v07_merge", MERGED_SQL)
 def v07(spark, sf_dir):
     """The changed entities of the second version merged into the first give the second."""
     old, new = versions(spark, sf_dir)
-    m = V.merge(old, new, V.changed_entities(old, new).select("onto_id", "iri"))
-    edges = m.class_edge.groupBy(F.col("sub").alias("iri")).agg(F.count("*").alias("edges"))
-    return m.entity.select("iri").join(m.label.select("iri", F.col("text").alias("label")), "iri").join(edges, "iri")
+    return merged(V.merge(old, new, V.changed_entities(old, new).select("onto_id", "iri")))
+
+
+@query("v07_stored_merge", MERGED_SQL)
+def v07_stored(spark, sf_dir):
+    """As v07_merge, on a kept version; the next one shares the folders of untouched entities."""
+    old, new = versions(spark, sf_dir)
+    first = K.write(old, K.StoredOntology(spark, shared_path(spark, "version")))
+    return merged(K.merge(first, new, V.changed_entities(old, new).select("onto_id", "iri")).ontology())
 
 
 @query("v10_rename", f"SELECT CASE WHEN c_custkey % 10 = 1 THEN '{B}renamed/' || c_custkey ELSE {CUSTOMER} END AS iri, c_name AS label, 'p some ' || CASE WHEN c_custkey % 10 = 1 THEN '{B}renamed/' || c_custkey ELSE {CUSTOMER} END || ' and (x)' AS expr FROM customer")

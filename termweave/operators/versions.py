@@ -16,6 +16,8 @@ OWNER = {"entity": "iri", "label": "iri", "annotation": "iri", "class_edge": "su
 #: Columns that hold IRIs, for renames.
 IRIS = {"entity": ["iri"], "label": ["iri"], "annotation": ["iri", "prop"], "class_edge": ["sub", "sup"], "class_expr": ["iri"], "prop_edge": ["prop", "target"], "prop_flag": ["prop"], "prop_chain": ["prop"], "type_assert": ["ind", "class"], "obj_assert": ["ind", "prop", "target"], "data_assert": ["ind", "prop"]}
 TEXTUAL = ("label", "annotation")
+#: Lines of a file's head (fixed pattern).
+HEADER = r"^(Prefix|Ontology|Import)\("
 
 
 def axiom_diff(file: DataFrame, model: DataFrame) -> DataFrame:
@@ -41,6 +43,11 @@ def changed_region(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     size = lambda d, n: d.groupBy("path").agg(F.count("*").alias(n))
     n = size(old, "n_old").join(size(new, "n_new"), "path", "full_outer").select("path", F.coalesce("n_old", F.lit(0)).alias("n_old"), F.coalesce("n_new", F.lit(0)).alias("n_new"))
+    return region_of(n, old, new)
+
+
+def region_of(n: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """V03 from the sizes of files (path, n_old, n_new) and lines that hold the first differing ones from both ends."""
     a, b = old.select("path", "line_no", F.col("text").alias("a")), new.select("path", "line_no", F.col("text").alias("b"))
     first = a.join(b, ["path", "line_no"]).where("a <> b").groupBy("path").agg(F.min("line_no").alias("first"))
     back = lambda d, c, t: d.join(n, "path").select("path", (F.col(c) - F.col("line_no") - 1).alias("k"), t)
@@ -62,7 +69,7 @@ def in_region(lines: DataFrame, region: DataFrame, end: str) -> DataFrame:
 def incremental_safe(old: DataFrame, new: DataFrame, region: DataFrame, ratio: float = 0.2, floor: int = 4096) -> DataFrame:
     """Path, safe: no header line in the region, and it is neither over floor characters nor over ratio of a side."""
     def side(lines, end):
-        size = lambda d, c: d.groupBy("path").agg(F.sum(F.length("text") + 1).alias(c), F.max(F.ltrim("text").rlike(r"^(Prefix|Ontology|Import)\(")).alias(c + "_head"))
+        size = lambda d, c: d.groupBy("path").agg(F.sum(F.length("text") + 1).alias(c), F.max(F.ltrim("text").rlike(HEADER)).alias(c + "_head"))
         j = region.select("path").join(size(lines, "all"), "path", "left").join(size(in_region(lines, region, end), "part"), "path", "left")
         large = (F.coalesce("part", F.lit(0)) > floor) & (F.coalesce("part", F.lit(0)) / F.greatest(F.coalesce("all", F.lit(1)), F.lit(1)) > ratio)
         return j.select("path", (large | F.coalesce("part_head", F.lit(False))).alias(end))
@@ -80,21 +87,24 @@ def tables(x: Ontology) -> dict[str, DataFrame]:
     return {f.name: getattr(x, f.name) for f in fields(x)}
 
 
-def changed_entities(old: Ontology, new: Ontology) -> DataFrame:
-    """onto_id, iri, logical, textual: entities whose logical or annotation rows differ, also new and lost ones.
+def entity_digests(x: Ontology) -> DataFrame:
+    """onto_id, iri, l, t: an entity's logical rows and its annotation rows, summed up as hashes (null: none).
 
-    A side's rows of an entity are summed up as hashes, so order and table don't matter and no group is gathered.
+    Order and table don't matter and no group is gathered.
     """
-    def digest(x: Ontology, names, out: str) -> DataFrame:
+    def digest(names, out: str) -> DataFrame:
         parts = [d.select("onto_id", F.col(OWNER[n]).alias("iri"), F.xxhash64(F.lit(n), *[c for c in d.columns if c not in ("onto_id", "ord")]).alias("h")).distinct() for n, d in tables(x).items() if n in names]
         h = F.col("h")
         return reduce(DataFrame.unionByName, parts).groupBy("onto_id", "iri").agg(F.struct(F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"), F.count("*").alias("n")).alias(out))
 
-    logical = [n for n in OWNER if n not in TEXTUAL]
+    return digest([n for n in OWNER if n not in TEXTUAL], "l").join(digest(TEXTUAL, "t"), ["onto_id", "iri"], "full_outer")
+
+
+def changed_entities(old: Ontology, new: Ontology) -> DataFrame:
+    """onto_id, iri, logical, textual: entities whose logical or annotation rows differ, also new and lost ones."""
     k = ["onto_id", "iri"]
-    a = digest(old, logical, "l").join(digest(old, TEXTUAL, "t"), k, "full_outer")
-    b = digest(new, logical, "l2").join(digest(new, TEXTUAL, "t2"), k, "full_outer")
-    j = a.join(b, k, "full_outer").select(*k, (~F.col("l").eqNullSafe(F.col("l2"))).alias("logical"), (~F.col("t").eqNullSafe(F.col("t2"))).alias("textual"))
+    b = entity_digests(new).withColumnsRenamed({"l": "l2", "t": "t2"})
+    j = entity_digests(old).join(b, k, "full_outer").select(*k, (~F.col("l").eqNullSafe(F.col("l2"))).alias("logical"), (~F.col("t").eqNullSafe(F.col("t2"))).alias("textual"))
     return j.where("logical or textual")
 
 
