@@ -9,6 +9,7 @@ numbers only.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,7 +20,8 @@ from termweave.model import SCHEMAS, Ontology
 from termweave.operators.versions import HEADER, OWNER, entity_digests, region_of, tables
 from termweave.plans.tables import save
 
-SIDES = ("front", "back")
+#: Tables that are written at a time; most are small.
+WRITERS = 6
 
 
 def _summed(h: Column) -> Column:
@@ -181,10 +183,9 @@ def _typed(name: str, d: DataFrame) -> DataFrame:
 
 def _write(store: StoredOntology, parts: dict[str, DataFrame], digests: DataFrame) -> None:
     """Tables and entity digests, with their folders, and the digests of these folders."""
-    for n, d in parts.items():
-        store.write(n, d, OWNER[n])
     plain = digests.select("onto_id", "iri", *[F.struct(F.col(c)["s"].cast("decimal(38,0)").alias("s"), F.col(c)["x"].alias("x"), F.col(c)["n"].alias("n")).alias(c) for c in ("l", "t")], "part")
-    store.write("digests", plain, "iri")
+    with ThreadPoolExecutor(WRITERS) as pool:
+        list(pool.map(lambda job: store.write(*job), [("digests", plain, "iri"), *((n, d, OWNER[n]) for n, d in parts.items())]))
     mine = store.spark.read.schema(DIGESTS + ", part int").parquet(f"{store.path}/digests/at={store.version}")
     store.write("sums", mine.groupBy("onto_id", "part").agg(_summed(F.xxhash64("iri", "l", "t")).alias("d")), "onto_id")
 
@@ -230,9 +231,15 @@ def merge(store: StoredOntology, new: Ontology, touched: DataFrame) -> StoredOnt
     def mixed(name: str, schema: str, owner: str, fresh: DataFrame) -> DataFrame:
         on = ["onto_id", owner]
         keys = t.select("onto_id", F.col("iri").alias(owner))
-        return store.read(name, schema, numbers).join(keys, on, "left_anti").unionByName(fresh.join(keys, on, "left_semi").withColumn("part", store.of(owner)))
+        return store.read(name, schema, numbers).join(keys, on, "left_anti").unionByName(fresh.withColumn("part", store.of(owner)))
 
-    part = Ontology(**{n: save(_typed(n, d).join(t.select("onto_id", F.col("iri").alias(OWNER[n])), ["onto_id", OWNER[n]], "left_semi").select(*[c.split()[0] for c in SCHEMAS[n].split(", ")]), "fresh") for n, d in tables(new).items()})
+    def fresh_rows(name: str) -> DataFrame:
+        mine = _typed(name, getattr(new, name))
+        keys = t.select("onto_id", F.col("iri").alias(OWNER[name]))
+        return save(mine.join(keys, ["onto_id", OWNER[name]], "left_semi").select(*mine.columns), "fresh")
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        part = Ontology(**dict(zip(OWNER, pool.map(fresh_rows, OWNER), strict=True)))
     parts = {n: mixed(n, SCHEMAS[n], OWNER[n], d).select(*d.columns, "part") for n, d in tables(part).items()}
     _write(after, parts, mixed("digests", DIGESTS, "iri", entity_digests(part)).select("onto_id", "iri", "l", "t", "part"))
     return after.finish(store.where() | dict.fromkeys(numbers, after.version))
