@@ -18,6 +18,6 @@ def many_files(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["a03_segments", "s06_manchester"])
+@pytest.mark.parametrize("name", ["a03_segments", "s06_manchester", "k05_convert"])
 def test_documents_of_many_files(name, same, many_files):
     same(catalog.queries()[name], SQL[name])
