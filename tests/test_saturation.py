@@ -5,7 +5,9 @@ import time
 
 from test_operators import B, onto
 
+from termweave.model import NOTHING
 from termweave.operators import reasoning
+from termweave.plans import tables
 from termweave.plans.tables import CLEANUP, save
 
 
@@ -36,3 +38,17 @@ def test_direct_superclasses_of_a_chain(spark):
     got = {(r["category"], r["iri"]) for r in reasoning.dl_query(x, q).collect()}
     assert {i for c, i in got if c == "superClasses"} == {B + c for c in "ABC"}
     assert {i for c, i in got if c == "directSuperClasses"} == {B + "A"}
+
+
+def test_told_facts_are_not_copied_and_inner_tables_go(spark):
+    """A transitive role over a chain of links, the last of which ends in a class below owl:Nothing."""
+    links = [(B + a, "super", 0, f"{B}p some {B}{b}") for a, b in ("AB", "BC", "CD", "DE")]
+    x = onto(spark, entity=[(B + c, "class") for c in "ABCDE"], class_expr=links, class_edge=[(B + "E", NOTHING, "sub", 0)], prop_flag=[(B + "p", "transitive")])
+    before = set(tables._made)
+    facts = reasoning.saturate(reasoning.normalise(x))
+    got = {(r["p"], r["x"], r["y"]) for r in facts.collect()}
+    assert {(B + "p", B + a, B + b) for i, a in enumerate("ABCDE") for b in "ABCDE"[i + 1 :]} == {f for f in got if f[0] == B + "p"}
+    assert {a for p, a, y in got if y == NOTHING} == {B + c for c in "ABCDE"} and len(got) == facts.count()
+    kind = lambda path: path.rstrip("/").split("/")[-1].rsplit("-", 1)[0]
+    assert {"nf_sub", "nf_linked"} <= {kind(f.rsplit("/", 1)[0]) for f in facts.inputFiles()}
+    assert not {kind(p) for p in set(tables._made) - before} & {"exprs", "nodes", "derived"}
