@@ -46,9 +46,10 @@ def test_told_facts_are_not_copied_and_inner_tables_go(spark):
     x = onto(spark, entity=[(B + c, "class") for c in "ABCDE"], class_expr=links, class_edge=[(B + "E", NOTHING, "sub", 0)], prop_flag=[(B + "p", "transitive")])
     before = set(tables._made)
     facts = reasoning.saturate(reasoning.normalise(x))
-    got = {(r["p"], r["x"], r["y"]) for r in facts.collect()}
+    found = [(r["p"], r["x"], r["y"]) for r in facts.collect()]
+    got = {f for f in found if f[1].startswith(B)}  # restrictions have names of their own
     assert {(B + "p", B + a, B + b) for i, a in enumerate("ABCDE") for b in "ABCDE"[i + 1 :]} == {f for f in got if f[0] == B + "p"}
-    assert {a for p, a, y in got if y == NOTHING} == {B + c for c in "ABCDE"} and len(got) == facts.count()
+    assert {a for p, a, y in got if y == NOTHING} == {B + c for c in "ABCDE"} and len(found) == len(set(found))
     kind = lambda path: path.rstrip("/").split("/")[-1].rsplit("-", 1)[0]
     assert {"nf_sub", "nf_linked"} <= {kind(f.rsplit("/", 1)[0]) for f in facts.inputFiles()}
     assert not {kind(p) for p in set(tables._made) - before} & {"exprs", "nodes", "derived"}
