@@ -47,9 +47,9 @@ def triples(x: Ontology, distinct: bool = True) -> DataFrame:
     return out.dropDuplicates() if distinct else out
 
 
-def write(df: DataFrame, path: str, files: int = 8) -> None:
+def write(df: DataFrame, path: str) -> None:
     """The triples as Parquet, a folder for each predicate, so that a pattern's predicate prunes the scan.
 
-    Dealt by ranges of predicate and subject, so that a predicate of most triples is written by many tasks.
+    Every task writes what it has, so tasks grow in number with the triples and nothing is shuffled.
     """
-    df.repartitionByRange(files, "p", "s").write.partitionBy("p").parquet(path)
+    df.write.partitionBy("p").parquet(path)
