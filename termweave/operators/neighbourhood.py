@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from termweave.model import THING, Ontology, local_name
 from termweave.operators.search import kinds
-from termweave.plans.tables import save
+from termweave.plans.tables import save, spread
 
 MAX_NODES = 200
 
@@ -57,15 +57,25 @@ def steps(x: Ontology, inferred: DataFrame | None = None, disjoint: bool = False
     return out
 
 
+EDGE = ["onto_id", "focus", "id", "source", "target", "type", "is_inferred"]
+
+
 def expand(foci: DataFrame, step: DataFrame, depth: int, most: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
     """(nodes: onto_id, focus, iri, hop; edges: onto_id, focus, id, source, target, type, is_inferred).
 
     A focus keeps its first `most` nodes by hop and IRI.  The cap is the feature: a graph is drawn of it.
     """
+    nodes, edges, _ = _walks(foci, step, depth, most)
+    return nodes, edges.distinct()  # an edge's id tells its other columns
+
+
+def _walks(foci: DataFrame, step: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFrame, int]:
+    """The nodes, the edges as often as they were walked, and how many walks there were."""
     nodes = foci.select("onto_id", "focus", F.col("focus").alias("iri"), F.lit(0).alias("hop")).distinct()
-    frontier, edges = nodes, None
+    frontier, edges, walks = nodes, None, 0
     for hop in range(1, depth + 1):
         walked = save(frontier.select("onto_id", "focus", F.col("iri").alias("at")).join(step, ["onto_id", "at"]), "walked")
+        walks += walked.count()
         edges = walked.drop("at", "to") if edges is None else edges.unionByName(walked.drop("at", "to"))
         new = walked.select("onto_id", "focus", F.col("to").alias("iri")).distinct().join(nodes, ["onto_id", "focus", "iri"], "left_anti").withColumn("hop", F.lit(hop))
         rank = F.row_number().over(W.partitionBy("onto_id", "focus").orderBy("hop", "iri"))
@@ -73,14 +83,16 @@ def expand(foci: DataFrame, step: DataFrame, depth: int, most: int = MAX_NODES)
         frontier = nodes.where(F.col("hop") == hop)
     if edges is None:
         edges = foci.join(step, ["onto_id"]).where(F.lit(False)).drop("at", "to")
-    return nodes, edges.select("onto_id", "focus", "id", "source", "target", "type", "is_inferred").dropDuplicates(["onto_id", "focus", "id"])
+    return nodes, edges.select(*EDGE), walks
 
 
 def induced(nodes: DataFrame, step: DataFrame, most: int = MAX_NODES) -> DataFrame:
     """Class edges among the nodes of foci that stayed under the cap."""
     room = nodes.groupBy("onto_id", "focus").agg(F.count("*").alias("n")).where(F.col("n") < most).select("onto_id", "focus")
     own = nodes.join(room, ["onto_id", "focus"], "left_semi").select("onto_id", "focus", "iri")
-    edges = step.where(F.col("type").isin("subClassOf", "equivalentTo", "disjointWith")).select("onto_id", "id", "source", "target", "type", "is_inferred").distinct()
+    # each edge once, by its source, and only those of nodes: most edges of an ontology are not near a focus
+    edges = step.where(F.col("type").isin("subClassOf", "equivalentTo", "disjointWith") & (F.col("at") == F.col("source")))
+    edges = edges.join(own.select("onto_id", F.col("iri").alias("source")).distinct(), ["onto_id", "source"], "left_semi").select("onto_id", "id", "source", "target", "type", "is_inferred").distinct()
     some = own.withColumnRenamed("iri", "source").join(edges, ["onto_id", "source"])
     return some.join(own.withColumnRenamed("iri", "target"), ["onto_id", "focus", "target"], "left_semi").select("onto_id", "focus", "id", "source", "target", "type", "is_inferred")
 
@@ -101,6 +113,6 @@ def closed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def graph(foci: DataFrame, x: Ontology, labels: DataFrame, depth: int = 1, most: int = MAX_NODES, inferred: DataFrame | None = None, disjoint: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the neighbourhoods."""
     step = steps(x, inferred, disjoint)
-    nodes, edges = expand(foci, step, depth, most)
-    edges = edges.unionByName(induced(nodes, step, most)).dropDuplicates(["onto_id", "focus", "id"])
+    nodes, edges, walks = _walks(foci, step, depth, most)
+    edges = spread(edges.unionByName(induced(nodes, step, most)), 2 * walks, "onto_id", "focus", "source").distinct()
     return node_table(nodes, x, labels), closed(edges, nodes)
