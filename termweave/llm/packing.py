@@ -30,8 +30,8 @@ from .common import keep, lean, save, scratch
 
 #: Pieces of a group, and the least share of open bins that a round must save for another to follow.
 GROUP, SAVED = 8192, 100
-#: Words, and runs of letters or signs in them, whose ids a task keeps at most, and the longest kept.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 40
+#: Runs of letters or signs whose ids a task keeps at most, and the longest kept.
+KEPT_RUNS, KEPT_LENGTH = 400_000, 40
 
 
 def _latin(kind: str) -> str:
@@ -54,7 +54,7 @@ STEPS = {
 
 
 class Kept(dict):
-    """What a function gives for short strings: those asked for lately, KEPT_WORDS of them at most."""
+    """What a function gives for short strings: those asked for lately, KEPT_RUNS of them at most."""
 
     def __init__(self, make):
         super().__init__()
@@ -65,7 +65,7 @@ class Kept(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= KEPT_LENGTH:
-            if 2 * len(self) >= KEPT_WORDS:
+            if 2 * len(self) >= KEPT_RUNS:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
@@ -73,10 +73,10 @@ class Kept(dict):
 
 
 class WordIds:
-    """The ids of a text as bytes (unsigned 32-bit, little-endian), word by word.
+    """The ids of a text as bytes (unsigned 32-bit, little-endian), run by run.
 
-    The vocabulary splits a normalised text at white space, and what stands between into runs whose ids
-    don't depend on their neighbours, so both are encoded once and then looked up.  Texts with characters
+    The vocabulary splits a normalised text into runs whose ids don't depend on their neighbours, so a run
+    is encoded once and then looked up.  Whole words are not kept: too many occur once, as signs cling to them.  Texts with characters
     outside the Latin blocks, other spaces, or a special token's opening go to the tokenizer whole, and
     so does every text if the file's steps before the model are not STEPS.
     """
@@ -94,16 +94,15 @@ class WordIds:
         known = all(own.get(k) == v for k, v in STEPS.items())
         self.plain = re.compile("[\t-\r -\x7e\xa1-\u012f\u0131-\u017f]*").fullmatch if known else lambda text: None
         self.runs = Kept(self._run)
-        self.words = Kept(lambda word: b"".join(map(self.runs.__getitem__, self.split(word))))
 
     def _run(self, run: str) -> bytes:
         # the vocabulary's own model on the run's byte signs, without the steps for whole texts
-        return np.array([t.id for t in self.tok.model.tokenize(run.translate(self.signs))], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(run.translate(self.signs))])
 
     def encode(self, text: str) -> bytes:
         text_n = text if text.isascii() else unicodedata.normalize("NFC", text)
         if self.plain(text_n) and "<|" not in text:
-            return b"".join(map(self.words.__getitem__, text_n.lower().split()))
+            return b"".join(map(self.runs.__getitem__, self.split(text_n.lower())))
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
