@@ -37,10 +37,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of an Arrow text column laid end to end, and where each text starts (null: empty)."""
+    """The bytes of an Arrow column of texts or byte strings laid end to end, and where each starts (null: empty)."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pc.fill_null(col.cast(pa.large_string()), "")
+    # byte strings need not be whole characters
+    kind, none = (pa.large_binary(), b"") if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else (pa.large_string(), "")
+    col = pc.fill_null(col.cast(kind), none)
     _, offs, data = col.buffers()
     offs = np.frombuffer(offs, np.int64)[col.offset : col.offset + len(col) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -35,6 +35,8 @@ from .kernels import U64, cut_out, run_hashes, running, slices, text_bytes
 LONGEST, FLOOR, ROUNDS = 32, 1e-3, 3
 #: Expected counts are whole numbers of this unit.
 UNIT = 1 << 10
+#: Words times languages that forward() takes at once, about.
+BLOCK = 1 << 18
 #: Bits of the table that tells most strings outside the vocabulary.
 SIEVE = 22
 NOT_SPACE = np.arange(256) != 0x20
@@ -62,10 +64,10 @@ class Pieces:
         self.maybe = np.zeros(1 << SIEVE, bool)
         self.maybe[(h >> U64(64 - SIEVE)).astype(np.int64)] = True
 
-    def inside(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """(from, to, words, pieces) for all pieces in words, which are sorted by falling length; from ascends."""
+    def inside(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None):
+        """(from, to, words, pieces) for all pieces in words, which are sorted by falling length; from ascends.  sums: running(raw)."""
         size = ends - starts
-        sums = running(raw)
+        sums = running(raw) if sums is None else sums
         for i in range(int(size.max(initial=0))):
             for m in self.lengths:
                 n = int(np.searchsorted(-size, -(i + m), "right"))  # the words that reach so far
@@ -206,6 +208,7 @@ def _identify(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, lang
 
     def run(batches):
         known, p = told.value
+        most = max(1, BLOCK // max(1, len(langs)))
         for b in batches:
             raw, offs = text_bytes(b.column(3))
             total = np.zeros((b.num_rows, len(langs)))
@@ -213,9 +216,12 @@ def _identify(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, lang
                 part = raw[offs[i] : offs[j]]
                 starts, ends, text = _parts(part, offs[i : j + 1] - offs[i])
                 at, code = _distinct(part, starts, ends)
-                size = ends[at] - starts[at]
-                sums = forward(list(known.inside(part, starts[at], ends[at])), size, p)
-                log = np.log(sums[size, np.arange(len(size))])
+                log, hashed = np.empty((len(at), len(langs))), running(part)
+                for k in range(0, len(at), most):
+                    few = at[k : k + most]
+                    size = ends[few] - starts[few]
+                    sums = forward(list(known.inside(part, starts[few], ends[few], hashed)), size, p)
+                    log[k : k + most] = np.log(sums[size, np.arange(len(size))])
                 for k in range(len(langs)):
                     total[i:j, k] = np.bincount(text, log[code, k], minlength=j - i)
             best = total.argmax(1) if langs else np.zeros(b.num_rows, np.int64)
